@@ -1,0 +1 @@
+"""Empty on purpose: every input is a finished file and every result is a batch result."""
