@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 import unicodedata
+from collections.abc import Callable, Sequence
 from functools import lru_cache
 
 import pandas as pd
@@ -46,26 +47,38 @@ def _peel(c: Column) -> Column:
     return strip(F.regexp_replace(c, QUOTED, "$2"))
 
 
-def unquote(c: Column) -> Column:
-    """Trim, then take matching outer quotes off until none is left.
+def _settled(c: Column, finish: Callable[[Column], Column]) -> Column:
+    """Unquote, then apply ``finish`` to the text, naming ``c`` only once.
 
-    Two layers cover real extracts inside code generation; deeper nesting goes
-    through a fold bounded by the length of the cell itself.
+    Two layers of quotes come off inside code generation; the lambda binds the result,
+    so that it can be looked at several times without repeating the expression, and
+    handles deeper nesting with a fold bounded by the length of the cell itself.
     """
-    twice = _peel(_peel(strip(c)))
-    deeper = F.aggregate(F.sequence(F.lit(1), F.length(twice)), twice, lambda acc, _: _peel(acc))
-    return F.when(twice.rlike(QUOTED), deeper).otherwise(twice)
+    def settle(text: Column) -> Column:
+        rest = F.aggregate(F.sequence(F.lit(1), F.length(text)), text, lambda acc, _: _peel(acc))
+        return finish(F.when(text.rlike(QUOTED), rest).otherwise(text))
+
+    return F.element_at(F.transform(F.array(_peel(_peel(strip(c)))), settle), 1)
+
+
+def unquote(c: Column) -> Column:
+    """Trim, then take matching outer quotes off until none is left."""
+    return _settled(c, lambda text: text)
+
+
+def without(c: Column, tokens: Sequence[str]) -> Column:
+    """Unquoted text, NULL where it is one of the tokens."""
+    return _settled(c, lambda text: F.when(~F.upper(text).isin(*tokens), text))
 
 
 def clean_scalar_text(c: Column) -> Column:
     """Unquoted text; an empty cell becomes NULL, placeholder words stay."""
-    return F.nullif(unquote(c), F.lit(""))
+    return without(c, ("",))
 
 
 def clean_text(c: Column) -> Column:
     """Unquoted text; empty cells and placeholder words become NULL."""
-    text = unquote(c)
-    return F.when(~F.upper(text).isin(*EMPTY_TOKENS), text)
+    return without(c, EMPTY_TOKENS)
 
 
 def is_present(c: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, functions as F
 
 from ledgerline.constants import CODE_FIELDS, COMPARE_EMPTY_TOKENS, TIME_FIELDS
 from ledgerline.functions.dates import compare_cell_date
-from ledgerline.functions.text import clean_scalar_text, collapse_upper, display_text, fold_compatibility, strip
+from ledgerline.functions.text import collapse_upper, display_text, fold_compatibility, strip, without
 from ledgerline.functions.times import compare_cell_time
 
 DANGLING_DATE = r"^\d{4}-\d{2}-\d{2}\s*[-—]$"  # fixed value: a date whose time is only a dash
@@ -14,8 +14,7 @@ DANGLING_DATE = r"^\d{4}-\d{2}-\d{2}\s*[-—]$"  # fixed value: a date whose tim
 
 def content(c: Column) -> Column:
     """Unquoted text, NULL for empty cells and placeholder words."""
-    text = clean_scalar_text(c)
-    return F.when(~F.upper(text).isin(*COMPARE_EMPTY_TOKENS), text)
+    return without(c, COMPARE_EMPTY_TOKENS)
 
 
 def normalized(c: Column, text: Column, field_name: str, kind: str = "text", exact: bool = False) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ledgerline.constants import FIRST_SOURCE_ROW
+from ledgerline.functions.text import field
 
 # monotonically_increasing_id keeps the task number above bit 33 and the position below.
 POSITION_BITS = 33
@@ -53,5 +54,5 @@ def with_file_row_numbers(df: DataFrame, name: str = "__row", first: int = FIRST
     return (
         pieces.join(starts.drop("_rows"), ["__file", "_offset"])
         .withColumn(name, F.col("_start") + F.col("_id") - F.col("_first_id") + F.lit(first))
-        .drop("_offset", "_id", "_first_id", "_start")
+        .select(*[field(c) for c in df.columns], "__file", name)
     )
