@@ -73,10 +73,15 @@ class Reconciliation:
         """Every evaluated candidate of every record: the audit detail, listed in full."""
         return evaluate(candidate_pairs(*self.sides, self.rules.tolerance_minutes), self.rules)
 
+    @cached_property
+    def best(self) -> DataFrame:
+        """The selected candidate of each record."""
+        return best_per_record(self.candidates, self.rules)
+
     @cached_property
     def decided(self) -> DataFrame:
-        best = best_per_record(self.candidates, self.rules)
-        return stage(outputs.decide(self.unique, best, self.rules), "decided-records", self.mode)
+        decided = outputs.decide(self.unique, self.best, self.rules)
+        return stage(decided, "decided-records", self.mode)
 
     # --- result tables ---------------------------------------------------------
     @cached_property
