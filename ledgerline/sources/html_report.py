@@ -13,6 +13,7 @@ from ledgerline.plans.mapping import make_unique_columns
 
 CELL_SCHEMA = "path string, table_no int, row_no int, is_header boolean, cells array<string>"
 ENCODINGS = ("utf-8-sig", "cp1252", "latin-1")
+ROWS_PER_BATCH = 50_000
 SPACE = re.compile(r"\s+")
 
 
@@ -66,15 +67,18 @@ def _decode(data: bytes) -> str:
 
 
 def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    columns = ["path", "table_no", "row_no", "is_header", "cells"]
     for batch in batches:
+        found: list[tuple] = []
         for path, content in zip(batch["path"], batch["content"]):
             parser = _Rows()
             parser.feed(_decode(bytes(content)))
             parser.close()
-            yield pd.DataFrame(
-                [(path, table, i, header, cells) for i, (table, header, cells) in enumerate(parser.rows)],
-                columns=["path", "table_no", "row_no", "is_header", "cells"],
-            )
+            found.extend((path, table, i, header, cells) for i, (table, header, cells) in enumerate(parser.rows))
+            if len(found) >= ROWS_PER_BATCH:
+                yield pd.DataFrame(found, columns=columns)
+                found = []
+        yield pd.DataFrame(found, columns=columns)
 
 
 def html_rows(files: DataFrame) -> DataFrame:

@@ -1,5 +1,5 @@
 """All queries by name: (Spark callable, SQL statement or None)."""
 
-from workload import reconciliation
+from workload import cells, reconciliation, tables
 
-QUERIES = {**reconciliation.QUERIES}
+QUERIES = {**cells.QUERIES, **tables.QUERIES, **reconciliation.QUERIES}
