@@ -106,6 +106,12 @@ def lookup_pairs(records: DataFrame, others: DataFrame) -> DataFrame:
     return search_records(records).join(indexed(others), LOOKUP_KEYS).drop("by", "date")
 
 
+def time_cell(at: Column, tolerance: float) -> Column:
+    """Number of a cell just wider than the tolerance: close times lie at most one apart."""
+    minutes = F.unix_date(at.cast("date")) * 1440 + F.hour(at) * 60 + F.minute(at)
+    return F.floor(minutes / (int(tolerance) + 1))
+
+
 def register_compatible() -> Column:
     return F.coalesce(F.col("l_register") == F.col("r_register"), F.lit(True))
 
@@ -118,16 +124,10 @@ def special_pairs(
     Time is cut into tolerance-wide cells: a record probes its own cell and both
     neighbours, so the band is part of the equi-key instead of a residual filter.
     """
-    cell_minutes = max(int(tolerance) + 1, 1)
-
-    def cell(at: Column) -> Column:
-        minutes = F.unix_date(at.cast("date")) * 1440 + F.hour(at) * 60 + F.minute(at)
-        return F.floor(minutes / cell_minutes)
-
-    near = F.explode(F.array(*[cell(F.col("l_at")) + step for step in (-1, 0, 1)]))
+    near = F.explode(F.array(*[time_cell(F.col("l_at"), tolerance) + step for step in (-1, 0, 1)]))
     left = records.where(F.col("flight").isNotNull() & F.col("move").isNotNull()).withColumn("_cell", near)
     right = others.where(F.col("r_special") & F.col("r_at").isNotNull()).withColumn(
-        "_cell", cell(F.col("r_at"))
+        "_cell", time_cell(F.col("r_at"), tolerance)
     ).drop("adep", "ades")
     close = minutes_apart(F.col("r_at"), F.col("l_at")) <= tolerance
     days = F.abs(F.datediff(F.col("r_at").cast("date"), F.col("l_at").cast("date"))) <= 1

@@ -13,8 +13,9 @@ from ledgerline.constants import (
 )
 from ledgerline.functions.remarks import code_is_excluded
 from ledgerline.operators import outputs, summary as counters
+from ledgerline.operators.best import best_candidates
 from ledgerline.operators.dedup import assign_flight_instance_keys, duplicate_output, select_best
-from ledgerline.operators.evaluate import MatchRules, best_per_pair, best_per_record, evaluate
+from ledgerline.operators.evaluate import MatchRules, best_per_pair, evaluate
 from ledgerline.operators.extra import extra_rows
 from ledgerline.operators.keys import prepare_keys
 from ledgerline.operators.lookup import candidate_pairs, other_side, record_side
@@ -76,7 +77,7 @@ class Reconciliation:
     @cached_property
     def best(self) -> DataFrame:
         """The selected candidate of each record."""
-        return best_per_record(self.candidates, self.rules)
+        return best_candidates(*self.sides, self.rules)
 
     @cached_property
     def decided(self) -> DataFrame:

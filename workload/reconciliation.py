@@ -10,6 +10,7 @@ from ledgerline.functions import times
 from ledgerline.functions.text import field
 from ledgerline.operators import dedup, evaluate as ev, filters, instances, keys, lookup, outputs, recovery
 from ledgerline.operators.summary import reason_histogram
+from ledgerline.operators.best import best_candidates
 from ledgerline.plans.reconcile import Reconciliation
 from ledgerline.sources.sinks import report_tables
 from workload.movements import reconcile_events, sql
@@ -308,6 +309,11 @@ def best_candidate(spark, sf_dir):
     return _choice(reconciled(spark, sf_dir).best)
 
 
+def best_candidate_dense(spark, sf_dir):
+    """The same choice with every key group treated as a hot one: no pairs are listed."""
+    return _choice(best_candidates(*reconciled(spark, sf_dir).sides, dense_rows=0))
+
+
 BEST_CANDIDATE = sql("SELECT src, row, rrow AS r_row, mode, date_used, diff AS time_difference FROM sel")
 
 OUTCOME = dict(
@@ -554,6 +560,7 @@ QUERIES = {
     "candidate_evaluation": (candidate_evaluation, CANDIDATE_EVALUATION),
     "best_per_pair": (best_per_pair, BEST_PER_PAIR),
     "best_candidate": (best_candidate, BEST_CANDIDATE),
+    "best_candidate_dense": (best_candidate_dense, BEST_CANDIDATE),
     "classify_outcomes": (classify_outcomes, sql(OUTCOME_SQL)),
     "matched": (matched, _outcomes("status = 'MATCHED'")),
     "need_review": (need_review, _outcomes("status = 'NEED REVIEW'")),
