@@ -20,12 +20,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ledgerline.constants import MODE_SPECIAL
 from ledgerline.functions.times import format_date, minutes_apart
-from ledgerline.operators.evaluate import MatchRules, best_per_record, evaluate
+from ledgerline.operators.evaluate import (
+    MatchRules, evaluation, findings, invalid_status, selection_order, worded,
+)
 from ledgerline.operators.lookup import (
-    BY_FLIGHT_DATE, BY_MOVEMENT, SPECIAL_DATE_USED, register_compatible, search_specs,
-    time_cell,
+    BY_FLIGHT_DATE, BY_MOVEMENT, SPECIAL, register_compatible, search_specs, time_cell,
 )
 from ledgerline.operators.nearest import nearest
 
@@ -34,7 +34,7 @@ GROUP = ["flight", "move", "adep", "ades", "by", "date"]
 DENSE_ROWS = 256
 ANY_REGISTER, ANY_DATE = "*", "*"
 RANK = ["r_version", "r_message", "r_row"]
-CARRIED = ["r_at", "r_register", "r_status", "r_remark", "r_special", "r_keyword"]
+CARRIED = ["r_at", "r_register", "r_special", "invalid_status"]
 RECORD = ["l_data", "l_row", "l_register", "l_at", "l_moved_on", "l_recovered", "l_recovered_on"]
 CLASS = ["_invalid", "_special"]
 
@@ -63,16 +63,16 @@ def index_entries(others: DataFrame, tolerance: float) -> DataFrame:
 
 
 def probe_entries(records: DataFrame, tolerance: float) -> DataFrame:
-    """One row per record and key it asks for, with the wording of that lookup."""
+    """One row per record and key it asks for, with the number of that lookup."""
     adep, ades, none = F.col("adep"), F.col("ades"), F.lit("")
     routed = adep.isNotNull() & ades.isNotNull()
     dated = F.transform(search_specs(), lambda s: F.struct(
         adep.alias("adep"), ades.alias("ades"), s["by"].alias("by"), s["date"].alias("date"),
-        s["date_used"].alias("date_used"), s["mode"].alias("mode"),
+        s["lookup"].alias("lookup"),
     ))
-    wording = (F.lit(SPECIAL_DATE_USED).alias("date_used"), F.lit(MODE_SPECIAL).alias("mode"))
+    number = F.lit(SPECIAL).alias("lookup")
     near = F.array(*[
-        _entry(none, none, BY_REMARK, (time_cell(F.col("l_at"), tolerance) + step).cast("string"), *wording)
+        _entry(none, none, BY_REMARK, (time_cell(F.col("l_at"), tolerance) + step).cast("string"), number)
         for step in (-1, 0, 1)
     ])
     return _entered(records, F.concat(F.when(routed, dated).otherwise(F.slice(dated, 1, 0)), near))
@@ -85,14 +85,13 @@ def _eligible(pairs: DataFrame, tolerance: float) -> DataFrame:
     return pairs.where((F.col("by") != BY_REMARK) | (register_compatible() & close & days))
 
 
-def _contenders(probes: DataFrame, index: DataFrame, rules: MatchRules) -> DataFrame:
+def _contenders(probes: DataFrame, index: DataFrame) -> DataFrame:
     """(record, billing row) pairs of large groups: only rows that can be the best one."""
     register = F.coalesce("r_register", F.lit(""))
     moved_on = F.when(F.col("by") == BY_FLIGHT_DATE, format_date(F.col("r_at")))
-    invalid = rules.invalid_status_is_missing and bool(rules.invalid_statuses)
     scope = [*GROUP, "_slot", "_day", *CLASS]
     rows = index.withColumns({
-        "_invalid": F.coalesce(F.col("r_status").isin(*rules.invalid_statuses), F.lit(False)) if invalid else F.lit(False),
+        "_invalid": F.col("invalid_status"),
         "_special": F.col("r_special"),
         "_slot": F.explode(F.array(F.lit(ANY_REGISTER), register)),
     }).withColumn("_day", F.explode(F.array_compact(F.array(F.lit(ANY_DATE), moved_on))))
@@ -125,21 +124,37 @@ def _contenders(probes: DataFrame, index: DataFrame, rules: MatchRules) -> DataF
         F.max(F.struct(*RANK, *CARRIED)).alias("_row")
     )
     chosen = [F.col("_row")[c].alias(c) for c in [*RANK, *CARRIED]]
-    columns = [*RECORD, *GROUP, "date_used", "mode", *chosen]
+    columns = [*RECORD, *GROUP, "lookup", *chosen]
     return timed.select(*columns).unionByName(asked.join(timeless, scope).select(*columns))
 
 
-def best_candidates(
+def best_choices(
     records: DataFrame, others: DataFrame, rules: MatchRules = MatchRules(), dense_rows: int = DENSE_ROWS
 ) -> DataFrame:
-    """``_best`` evaluation per record, equal to the best of all its candidate pairs."""
+    """Chosen row and lookup (``r_row``, ``lookup``) per record.
+
+    Only what the preference depends on travels through the join; texts are added to
+    the winners alone.
+    """
     tolerance = rules.tolerance_minutes
-    index = index_entries(others, tolerance).select(*GROUP, *RANK, *CARRIED)
-    probes = probe_entries(records, tolerance).select(*RECORD, *GROUP, "date_used", "mode")
+    flagged = others.withColumn("invalid_status", invalid_status(rules))
+    index = index_entries(flagged, tolerance).select(*GROUP, *RANK, *CARRIED)
+    probes = probe_entries(records, tolerance).select(*RECORD, *GROUP, "lookup")
     dense = index.groupBy(*GROUP).agg(F.count("*").alias("_rows")).where(F.col("_rows") > dense_rows).select(*GROUP)
     pairs = probes.join(index.join(dense, GROUP, "left_anti"), GROUP)
-    contenders = _contenders(
-        probes.join(dense, GROUP, "left_semi"), index.join(dense, GROUP, "left_semi"), rules
+    contenders = _contenders(probes.join(dense, GROUP, "left_semi"), index.join(dense, GROUP, "left_semi"))
+    found = findings(_eligible(pairs.unionByName(contenders), tolerance))
+    best = F.min(F.struct(selection_order(rules).alias("order"), "r_row", "lookup")).alias("_choice")
+    return found.groupBy("l_data", "l_row").agg(best).select("l_data", "l_row", "_choice.r_row", "_choice.lookup")
+
+
+def best_candidates(
+    records: DataFrame, others: DataFrame, rules: MatchRules = MatchRules(), dense_rows: int = DENSE_ROWS
+) -> DataFrame:
+    """``_best`` evaluation per record, equal to the best of all its candidate pairs."""
+    choices = best_choices(records, others, rules, dense_rows)
+    chosen = choices.join(records, ["l_data", "l_row"]).join(
+        others.drop("flight", "adep", "ades", "move"), "r_row"
     )
-    found = _eligible(pairs.unionByName(contenders), tolerance)
-    return best_per_record(evaluate(found, rules), rules)
+    evaluated = worded(findings(chosen.withColumn("invalid_status", invalid_status(rules))))
+    return evaluated.select("l_data", "l_row", evaluation().alias("_best"))

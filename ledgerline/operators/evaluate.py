@@ -13,7 +13,7 @@ from ledgerline.constants import (
     VALIDATION_FOUND, VALIDATION_NOT_FOUND, VALIDATION_REVIEW, VALIDATION_REVIEW_DAT,
 )
 from ledgerline.functions.times import format_date, minutes_apart
-from ledgerline.operators.lookup import MODE_RANKS, SPECIAL_DATE_USED
+from ledgerline.operators.lookup import LOOKUPS, SPECIAL, SPECIAL_DATE_USED, SPECIAL_RANK
 from ledgerline.plans.mapping import check_tolerance, plain_code
 
 
@@ -51,30 +51,45 @@ def _text(mode: Column, choices: dict[str, str], default: str) -> Column:
     return chain.otherwise(F.lit(default))
 
 
-def evaluate(pairs: DataFrame, rules: MatchRules = MatchRules()) -> DataFrame:
-    """Add the findings about each candidate; nothing is filtered."""
-    invalid = rules.invalid_status_is_missing and bool(rules.invalid_statuses)
+def _by_lookup(special: Column, value_of_special: object, values: list) -> Column:
+    """Value by lookup number; special rows count as found by remark, however reached."""
+    chain = F.when(special | (F.col("lookup") == SPECIAL), F.lit(value_of_special))
+    for number, value in enumerate(values):
+        chain = chain.when(F.col("lookup") == number, F.lit(value))
+    return chain
+
+
+def invalid_status(rules: MatchRules) -> Column:
+    if not (rules.invalid_status_is_missing and rules.invalid_statuses):
+        return F.lit(False)
+    return _flag(F.col("r_status").isin(*rules.invalid_statuses))
+
+
+def findings(pairs: DataFrame) -> DataFrame:
+    """Add what the preference depends on; ``invalid_status`` is there already."""
     both = F.col("l_at").isNotNull() & F.col("r_at").isNotNull()
     days_apart = F.abs(F.datediff(F.col("r_at").cast("date"), F.col("l_at").cast("date")))
     moved_on = format_date(F.col("r_at"))
-    allowed = F.array(
-        format_date(F.col("l_at")),
-        F.when(F.col("l_recovered"), F.col("l_moved_on")),
-        F.when(F.col("l_recovered"), F.col("l_recovered_on")),
+    allowed = moved_on == format_date(F.col("l_at"))
+    recovered = F.col("l_recovered") & (
+        moved_on.eqNullSafe(F.col("l_moved_on")) | moved_on.eqNullSafe(F.col("l_recovered_on"))
     )
-    wrong_date = F.when(F.col("r_special"), days_apart > 1).otherwise(
-        ~F.array_contains(F.array_compact(allowed), moved_on)
-    )
-    found = pairs.withColumns({
-        "invalid_status": _flag(F.col("r_status").isin(*rules.invalid_statuses)) if invalid else F.lit(False),
+    wrong_date = F.when(F.col("r_special"), days_apart > 1).otherwise(~(allowed | _flag(recovered)))
+    return pairs.withColumns({
         "register_mismatch": _flag(F.col("l_register") != F.col("r_register")),
         "time_difference": F.when(both, minutes_apart(F.col("r_at"), F.col("l_at"))),
-        "date_mismatch": F.when(both, _flag(wrong_date)).otherwise(F.lit(False)),
-        "date_used": F.when(F.col("r_special"), F.lit(SPECIAL_DATE_USED)).otherwise(F.col("date_used")),
-        "mode": F.when(F.col("r_special"), F.lit(MODE_SPECIAL)).otherwise(F.col("mode")),
+        "date_mismatch": both & _flag(wrong_date),
+        "mode_rank": _by_lookup(F.col("r_special"), SPECIAL_RANK, [rank for *_, rank in LOOKUPS]),
     })
+
+
+def worded(found: DataFrame) -> DataFrame:
+    """Add the texts a report shows for an evaluated candidate."""
     movement_field = F.when(F.col("move") == "A", F.lit("ATA")).otherwise(F.lit("ATD"))
+    special = F.col("r_special")
     reasons = found.withColumns({
+        "date_used": _by_lookup(special, SPECIAL_DATE_USED, [used for used, *_ in LOOKUPS]),
+        "mode": _by_lookup(special, MODE_SPECIAL, [mode for _, mode, *_ in LOOKUPS]),
         "invalid_reason": F.nullif(F.concat_ws(
             " / ",
             F.when(F.col("invalid_status"), F.concat(F.lit("STREAM STATUS "), F.col("r_status"))),
@@ -82,7 +97,6 @@ def evaluate(pairs: DataFrame, rules: MatchRules = MatchRules()) -> DataFrame:
             F.when(F.col("r_at").isNull(), F.lit("STREAM INVALID MOVEMENT TIME")),
             F.when(F.col("date_mismatch"), F.concat(F.lit("STREAM INVALID "), movement_field, F.lit(" DATE"))),
         ), F.lit("")),
-        "mode_rank": _mode_rank(F.col("mode")),
     })
     valid_text = _text(F.col("mode"), {
         MODE_SPECIAL: SPECIAL_REASON,
@@ -95,11 +109,9 @@ def evaluate(pairs: DataFrame, rules: MatchRules = MatchRules()) -> DataFrame:
     ))
 
 
-def _mode_rank(mode: Column) -> Column:
-    chain = F.when(F.lit(False), F.lit(3))
-    for name, rank in MODE_RANKS.items():
-        chain = chain.when(mode == name, F.lit(rank))
-    return chain.otherwise(F.lit(3))
+def evaluate(pairs: DataFrame, rules: MatchRules = MatchRules()) -> DataFrame:
+    """Add the findings and texts about each candidate; nothing is filtered."""
+    return worded(findings(pairs.withColumn("invalid_status", invalid_status(rules))))
 
 
 def selection_order(rules: MatchRules = MatchRules()) -> Column:
@@ -127,15 +139,13 @@ EVALUATION = [
 ]
 
 
-def best_per_pair(evaluated: DataFrame, rules: MatchRules = MatchRules()) -> DataFrame:
-    """One evaluation per (record, billing row): the best lookup that reached it."""
-    best = F.min(F.struct(selection_order(rules).alias("order"), *EVALUATION)).alias("_best")
-    # The billing row is part of the preferred order, so grouping by it keeps one each.
-    return evaluated.groupBy("l_data", "l_row", "r_row").agg(best).select("l_data", "l_row", "_best")
+def evaluation() -> Column:
+    """The evaluation of a candidate as one struct."""
+    return F.struct(*EVALUATION)
 
 
 def best_per_record(evaluated: DataFrame, rules: MatchRules = MatchRules()) -> DataFrame:
-    """The selected candidate of each record, combined on the map side."""
+    """The selected one of listed candidates per record, combined on the map side."""
     best = F.min(F.struct(selection_order(rules).alias("order"), *EVALUATION)).alias("_best")
     return evaluated.groupBy("l_data", "l_row").agg(best)
 

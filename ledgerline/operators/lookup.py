@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerline.constants import (
-    DEFAULT_TOLERANCE_MINUTES, MODE_ACTUAL, MODE_ORIGINAL, MODE_RECOVERED, MODE_SPECIAL, MODE_WINDOW,
+    DEFAULT_TOLERANCE_MINUTES, MODE_ACTUAL, MODE_ORIGINAL, MODE_RECOVERED, MODE_WINDOW,
 )
 from ledgerline.functions.dates import iso_day
 from ledgerline.functions.text import field
@@ -19,16 +19,16 @@ from ledgerline.functions.times import format_date, message_number, minutes_apar
 ROUTE_KEYS = {"flight": "FLIGHT NUMBER", "adep": "AERODROME", "ades": "TO FROM", "move": "D/A/L/O"}
 LOOKUP_KEYS = [*ROUTE_KEYS, "by", "date"]
 BY_MOVEMENT, BY_FLIGHT_DATE = "MOVEMENT DATE", "DATE OF FLIGHT"
-MODE_RANKS = {MODE_ACTUAL: 0, MODE_RECOVERED: 1, MODE_ORIGINAL: 2, MODE_WINDOW: 3, MODE_SPECIAL: 3}
-SPECIAL_DATE_USED = "ACTUAL MOVEMENT DATE ±1 DAY"  # fixed value
-# fixed values: (order, date used, mode, index) of the date lookups
+# fixed values: date used, mode, index and preference rank of the date lookups, in search order
 LOOKUPS = (
-    (0, "ACTUAL MOVEMENT DATE", MODE_ACTUAL, BY_MOVEMENT),
-    (1, "DATE OF FLIGHT", MODE_ORIGINAL, BY_FLIGHT_DATE),
-    (2, "ACTUAL MOVEMENT DATE -1 DAY", MODE_WINDOW, BY_MOVEMENT),
-    (3, "ACTUAL MOVEMENT DATE +1 DAY", MODE_WINDOW, BY_MOVEMENT),
-    (4, "RECOVERED_DAT_DATE", MODE_RECOVERED, BY_FLIGHT_DATE),
+    ("ACTUAL MOVEMENT DATE", MODE_ACTUAL, BY_MOVEMENT, 0),
+    ("DATE OF FLIGHT", MODE_ORIGINAL, BY_FLIGHT_DATE, 2),
+    ("ACTUAL MOVEMENT DATE -1 DAY", MODE_WINDOW, BY_MOVEMENT, 3),
+    ("ACTUAL MOVEMENT DATE +1 DAY", MODE_WINDOW, BY_MOVEMENT, 3),
+    ("RECOVERED_DAT_DATE", MODE_RECOVERED, BY_FLIGHT_DATE, 1),
 )
+SPECIAL = len(LOOKUPS)  # the lookup by remark, flight and time
+SPECIAL_DATE_USED, SPECIAL_RANK = "ACTUAL MOVEMENT DATE ±1 DAY", 3  # fixed values
 
 
 def record_side(unique: DataFrame) -> DataFrame:
@@ -67,14 +67,13 @@ def search_specs() -> Column:
         F.date_add(moved, 1).cast("string"), F.col("l_recovered_on"),
     )
     specs = []
-    for (order, used, mode, index), date in zip(LOOKUPS, dates):
+    for number, ((_, _, index, _), date) in enumerate(zip(LOOKUPS, dates)):
         repeated = F.lit(False)
-        for (_, _, _, earlier_index), earlier in zip(LOOKUPS[:order], dates[:order]):
+        for (_, _, earlier_index, _), earlier in zip(LOOKUPS[:number], dates[:number]):
             if earlier_index == index:
                 repeated = repeated | earlier.eqNullSafe(date)
         specs.append(F.when(date.isNotNull() & ~repeated, F.struct(
-            F.lit(index).alias("by"), date.alias("date"), F.lit(used).alias("date_used"),
-            F.lit(mode).alias("mode"),
+            F.lit(index).alias("by"), date.alias("date"), F.lit(number).alias("lookup"),
         )))
     return F.array_compact(F.array(*specs))
 
@@ -85,7 +84,7 @@ def search_records(records: DataFrame) -> DataFrame:
     for key in ROUTE_KEYS:
         complete = complete.where(F.col(key).isNotNull())
     return complete.withColumn("_spec", F.explode(search_specs())).select(
-        "*", "_spec.by", "_spec.date", "_spec.date_used", "_spec.mode"
+        "*", "_spec.by", "_spec.date", "_spec.lookup"
     ).drop("_spec")
 
 
@@ -128,16 +127,41 @@ def special_pairs(
     left = records.where(F.col("flight").isNotNull() & F.col("move").isNotNull()).withColumn("_cell", near)
     right = others.where(F.col("r_special") & F.col("r_at").isNotNull()).withColumn(
         "_cell", time_cell(F.col("r_at"), tolerance)
-    ).drop("adep", "ades")
+    ).withColumnsRenamed({"adep": "r_adep", "ades": "r_ades"})
     close = minutes_apart(F.col("r_at"), F.col("l_at")) <= tolerance
     days = F.abs(F.datediff(F.col("r_at").cast("date"), F.col("l_at").cast("date"))) <= 1
     return left.join(right, ["flight", "move", "_cell"]).where(register_compatible() & close & days).select(
-        "*", F.lit(SPECIAL_DATE_USED).alias("date_used"), F.lit(MODE_SPECIAL).alias("mode")
+        "*", F.lit(SPECIAL).alias("lookup")
     ).drop("_cell")
 
 
+def same_route() -> Column:
+    return F.coalesce((F.col("r_adep") == F.col("adep")) & (F.col("r_ades") == F.col("ades")), F.lit(False))
+
+
 def candidate_pairs(
     records: DataFrame, others: DataFrame, tolerance: float = DEFAULT_TOLERANCE_MINUTES
 ) -> DataFrame:
     """Every (record, billing row, lookup) that the rules look at."""
-    return lookup_pairs(records, others).unionByName(special_pairs(records, others, tolerance))
+    by_date = lookup_pairs(records, others).withColumns({"r_adep": F.col("adep"), "r_ades": F.col("ades")})
+    return by_date.unionByName(special_pairs(records, others, tolerance))
+
+
+def preferred_lookup(pairs: DataFrame) -> DataFrame:
+    """Each (record, billing row) once, under the lookup that ranks best.
+
+    Lookups overlap in a known way, so no grouping is needed: a row of the record's own
+    movement date counts there and not under its flight date, a row with one of the
+    record's flight dates counts there and not in the date window, and a special row of
+    the same route was found by date already.
+    """
+    lookup = F.col("lookup")
+    own_day = F.col("l_moved_on").eqNullSafe(format_date(F.col("r_at")))
+    own_flight_date = F.coalesce(
+        F.col("r_flight_date").isin(F.col("l_flight_date"), F.col("l_recovered_on")), F.lit(False)
+    ) | F.col("r_flight_date").eqNullSafe(F.col("l_flight_date"))
+    repeated = (
+        F.when(lookup.isin(1, 4), own_day).when(lookup.isin(2, 3), own_flight_date)
+        .when(lookup == SPECIAL, same_route()).otherwise(F.lit(False))
+    )
+    return pairs.where(~repeated)

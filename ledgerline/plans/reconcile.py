@@ -15,10 +15,10 @@ from ledgerline.functions.remarks import code_is_excluded
 from ledgerline.operators import outputs, summary as counters
 from ledgerline.operators.best import best_candidates
 from ledgerline.operators.dedup import assign_flight_instance_keys, duplicate_output, select_best
-from ledgerline.operators.evaluate import MatchRules, best_per_pair, evaluate
+from ledgerline.operators.evaluate import MatchRules, evaluate, evaluation
 from ledgerline.operators.extra import extra_rows
 from ledgerline.operators.keys import prepare_keys
-from ledgerline.operators.lookup import candidate_pairs, other_side, record_side
+from ledgerline.operators.lookup import candidate_pairs, other_side, preferred_lookup, record_side
 from ledgerline.operators.recovery import recover_adjacent_date_movements
 from ledgerline.operators.standardize import empty_text_to_blank, split_excluded, standardize_dataset
 from ledgerline.plans.mapping import detected_mapping, require_columns
@@ -72,7 +72,8 @@ class Reconciliation:
     @cached_property
     def candidates(self) -> DataFrame:
         """Every evaluated candidate of every record: the audit detail, listed in full."""
-        return evaluate(candidate_pairs(*self.sides, self.rules.tolerance_minutes), self.rules)
+        pairs = candidate_pairs(*self.sides, self.rules.tolerance_minutes)
+        return evaluate(preferred_lookup(pairs), self.rules)
 
     @cached_property
     def best(self) -> DataFrame:
@@ -128,7 +129,8 @@ class Reconciliation:
 
     @cached_property
     def not_selected(self) -> DataFrame:
-        return outputs.not_selected_results(self.decided, best_per_pair(self.candidates, self.rules))
+        per_pair = self.candidates.select("l_data", "l_row", evaluation().alias("_best"))
+        return outputs.not_selected_results(self.decided, per_pair)
 
     @cached_property
     def audit_detail(self) -> DataFrame:

@@ -56,3 +56,12 @@ def with_file_row_numbers(df: DataFrame, name: str = "__row", first: int = FIRST
         .withColumn(name, F.col("_start") + F.col("_id") - F.col("_first_id") + F.lit(first))
         .select(*[field(c) for c in df.columns], "__file", name)
     )
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give a scan with fewer splits than the cluster has cores one partition per core.
+
+    For row-wise work (parsing) on few or unsplittable files; a large scan is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

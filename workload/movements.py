@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ledgerline.sources.rows import spread
 from ledgerline.plans.reconcile import Reconciliation, reconcile_dat_vs_stream
 
 DEPARTURE_EVENTS = ("click", "purchase", "view")
@@ -40,7 +41,7 @@ def _shift(c: Column, minutes: Column) -> Column:
 
 def base(spark: SparkSession, sf_dir: str) -> DataFrame:
     second = F.substring(F.col("ts").cast("string"), 1, 19).cast("timestamp_ntz")
-    events = table(spark, sf_dir, "events").select(
+    events = spread(table(spark, sf_dir, "events")).select(
         F.col("event_id").alias("id"), second.alias("t"), F.col("user_id").alias("u"),
         F.col("event_type").alias("et"), F.regexp_extract("props", r"(\d+)", 1).alias("k"),
     )

@@ -6,6 +6,7 @@ from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ledgerline.constants import MODE_SPECIAL
 from ledgerline.functions import times
 from ledgerline.functions.text import field
 from ledgerline.operators import dedup, evaluate as ev, filters, instances, keys, lookup, outputs, recovery
@@ -245,11 +246,20 @@ SELECT src, row, dof, coalesce(flight, '') AS flight, adep, ades, move, 'DUPLICA
        selected, score, used, source_row FROM resolved WHERE NOT selected""", 5)
 
 
+def _lookup_texts() -> list[Column]:
+    """Wording of a lookup number."""
+    texts = [*lookup.LOOKUPS, (lookup.SPECIAL_DATE_USED, MODE_SPECIAL)]
+    number = F.col("lookup") + 1
+    return [
+        F.element_at(F.array(*[F.lit(t[i]) for t in texts]), number).alias(n) for i, n in enumerate(("date_used", "mode"))
+    ]
+
+
 def search_specs(spark, sf_dir):
     records, _ = reconciled(spark, sf_dir).sides
     return lookup.search_records(records).select(
         F.col("l_data").alias("src"), F.col("l_row").alias("row"), F.col("by").alias("index"),
-        F.col("date").alias("day"), "date_used", "mode",
+        F.col("date").alias("day"), *_lookup_texts(),
     )
 
 
@@ -260,7 +270,7 @@ FROM spec s JOIN l ON l.src = s.src AND l.row = s.row WHERE l.flight IS NOT NULL
 
 def multikey_candidates(spark, sf_dir):
     return lookup.lookup_pairs(*reconciled(spark, sf_dir).sides).select(
-        F.col("l_data").alias("src"), F.col("l_row").alias("row"), "r_row", "date_used", "mode"
+        F.col("l_data").alias("src"), F.col("l_row").alias("row"), "r_row", *_lookup_texts()
     )
 
 
@@ -270,7 +280,7 @@ SELECT src, row, rrow AS r_row, date_used, mode FROM pair0 WHERE mode <> 'SPECIA
 
 def special_band_candidates(spark, sf_dir):
     return lookup.special_pairs(*reconciled(spark, sf_dir).sides).select(
-        F.col("l_data").alias("src"), F.col("l_row").alias("row"), "r_row", "date_used", "mode"
+        F.col("l_data").alias("src"), F.col("l_row").alias("row"), "r_row", *_lookup_texts()
     )
 
 
@@ -279,7 +289,8 @@ SELECT src, row, rrow AS r_row, date_used, mode FROM pair0 WHERE mode = 'SPECIAL
 
 
 def candidate_evaluation(spark, sf_dir):
-    return reconciled(spark, sf_dir).candidates.select(
+    r = reconciled(spark, sf_dir)
+    return ev.evaluate(lookup.candidate_pairs(*r.sides), r.rules).select(
         F.col("l_data").alias("src"), F.col("l_row").alias("row"), "r_row", "date_used", "mode", "invalid_status",
         "register_mismatch", "date_mismatch", "time_difference", "invalid_reason", "validation_result",
     )
@@ -299,7 +310,8 @@ def _choice(best: DataFrame) -> DataFrame:
 
 
 def best_per_pair(spark, sf_dir):
-    return _choice(ev.best_per_pair(reconciled(spark, sf_dir).candidates))
+    candidates = reconciled(spark, sf_dir).candidates
+    return _choice(candidates.select("l_data", "l_row", ev.evaluation().alias("_best")))
 
 
 BEST_PER_PAIR = sql("SELECT src, row, rrow AS r_row, mode, date_used, diff AS time_difference FROM one")

@@ -24,7 +24,7 @@ LINE_ORDER = ["l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_disc
 
 def _sides(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """Orders, and the same orders as a second system would report them."""
-    o = table(spark, sf_dir, "orders")
+    o = row_numbers.spread(table(spark, sf_dir, "orders"))
     source = o.select(
         (F.col("o_orderkey") + 2).alias("row"),
         F.concat(F.lit("C "), F.col("o_custkey")).alias("Flight Number"), F.col("o_orderstatus").alias("From"),
@@ -229,7 +229,7 @@ def digest(spark, sf_dir):
 
 def html_tables(spark, sf_dir):
     """Every order as an HTML report: a title table and a data table with uneven rows."""
-    o = table(spark, sf_dir, "orders")
+    o = row_numbers.spread(table(spark, sf_dir, "orders"))
     key = F.col("o_orderkey").cast("string")
     page = F.concat(
         F.lit("<html><table><tr><th>Order</th></tr></table><TABLE><tr><th>KEY</th><th>STATUS</th><th>PRIORITY</th></tr><tr><td>"),
