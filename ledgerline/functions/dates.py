@@ -20,6 +20,7 @@ from ledgerline.functions.text import clean_scalar_text, clean_text, collapse_up
 ISO_DATE = r"^\d{4}-\d{2}-\d{2}$"
 LOOSE_ISO_DATE = r"^\d{4}-\d{1,2}-\d{1,2}$"
 SIX_DIGITS = r"^\d{6}$"
+EIGHT_DIGITS = r"^\d{8}$"
 SERIAL_TEXT = r"^\d{5}(?:\.0+)?$"
 TIME_TAIL = r"[ T]+\d{1,2}:\d{2}(?::\d{2}(?:\.\d+)?)?(?:\s*[AaPp][Mm])?$"
 SEP = r"[-/.]"
@@ -42,14 +43,7 @@ NAME_BETWEEN = (rf"^(\d{{1,2}}){SEP}?\s*({MONTH_NAME}){SEP}?,?\s*(\d{{4}})", "$1
 NAME_AHEAD = (rf"^({MONTH_NAME})\s*(\d{{1,2}}),?\s+(\d{{4}})", "$2 $1 $3")
 
 SPACED = (WIDEN_2000S, WIDEN_1900S, YEAR_FIRST)
-RECONCILE_READINGS = (
-    (ISO_PREFIX, DROP_TIME, YEAR_2000S, YEAR_1900S, CENTURY_DIGITS, DAY_DIGITS, *SPACED, DAY_FIRST),
-    (ISO_PREFIX, DROP_TIME, DAY_DIGITS, YEAR_DIGITS, *SPACED, MONTH_FIRST),
-)
-COMPARE_READINGS = (
-    (ISO_WHOLE, DROP_TIME, YEAR_2000S, YEAR_1900S, CENTURY_DIGITS, DAY_DIGITS, *SPACED, DAY_FIRST),
-    (DROP_TIME, *SPACED, MONTH_FIRST),
-)
+SHORT = (YEAR_2000S, YEAR_1900S)
 SERIAL_EPOCH = "1899-12-30"
 
 Rewrite = tuple[str, str]
@@ -77,8 +71,16 @@ def named_month(text: Column) -> Column:
     )
 
 
-def _first_reading(text: Column, readings: Sequence[Sequence[Rewrite]]) -> Column:
-    return F.coalesce(*[_read(text, rules) for rules in readings], named_month(text))
+def _first_reading(text: Column, prefix: Rewrite, compact: Sequence[Sequence[Rewrite]]) -> Column:
+    """Shape decides the reading; separated dates are day first, or month first if that is none."""
+    separated = [_read(text, (prefix, DROP_TIME, *SPACED, order)) for order in (DAY_FIRST, MONTH_FIRST)]
+    with_time = _read(text, (DROP_TIME, CENTURY_DIGITS))
+    return (
+        F.when(text.rlike(ISO_DATE), text.try_cast("date"))
+        .when(text.rlike(SIX_DIGITS), _read(text, SHORT))
+        .when(text.rlike(EIGHT_DIGITS), F.coalesce(*[_read(text, rules) for rules in compact]))
+        .otherwise(F.coalesce(*separated, with_time, named_month(text)))
+    )
 
 
 def serial_date(days: Column) -> Column:
@@ -88,13 +90,13 @@ def serial_date(days: Column) -> Column:
 
 def reconcile_date(text: Column) -> Column:
     """DateType of a cleaned text under the reconcile profile; NULL if no date."""
-    return _first_reading(text, RECONCILE_READINGS)
+    return _first_reading(text, ISO_PREFIX, ((CENTURY_DIGITS, DAY_DIGITS), (DAY_DIGITS, YEAR_DIGITS)))
 
 
 def compare_date(text: Column) -> Column:
     """DateType of an unquoted text under the table-diff profile; NULL if no date."""
     serial = serial_date(F.when(text.rlike(SERIAL_TEXT), text.try_cast("double")))
-    return F.coalesce(serial, _first_reading(text, COMPARE_READINGS))
+    return F.coalesce(serial, _first_reading(text, ISO_WHOLE, ((CENTURY_DIGITS, DAY_DIGITS),)))
 
 
 def iso(date: Column) -> Column:
@@ -124,7 +126,7 @@ def cell_date(c: Column, text: Column, kind: str = "text") -> Column:
     number = c.cast("double")
     whole = F.when(number == F.floor(number), number.cast("bigint").cast("string"))
     return F.coalesce(
-        _read(F.when(whole.rlike(SIX_DIGITS), whole), (YEAR_2000S, YEAR_1900S)),
+        _read(F.when(whole.rlike(SIX_DIGITS), whole), SHORT),
         F.when(number.between(2400, 100000), serial_date(number)),
         reconcile_date(text),
     )

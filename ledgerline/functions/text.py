@@ -47,18 +47,22 @@ def _peel(c: Column) -> Column:
     return strip(F.regexp_replace(c, QUOTED, "$2"))
 
 
+def _unquoted(text: Column) -> Column:
+    """Plain cells pass; two layers of quotes come off directly, deeper ones by a fold
+    bounded by the length of the cell itself."""
+    twice = _peel(_peel(text))
+    rest = F.aggregate(F.sequence(F.lit(1), F.length(text)), twice, lambda acc, _: _peel(acc))
+    quoted = text.startswith("'") | text.startswith('"')
+    return F.when(quoted, F.when(twice.rlike(QUOTED), rest).otherwise(twice)).otherwise(text)
+
+
 def _settled(c: Column, finish: Callable[[Column], Column]) -> Column:
-    """Unquote, then apply ``finish`` to the text, naming ``c`` only once.
+    """Trim and unquote, then apply ``finish``.
 
-    Two layers of quotes come off inside code generation; the lambda binds the result,
-    so that it can be looked at several times without repeating the expression, and
-    handles deeper nesting with a fold bounded by the length of the cell itself.
+    The lambdas bind their text, so it can be looked at several times while ``c`` is
+    named only once: expressions built on top of each other stay small.
     """
-    def settle(text: Column) -> Column:
-        rest = F.aggregate(F.sequence(F.lit(1), F.length(text)), text, lambda acc, _: _peel(acc))
-        return finish(F.when(text.rlike(QUOTED), rest).otherwise(text))
-
-    return F.element_at(F.transform(F.array(_peel(_peel(strip(c)))), settle), 1)
+    return F.element_at(F.transform(F.transform(F.array(strip(c)), _unquoted), finish), 1)
 
 
 def unquote(c: Column) -> Column:
@@ -120,8 +124,8 @@ def fold_compatibility(c: Column, exact: bool = False) -> Column:
 
 def code_of(text: Column, exact: bool = False) -> Column:
     """Code of an already cleaned text: upper-case letters and digits only."""
-    folded = F.upper(fold_compatibility(text, exact))
-    return F.nullif(F.regexp_replace(folded, "[^A-Z0-9]+", ""), F.lit(""))
+    reduced = F.regexp_replace(F.upper(fold_compatibility(text, exact)), "[^A-Z0-9]+", "")
+    return F.nullif(F.when(text.rlike("^[A-Z0-9]+$"), text).otherwise(reduced), F.lit(""))
 
 
 def normalize_code(c: Column, exact: bool = False) -> Column:

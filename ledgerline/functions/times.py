@@ -64,8 +64,10 @@ def _interval_minutes(c: Column) -> Column:
 def text_minutes(text: Column) -> Column:
     """Minutes of the day in a cleaned text (reconcile profile), NULL if none."""
     dotted = F.replace(text, F.lit("."), F.lit(":"))
+    hour = F.split_part(dotted, F.lit(":"), F.lit(1)).try_cast("int")
+    minute = F.split_part(dotted, F.lit(":"), F.lit(2)).try_cast("int")
     return (
-        F.when(dotted.rlike(CLOCK), _clock_minutes(dotted, CLOCK))
+        F.when(dotted.rlike(CLOCK), F.when((hour < 24) & (minute < 60), hour * 60 + minute))
         .when(dotted.rlike(COMPACT_CLOCK), _compact_minutes(dotted))
     )
 

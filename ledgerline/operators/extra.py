@@ -16,7 +16,8 @@ def touched_by_remark(records: DataFrame, others: DataFrame, tolerance: float) -
     """Special rows with a record close in time that does not contradict their register.
 
     Only the nearest record of the same register, of no register, or (for a row without
-    register) of any, has to be looked at; records are folded to their distinct times.
+    register) of any, has to be looked at; both sides are folded to their distinct times
+    before the sorted pass.
     """
     scope = ["flight", "move", "_cell"]
     rows = others.where(
@@ -31,10 +32,11 @@ def touched_by_remark(records: DataFrame, others: DataFrame, tolerance: float) -
     times = beside.select(*scope, "at", F.explode(slots).alias("_slot")).distinct().withColumn("_seen", F.lit(True))
     mine = F.col("r_register")
     asked = F.when(mine.isNull(), F.array(F.lit(ANY_REGISTER))).otherwise(F.array(mine, F.lit("")))
-    probes = rows.withColumn("_slot", F.explode(asked)).drop("r_register")
-    found = nearest(probes, times, [*scope, "_slot"], "at", ["_seen"])
+    moments = rows.select(*scope, "at", F.explode(asked).alias("_slot")).distinct()
+    beside = nearest(moments, times, [*scope, "_slot"], "at", ["_seen"])
     away = F.least(*[minutes_apart(F.col(side)["at"], F.col("at")) for side in ("before", "after")])
-    return found.where(away <= tolerance).select("r_row")
+    met = beside.where(away <= tolerance).select(*scope, "at", "_slot")
+    return rows.withColumn("_slot", F.explode(asked)).join(met, [*scope, "at", "_slot"], "left_semi").select("r_row")
 
 
 def looked_at(records: DataFrame, others: DataFrame, tolerance: float = DEFAULT_TOLERANCE_MINUTES) -> DataFrame:
