@@ -12,7 +12,7 @@ from ledgerline.constants import FIELDS
 from ledgerline.operators import compare as ops
 from ledgerline.operators.occurrence import BLOCK_ROWS
 from ledgerline.plans.mapping import check_keys
-from ledgerline.plans.staging import NONE, stage
+from ledgerline.plans.staging import TABLE, stage
 
 
 @dataclass(frozen=True)
@@ -72,18 +72,21 @@ def compare_datasets(
     allow_incomplete_keys: bool = False,
     row_col: str | None = None,
     block_rows: int = BLOCK_ROWS,
-    mode: str = NONE,
+    mode: str = TABLE,
 ) -> Comparison:
-    """Pair rows by key and occurrence; ``mode`` may stage the aligned rows for several results."""
+    """Pair rows by key and occurrence.
+
+    Counting occurrences reads a side twice and every result reads the aligned rows, so
+    both are kept: ``mode`` is "table" (written to the cluster's shared folder),
+    "persist" or "none".
+    """
     keys = check_keys(key_fields, source_mapping, actual_mapping)
-    sides = (
-        ops.prepare_for_matching(
-            ops.canonicalize(df, mapping, row_col), keys, side, allow_incomplete_keys, block_rows
-        )
-        for df, mapping, side in (
-            (source_frame, source_mapping, "SOURCE"), (actual_frame, actual_mapping, "ACTUAL"),
-        )
-    )
+    sides = []
+    for df, mapping, side in (
+        (source_frame, source_mapping, "SOURCE"), (actual_frame, actual_mapping, "ACTUAL"),
+    ):
+        canonical = stage(ops.canonicalize(df, mapping, row_col), f"canonical-{side.lower()}", mode)
+        sides.append(ops.prepare_for_matching(canonical, keys, side, allow_incomplete_keys, block_rows))
     comparable = tuple(
         f for f in FIELDS if f not in keys and source_mapping.get(f) and actual_mapping.get(f)
     )

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from functools import lru_cache
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ledgerline.operators import compare as ops
 from ledgerline.operators.occurrence import occurrence_number
@@ -43,10 +44,20 @@ def _sides(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     return source, actual
 
 
-def _compared(spark, sf_dir, incomplete: bool = False) -> Comparison:
-    source, actual = _sides(spark, sf_dir)
+@lru_cache(maxsize=4)
+def _shared(application: str, sf_dir: str) -> Comparison:
+    source, actual = _sides(SparkSession.active(), sf_dir)
     maps = (detect_mapping(c for c in side.columns if c != "row") for side in (source, actual))
-    return compare_datasets(source, actual, *maps, KEYS, incomplete, row_col="row")
+    return compare_datasets(source, actual, *maps, KEYS, row_col="row")
+
+
+def _compared(spark, sf_dir) -> Comparison:
+    """One comparison per session and scale; its result tables share the staged rows."""
+    return _shared(spark.sparkContext.applicationId, sf_dir)
+
+
+def forget() -> None:
+    _shared.cache_clear()
 
 
 SIDES_SQL = """
