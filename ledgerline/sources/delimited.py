@@ -22,20 +22,21 @@ def _header(spark: SparkSession, path: str, options: dict[str, object]) -> list[
 
 def read_source_csv(
     spark: SparkSession, path: str, sep: str = ",", encoding: str = "UTF-8",
-    multi_line: bool = False, row_numbers: str | None = "__row",
+    multi_line: bool = False, row_numbers: str | None = "__row", per_file: bool = False,
 ) -> DataFrame:
     """Scan delimited files with one header, all cells as text, no NULL inference.
 
     ``sep`` and ``encoding`` are explicit. Files are split over tasks unless
     ``multi_line`` asks for line breaks inside quotes. ``row_numbers`` names the
-    per-file ordinal (first data line is 2); ``__file`` tells the file.
+    ordinal (first data line is 2, counting on over the files or ``per_file``);
+    ``__file`` tells the file.
     """
     options = {"sep": sep, "encoding": encoding, "multiLine": multi_line, "quote": '"', "escape": '"',
                "inferSchema": False, "emptyValue": ""}
     names = make_unique_columns(_header(spark, path, options))
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
     df = spark.read.options(**options, header=True, enforceSchema=True).schema(schema).csv(path)
-    numbered = with_file_row_numbers(df, row_numbers) if row_numbers else df
+    numbered = with_file_row_numbers(df, row_numbers, per_file=per_file) if row_numbers else df
     return numbered.fillna("", names)  # an empty cell is an empty text, not a missing one
 
 

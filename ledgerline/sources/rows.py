@@ -32,11 +32,15 @@ def with_row_numbers(df: DataFrame, name: str = "__row", first: int = FIRST_SOUR
     )
 
 
-def with_file_row_numbers(df: DataFrame, name: str = "__row", first: int = FIRST_SOURCE_ROW) -> DataFrame:
-    """Ordinal per input file of a multi-file text scan, plus ``__file``.
+def with_file_row_numbers(
+    df: DataFrame, name: str = "__row", first: int = FIRST_SOURCE_ROW, per_file: bool = False
+) -> DataFrame:
+    """Ordinal in file order of a multi-file text scan, plus ``__file``.
 
-    A file may be split over many tasks, and one task may read pieces of many files;
-    a piece is identified by (file, start offset) and is read in order by one task.
+    The files of a folder count on in path order, so the ordinal identifies a row of
+    the whole dataset; ``per_file`` starts again in each file. A file may be split over
+    many tasks, and one task may read pieces of many files; a piece is identified by
+    (file, start offset) and is read in order by one task. One count per piece is summed.
     """
     pieces = df.select(
         "*",
@@ -47,9 +51,8 @@ def with_file_row_numbers(df: DataFrame, name: str = "__row", first: int = FIRST
     per_piece = pieces.groupBy("__file", "_offset").agg(
         F.count("*").alias("_rows"), F.min("_id").alias("_first_id")
     )
-    before = (
-        Window.partitionBy("__file").orderBy("_offset").rowsBetween(Window.unboundedPreceding, -1)
-    )
+    order = Window.partitionBy("__file").orderBy("_offset") if per_file else Window.orderBy("__file", "_offset")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
     starts = per_piece.withColumn("_start", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
     return (
         pieces.join(starts.drop("_rows"), ["__file", "_offset"])

@@ -1,5 +1,6 @@
 import hashlib
 
+import pytest
 from pyspark.sql import functions as F
 
 from ledgerline.plans.mapping import detect_mapping
@@ -25,18 +26,20 @@ def test_delimited_scan_keeps_text_and_names(spark, tmp_path):
     assert rows == [("GA100", "NA", "007", "x", 2), ("", "", "", "", 3), ("ID2", "CGK", "", 'a"b', 4)]
 
 
-def test_row_numbers_follow_the_file_over_many_splits(spark, tmp_path):
+@pytest.mark.parametrize("per_file", [False, True])
+def test_row_numbers_follow_the_file_over_many_splits(spark, tmp_path, per_file):
     for name, rows in (("one.csv", 3000), ("two.csv", 700)):
         body = "".join(f"{name}-{i}\n" for i in range(rows))
         (tmp_path / name).write_text("id\n" + body)
     before = spark.conf.get("spark.sql.files.maxPartitionBytes")
     spark.conf.set("spark.sql.files.maxPartitionBytes", 4096)
     try:
-        df = read_source_csv(spark, str(tmp_path))
+        df = read_source_csv(spark, str(tmp_path), per_file=per_file)
         got = {(r["id"], r["__row"]) for r in df.collect()}
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
-    want = {(f"{n}-{i}", i + 2) for n, k in (("one.csv", 3000), ("two.csv", 700)) for i in range(k)}
+    start = {"one.csv": 2, "two.csv": 2 if per_file else 3002}
+    want = {(f"{n}-{i}", i + start[n]) for n, k in (("one.csv", 3000), ("two.csv", 700)) for i in range(k)}
     assert got == want
 
 

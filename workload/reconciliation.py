@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
+import uuid
+from functools import lru_cache, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ledgerline.constants import MODE_SPECIAL
 from ledgerline.functions import times
 from ledgerline.functions.text import field
-from ledgerline.operators import dedup, evaluate as ev, filters, instances, keys, lookup, outputs, recovery
+from ledgerline.operators import dedup, evaluate as ev, extra as extra_ops, filters, instances, keys, lookup, outputs, recovery
 from ledgerline.operators.summary import reason_histogram
 from ledgerline.operators.best import best_candidates
 from ledgerline.plans.reconcile import Reconciliation
-from ledgerline.sources.sinks import report_tables
+from ledgerline.plans.staging import shared_folder
+from ledgerline.sources.sinks import report_tables, write_report
 from workload.movements import reconcile_events, sql
 
 
@@ -541,6 +543,48 @@ SELECT src, row, dof, row_number() OVER (PARTITION BY dof ORDER BY flight, move,
 FROM decided WHERE outcome = 'MATCHED'"""
 
 
+def report_sink(spark, sf_dir):
+    """The nine report datasets, written in report order and read back."""
+    folder = f"{shared_folder(spark).rstrip('/')}/report-{uuid.uuid4().hex}"
+    paths = write_report(reconciled(spark, sf_dir), folder)
+    read = [(path.rsplit("/", 1)[1], spark.read.parquet(path)) for path in paths]
+    counts = [
+        df.agg(F.lit(name).alias("dataset"), F.count("*").alias("rows"),
+               (F.max("DATE OF FLIGHT") if name != "Summary" else F.lit(None).cast("date")).cast("string").alias("last_day"))
+        for name, df in read
+    ]
+    return reduce(DataFrame.unionByName, counts)
+
+
+REPORT_SINK_SQL = """
+SELECT 'Summary' AS dataset, 18 AS rows, NULL AS last_day
+UNION ALL SELECT 'Validasi', count(*), CAST(max(fd) AS VARCHAR) FROM decided WHERE validasi = 'ADA DI DAT TIDAK ADA DI STREAM'
+UNION ALL SELECT 'Missing in Stream', count(*), CAST(max(fd) AS VARCHAR) FROM decided WHERE outcome = 'MISSING IN STREAM'
+UNION ALL SELECT 'Matched', count(*), CAST(max(fd) AS VARCHAR) FROM decided WHERE outcome = 'MATCHED'
+UNION ALL SELECT 'Need Review', count(*), CAST(max(fd) AS VARCHAR) FROM decided WHERE outcome = 'NEED REVIEW'
+UNION ALL SELECT 'Extra in Stream', count(*), max(dof) FROM extra
+UNION ALL SELECT 'Duplicate DAT', count(*), CAST(max(fd) AS VARCHAR) FROM resolved WHERE NOT selected
+UNION ALL SELECT 'Audit Detail', (SELECT count(*) FROM decided) + (SELECT count(*) FROM placed WHERE place > 1)
+    + (SELECT count(*) FROM extra) + (SELECT count(*) FROM resolved WHERE NOT selected),
+    greatest((SELECT max(dof) FROM extra), (SELECT CAST(max(fd) AS VARCHAR) FROM resolved))
+UNION ALL SELECT 'Excluded Non-Billable', (SELECT count(*) FROM stdm WHERE excluded) + (SELECT count(*) FROM bil1 WHERE excluded),
+    greatest((SELECT CAST(max(fd) AS VARCHAR) FROM stdm WHERE excluded), (SELECT max(dof) FROM bil1 WHERE excluded))"""
+
+
+def index_groups(spark, sf_dir):
+    """Billing rows per lookup key."""
+    _, others = reconciled(spark, sf_dir).sides
+    return lookup.indexed(others).groupBy("by", "date", "flight", "adep", "ades", "move").agg(F.count("*").alias("n"))
+
+
+INDEX_GROUPS = sql("""
+SELECT x.by, x.date, b.flight, b.adep, b.ades, b.move, count(*) AS n FROM ridx x JOIN bil b ON b.row = x.row GROUP BY ALL""")
+
+
+def looked_at(spark, sf_dir):
+    return extra_ops.looked_at(*reconciled(spark, sf_dir).sides)
+
+
 def _outcomes(condition: str) -> str:
     return sql(f"SELECT * FROM ({OUTCOME_SQL}) WHERE {condition}")
 
@@ -582,6 +626,9 @@ QUERIES = {
     "validasi": (validasi, _outcomes("validasi = 'ADA DI DAT TIDAK ADA DI STREAM'")),
     "empty_movement": (empty_movement, sql(
         "SELECT src, row, why AS reason, 'NO STREAM MATCH' AS mode FROM decided WHERE moved IS NULL")),
+    "index_groups": (index_groups, INDEX_GROUPS),
+    "looked_at": (looked_at, sql("SELECT DISTINCT rrow AS r_row FROM pair0")),
+    "report_sink": (report_sink, sql(REPORT_SINK_SQL)),
     "extra_rows": (extra_rows, sql(EXTRA_SQL)),
     "not_selected": (not_selected, sql(NOT_SELECTED_SQL)),
     "audit_union": (audit_union, sql(AUDIT_SQL)),

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -14,8 +14,8 @@ from ledgerline.plans.compare import Comparison, compare_datasets
 from ledgerline.plans.mapping import detect_mapping
 from ledgerline.plans.staging import shared_folder
 from ledgerline.sources import formats, html_report, rows as row_numbers
-from ledgerline.sources.delimited import read_source_csv
-from ledgerline.sources.sinks import write_csv
+from ledgerline.sources.delimited import read_source_csv, read_uploaded_table
+from ledgerline.sources.sinks import COMPARISON_BUNDLE, write_comparison, write_csv
 from workload.movements import table
 
 KEYS = ("flight", "ades")
@@ -267,6 +267,49 @@ def csv_round_trip(spark, sf_dir):
     return scanned.select(F.col("p_partkey").cast("bigint").alias("p_partkey"), "p_name", "p_brand", "p_note")
 
 
+def uploaded_table(spark, sf_dir):
+    """The same parts through the dispatching scan, which finds delimited text."""
+    path = f"{shared_folder(spark).rstrip('/')}/uploaded-{uuid.uuid4().hex}"
+    write_csv(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type"), path)
+    scanned, label = read_uploaded_table(spark, path)
+    return scanned.select(F.col("p_partkey").cast("bigint").alias("p_partkey"), "p_name", "p_type", F.lit(label).alias("label"))
+
+
+def comparison_sink(spark, sf_dir):
+    """The five comparison datasets, written and read back."""
+    folder = f"{shared_folder(spark).rstrip('/')}/comparison-{uuid.uuid4().hex}"
+    write_comparison(_compared(spark, sf_dir), folder, "parquet")
+    counts = [
+        spark.read.parquet(f"{folder}/{name}").agg(F.lit(name).alias("dataset"), F.count("*").alias("rows"))
+        for name in COMPARISON_BUNDLE
+    ]
+    return reduce(DataFrame.unionByName, counts)
+
+
+COMPARISON_SINK = f"""WITH {SIDES_SQL}
+SELECT '01_hanya_data_sumber' AS dataset, (SELECT count(*) FROM s) - (SELECT count(*) FROM m) AS rows
+UNION ALL SELECT '02_hanya_data_aktual', (SELECT count(*) FROM a) - (SELECT count(*) FROM m)
+UNION ALL SELECT '03_semua_tidak_cocok', (SELECT count(*) FROM s) + (SELECT count(*) FROM a) - 2 * (SELECT count(*) FROM m)
+UNION ALL SELECT '04_data_cocok', (SELECT count(*) FROM m)
+UNION ALL SELECT '05_perbedaan_nilai', (SELECT count(*) FROM m WHERE fields <> '')"""
+
+
+def compare_shared(spark, sf_dir):
+    """Rows of the first report whose key and occurrence the second one has, kept as they are."""
+    source, actual = _sides(spark, sf_dir)
+    prepared = [
+        ops.prepare_for_matching(
+            ops.canonicalize(df, detect_mapping(c for c in df.columns if c != "row"), "row"), list(KEYS), side
+        ) for df, side in ((source, "SOURCE"), (actual, "ACTUAL"))
+    ]
+    ids = [*[f"key_{k}" for k in KEYS], "occurrence", "_scope"]
+    return prepared[0].join(prepared[1].select(*ids), ids, "left_semi").select("__row", "key_flight", "key_ades", "occurrence")
+
+
+COMPARE_SHARED = f"""WITH {SIDES_SQL}
+SELECT row AS __row, flight AS key_flight, ades AS key_ades, occ - 1 AS occurrence FROM s WHERE row IN (SELECT srow FROM m)"""
+
+
 def row_ordinals(spark, sf_dir):
     """Scan-order ordinals: gap-free, starting at line 2."""
     numbered = row_numbers.with_row_numbers(table(spark, sf_dir, "lineitem").select("l_orderkey"), "line")
@@ -296,5 +339,8 @@ QUERIES = {
     "digest": (digest, "SELECT page_id, substr(sha256(html), 1, 16) AS digest FROM pages"),
     "html_tables": (html_tables, HTML_TABLES),
     "csv_round_trip": (csv_round_trip, "SELECT p_partkey, p_name, p_brand, 'NA' AS p_note FROM part"),
+    "uploaded_table": (uploaded_table, "SELECT p_partkey, p_name, p_type, 'Delimited text · utf-8' AS label FROM part"),
+    "comparison_sink": (comparison_sink, COMPARISON_SINK),
+    "compare_shared": (compare_shared, COMPARE_SHARED),
     "row_ordinals": (row_ordinals, ROW_ORDINALS),
 }
