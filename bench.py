@@ -39,7 +39,8 @@ def main() -> None:
     spark = (
         SparkSession.builder.master(f"local[{cpus}]").appName("bench")
         .config("spark.sql.shuffle.partitions", cpus).config("spark.sql.session.timeZone", "UTC")
-        .config("spark.driver.memory", "16g").config("spark.ui.enabled", "false").getOrCreate()
+        .config("spark.driver.memory", "16g").config("spark.ui.enabled", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false").getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
     spark.range(1000).groupBy("id").count().collect()  # start the executors, not part of any timing

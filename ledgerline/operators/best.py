@@ -134,16 +134,20 @@ def best_choices(
     """Chosen row and lookup (``r_row``, ``lookup``) per record.
 
     Only what the preference depends on travels through the join; texts are added to
-    the winners alone.
+    the winners alone. One narrow count of the key groups tells whether any is large.
     """
     tolerance = rules.tolerance_minutes
     flagged = others.withColumn("invalid_status", invalid_status(rules))
     index = index_entries(flagged, tolerance).select(*GROUP, *RANK, *CARRIED)
     probes = probe_entries(records, tolerance).select(*RECORD, *GROUP, "lookup")
     dense = index.groupBy(*GROUP).agg(F.count("*").alias("_rows")).where(F.col("_rows") > dense_rows).select(*GROUP)
-    pairs = probes.join(index.join(dense, GROUP, "left_anti"), GROUP)
-    contenders = _contenders(probes.join(dense, GROUP, "left_semi"), index.join(dense, GROUP, "left_semi"))
-    found = findings(_eligible(pairs.unionByName(contenders), tolerance))
+    if dense.isEmpty():
+        pairs = probes.join(index, GROUP)
+    else:
+        small = probes.join(index.join(dense, GROUP, "left_anti"), GROUP)
+        contenders = _contenders(probes.join(dense, GROUP, "left_semi"), index.join(dense, GROUP, "left_semi"))
+        pairs = small.unionByName(contenders)
+    found = findings(_eligible(pairs, tolerance))
     best = F.min(F.struct(selection_order(rules).alias("order"), "r_row", "lookup")).alias("_choice")
     return found.groupBy("l_data", "l_row").agg(best).select("l_data", "l_row", "_choice.r_row", "_choice.lookup")
 

@@ -9,7 +9,7 @@ instead of piling up under the group key.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ledgerline.constants import MATCH_KEY_COLUMNS
 from ledgerline.functions.text import duplicate_group_key, field
@@ -44,21 +44,25 @@ def _folded(df: DataFrame) -> DataFrame:
     return _timed(df).groupBy(*SLOT, "register").agg(F.min("moved").alias("moved"), F.min("row").alias("row"))
 
 
+def _slotted(df: DataFrame) -> DataFrame:
+    """Folded rows with the one register of their slot; later steps keep this partitioning."""
+    slot = Window.partitionBy(*SLOT)
+    lowest, highest = F.min("register").over(slot), F.max("register").over(slot)
+    return _folded(df).withColumn("slot_register", F.when(lowest == highest, lowest))
+
+
 def slot_registers(df: DataFrame) -> DataFrame:
     """The one register of a (key, date, bucket) slot; NULL unless it is the only one."""
-    only = F.when(F.min("register") == F.max("register"), F.min("register"))
-    return _folded(df).groupBy(*SLOT).agg(only.alias("slot_register"))
+    return _slotted(df).select(*SLOT, "slot_register").distinct()
 
 
 def movement_instances(df: DataFrame) -> DataFrame:
     """Distinct (date, bucket, register) movements per key, earliest time, first row.
 
-    Blank registers take the slot's only register; the slot join runs on folded rows.
+    Blank registers take the slot's only register.
     """
-    resolved = _folded(df).join(slot_registers(df), SLOT).withColumn(
-        "register", F.coalesce("register", "slot_register", F.lit(""))
-    )
-    return resolved.groupBy(*SLOT, "register").agg(F.min("moved").alias("moved"), F.min("row").alias("row"))
+    settled = _slotted(df).withColumn("register", F.coalesce("register", "slot_register", F.lit("")))
+    return settled.groupBy(*SLOT, "register").agg(F.min("moved").alias("moved"), F.min("row").alias("row"))
 
 
 def attach_timeless(df: DataFrame, instances: DataFrame) -> DataFrame:
@@ -77,28 +81,27 @@ def attach_timeless(df: DataFrame, instances: DataFrame) -> DataFrame:
     references = instances.withColumn("slot", slots).where(F.col("slot") != "").withColumn(
         "first_seen", -F.col("row")
     )
-    totals = references.groupBy(*KEYS, "slot").agg(
-        F.count("*").alias("found"),
-        F.max(F.struct("actual_date", "bucket", "register")).alias("any"),
-    )
     scope = [*KEYS, "slot"]
-    placed = nearest(
-        probes, references.select(*scope, F.col("moved").alias("at"), "first_seen", "actual_date", "bucket", "register"),
-        by=scope, at="at", rank=["first_seen"], carry=["actual_date", "bucket", "register"],
+    instance = ["actual_date", "bucket", "register"]
+    counted = nearest(
+        probes, references.select(*scope, F.col("moved").alias("at"), "first_seen", *instance),
+        by=scope, at="at", rank=["first_seen"], carry=instance, with_totals=True,
     )
-    counted = placed.join(totals, scope, "left")
+
+    def pick(side: str) -> Column:
+        return F.struct(*[F.col(side)[c].alias(c) for c in instance])
 
     def distance(side: str) -> Column:
         away = F.abs(seconds_between(F.col(side)["at"], F.col("at")))
         return F.when(F.col(side).isNotNull(), F.struct(
             away, -F.col(side)["first_seen"],
-            F.struct(*[F.col(side)[c].alias(c) for c in ("actual_date", "bucket", "register")]).alias("pick"),
+            pick(side).alias("pick"),
         ))
 
     closest = F.least(distance("before"), distance("after"))["pick"]
-    pick = F.when(F.col("found") == 1, F.col("any")).when(F.col("found") > 1, closest)
+    chosen = F.when(F.col("found") == 1, pick("any")).when(F.col("found") > 1, closest)
     choice = F.when(F.col("found") > 0, F.struct(
-        (F.col("slot") != ANY_REGISTER).alias("same_register"), F.col("found"), pick.alias("instance"),
+        (F.col("slot") != ANY_REGISTER).alias("same_register"), F.col("found"), chosen.alias("instance"),
     ))
     return counted.groupBy(*KEYS, "register", "at").agg(F.max(choice).alias("_choice")).select(
         *KEYS, "register", "at", F.coalesce(F.col("_choice.found"), F.lit(0)).alias("found"),

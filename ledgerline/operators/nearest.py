@@ -14,6 +14,7 @@ def nearest(
     at: str,
     rank: Sequence[str],
     carry: Sequence[str] = (),
+    with_totals: bool = False,
 ) -> DataFrame:
     """Every probe with the references next to it, before and after, in its group.
 
@@ -21,7 +22,8 @@ def nearest(
     ``at``; probe columns are kept. ``rank`` lists reference columns that decide
     between references of one instant (larger wins), ``carry`` further columns to bring
     along. The result adds the structs ``before`` and ``after``; each holds ``at``,
-    ``rank`` and ``carry`` or is NULL.
+    ``rank`` and ``carry`` or is NULL. ``with_totals`` also adds ``found``, the number of
+    references in the group, and ``any``, one of them.
 
     One shuffle of probes plus references and two sorted passes: the cost is linear in
     the rows, never the product of a group's sides.
@@ -46,9 +48,16 @@ def nearest(
     ahead = Window.partitionBy(*by).orderBy(F.col(at).asc(), is_reference.desc()).rowsBetween(*passed)
     back = Window.partitionBy(*by).orderBy(F.col(at).desc(), is_reference.desc()).rowsBetween(*passed)
     seen = both.withColumn("_before", F.max(key(1)).over(ahead)).withColumn("_after", F.max(key(-1)).over(back))
+    totals = []
+    if with_totals:
+        group = Window.partitionBy(*by)
+        seen = seen.withColumns({
+            "found": F.count("_reference").over(group), "any": F.max("_reference").over(group),
+        })
+        totals = ["found", "any"]
     has_time = F.col(at).isNotNull()
     return seen.where(F.col("_probe").isNotNull()).select(
         *by, at, *[F.col("_probe")[c].alias(c) for c in extra],
         F.when(has_time, F.col("_before").dropFields("_order")).alias("before"),
-        F.when(has_time, F.col("_after").dropFields("_order")).alias("after"),
+        F.when(has_time, F.col("_after").dropFields("_order")).alias("after"), *totals,
     )
