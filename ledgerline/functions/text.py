@@ -39,6 +39,15 @@ def kind_of(dtype: T.DataType) -> str:
     return "text"
 
 
+def as_text(c: Column, kind: str = "text") -> Column:
+    """Text of a raw cell; large floating numbers are written out, not in E notation."""
+    if kind != "float":
+        return c
+    written = c.cast("string")
+    plain = F.regexp_replace(written.try_cast("decimal(38,12)").cast("string"), r"(\.\d+?)0+$", "$1")
+    return F.when(written.contains("E") & F.abs(c).between(1e-4, 1e16), plain).otherwise(written)
+
+
 def strip(c: Column) -> Column:
     return F.btrim(c.cast("string"), F.lit(WHITESPACE))
 
@@ -137,7 +146,7 @@ def display_text(c: Column, kind: str = "text") -> Column:
     if kind == "float":
         as_double = c.cast("double")
         whole = (as_double == F.floor(as_double)) & (F.abs(as_double) < F.lit(1e18))
-        return F.when(whole, as_double.cast("bigint").cast("string")).otherwise(clean_text(c))
+        return F.when(whole, as_double.cast("bigint").cast("string")).otherwise(clean_text(as_text(c, kind)))
     return clean_text(c)
 
 

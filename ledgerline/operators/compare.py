@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerline.constants import FIELD_LABELS, FIELDS
-from ledgerline.functions.text import blank, field, kind_of
+from ledgerline.functions.text import as_text, blank, field, kind_of
 from ledgerline.functions.values import content, displayed, normalized
 from ledgerline.operators.keys import all_present
 from ledgerline.operators.occurrence import BLOCK_ROWS, occurrence_number
@@ -31,7 +31,7 @@ def canonicalize(df: DataFrame, mapping: Mapping[str, str | None], row_col: str
     kinds = {f: kind_of(df.schema[c].dataType) for f, c in mapped.items()}
     cells = df.select(
         field(row_col).cast("bigint").alias(ROW),
-        *[content(field(c)).alias(f) for f, c in mapped.items()],
+        *[content(as_text(field(c), kinds[f])).alias(f) for f, c in mapped.items()],
         *[field(c).alias(f"_raw_{f}") for f, c in mapped.items() if kinds[f] != "text"],
     )
 

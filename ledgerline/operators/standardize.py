@@ -13,7 +13,7 @@ from ledgerline.functions import times
 from ledgerline.functions.dates import cell_date, iso
 from ledgerline.functions.remarks import remark_display, special_remark_keyword
 from ledgerline.functions.text import (
-    clean_text, code_of, collapse_upper, display_text, field, kind_of, prefer,
+    as_text, clean_text, code_of, collapse_upper, display_text, field, kind_of, prefer,
 )
 from ledgerline.sources.rows import with_row_numbers
 
@@ -56,7 +56,7 @@ def standardize_dataset(
         field(row_col).cast("bigint").alias("SOURCE ROW"),
         "_keyword",
         remark.alias("_remark"),
-        *[(c if kind == "none" else clean_text(c)).alias(f"_{n}") for n, (c, kind) in raw.items()],
+        *[(c if kind == "none" else clean_text(as_text(c, kind))).alias(f"_{n}") for n, (c, kind) in raw.items()],
         *[c.alias(f"_raw_{n}") for n, (c, kind) in raw.items() if kind not in ("text", "none")],
     )
 

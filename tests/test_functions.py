@@ -84,6 +84,13 @@ def test_typed_cells(spark):
     assert tuple(row) == ("2026-06-27 12:00:00", "2026-05-23", 65, "2026-06-27 00:00:00", 2.2, "8", "8.5")
 
 
+def test_float_texts(spark):
+    df = spark.createDataFrame([(12345678.9,), (123456789012.5,), (0.00025,), (8.0,), (float("nan"),)], "f double")
+    shown = df.select(text.display_text(F.col("f"), "float"), text.clean_text(text.as_text(F.col("f"), "float")))
+    assert [tuple(r) for r in shown.collect()] == [
+        ("12345678.9", "12345678.9"), ("123456789012.5", "123456789012.5"), ("0.00025", "0.00025"), ("8", "8.0"), (None, None)]
+
+
 def test_message_numbers_and_buckets(texts, spark):
     assert texts(["12", "no. -3.5 x", "none", ""], times.parse_message_number(V())) == [(12.0,), (-3.5,), (None,), (None,)]
     df = spark.createDataFrame([(datetime.datetime(2026, 1, 1, 23, 59),), (None,)], "t timestamp_ntz")
