@@ -95,7 +95,7 @@ def msg_number(spark, sf_dir):
 
 MSG_NUMBER = """
 SELECT event_id, CAST(regexp_extract(props, '-?[0-9]+(?:[.][0-9]+)?') AS DOUBLE) AS from_text,
-       CAST(CAST(value AS DECIMAL(12,2)) AS DOUBLE) AS from_number, -1.0 * event_id AS negative,
+       CAST(CAST(value AS DECIMAL(12,2)) AS DOUBLE) AS from_number, CAST(-event_id AS DOUBLE) AS negative,
        CAST(NULL AS DOUBLE) AS none_found FROM events"""
 
 
@@ -184,8 +184,8 @@ def time_formats(spark, sf_dir):
 
 
 TIME_FORMATS = """
-SELECT event_id AS id, hour(ts) * 60 + minute(ts) AS clock, hour(ts) * 60 + minute(ts) AS dotted,
-       hour(ts) * 60 + minute(ts) AS digits, hour(ts) * 60 + minute(ts) AS number, hour(ts) * 60 + minute(ts) AS fraction,
+SELECT event_id AS id, CAST(hour(ts) * 60 + minute(ts) AS INTEGER) AS clock, CAST(hour(ts) * 60 + minute(ts) AS INTEGER) AS dotted,
+       CAST(hour(ts) * 60 + minute(ts) AS INTEGER) AS digits, CAST(hour(ts) * 60 + minute(ts) AS INTEGER) AS number, CAST(hour(ts) * 60 + minute(ts) AS INTEGER) AS fraction,
        CAST(NULL AS INTEGER) AS wrong, strftime(ts, '%H:%M') AS inside, '9' || strftime(ts, '%H%M') AS kept,
        strftime(ts, '%H:%M') AS compare_number, strftime(ts, '%H:%M') AS display, '9' || strftime(ts, '%H%M') AS display_kept
 FROM events"""

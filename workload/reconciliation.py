@@ -442,7 +442,7 @@ SELECT (SELECT count(*) FROM kept WHERE src = 'DAT DEP') AS total_dat_dep,
        (SELECT count(*) FROM decided WHERE outcome = 'MATCHED') AS matched,
        (SELECT count(*) FROM decided WHERE outcome = 'MISSING IN STREAM') AS missing_in_stream,
        (SELECT count(*) FROM decided WHERE outcome = 'MISSING IN STREAM') AS missing_billing_review,
-       0 AS missing_non_billable_review,
+       CAST(0 AS BIGINT) AS missing_non_billable_review,
        (SELECT count(*) FROM decided WHERE outcome = 'NEED REVIEW') AS need_review,
        (SELECT count(*) FROM decided WHERE validasi = 'ADA DI STREAM') AS total_ada_di_stream,
        (SELECT count(*) FROM decided WHERE validasi = 'ADA DI DAT TIDAK ADA DI STREAM') AS total_validasi,
@@ -453,7 +453,7 @@ SELECT (SELECT count(*) FROM kept WHERE src = 'DAT DEP') AS total_dat_dep,
        (SELECT count(*) FROM stdm WHERE excluded) AS excluded_dat_non_billable,
        (SELECT count(*) FROM bil1 WHERE excluded) AS excluded_stream_non_billable,
        (SELECT count(*) FROM decided WHERE NOT complete) AS incomplete_dat_keys,
-       0 AS incomplete_stream_keys,
+       CAST(0 AS BIGINT) AS incomplete_stream_keys,
        (SELECT count(*) FILTER (WHERE outcome = 'MATCHED') / CAST(count(*) AS DOUBLE) * 100.0 FROM decided) AS accuracy_percentage"""
 
 

@@ -108,7 +108,7 @@ ACTUAL_ONLY = """SELECT 'Hanya ada di Data Aktual; tidak ditemukan di Data Sumbe
 SUMMARY = """SELECT (SELECT count(*) FROM s) AS source_total, (SELECT count(*) FROM a) AS actual_total,
   (SELECT count(*) FROM m) AS matched_total, (SELECT count(*) FROM s) - (SELECT count(*) FROM m) AS source_only_total,
   (SELECT count(*) FROM a) - (SELECT count(*) FROM m) AS actual_only_total,
-  (SELECT count(*) FROM m WHERE fields <> '') AS differences_total, 0 AS source_incomplete_keys,
+  (SELECT count(*) FROM m WHERE fields <> '') AS differences_total, CAST(0 AS BIGINT) AS source_incomplete_keys,
   (SELECT count(*) FROM a WHERE flight IS NULL) AS actual_incomplete_keys"""
 
 
@@ -144,8 +144,8 @@ def compare_incomplete(spark, sf_dir):
 
 
 COMPARE_INCOMPLETE = """
-SELECT count(*) AS source_total, count(*) AS actual_total, count(*) AS matched_total, 0 AS source_only_total,
-       0 AS actual_only_total, 0 AS differences_total, count(*) FILTER (WHERE o_orderkey % 13 = 0) AS source_incomplete_keys,
+SELECT count(*) AS source_total, count(*) AS actual_total, count(*) AS matched_total, CAST(0 AS BIGINT) AS source_only_total,
+       CAST(0 AS BIGINT) AS actual_only_total, CAST(0 AS BIGINT) AS differences_total, count(*) FILTER (WHERE o_orderkey % 13 = 0) AS source_incomplete_keys,
        count(*) FILTER (WHERE o_orderkey % 13 = 0) AS actual_incomplete_keys FROM orders"""
 
 
@@ -320,7 +320,7 @@ def row_ordinals(spark, sf_dir):
 
 
 ROW_ORDINALS = """
-SELECT 2 AS first, count(*) + 1 AS last, count(*) AS rows, CAST(count(*) * (count(*) + 3) / 2 AS BIGINT) AS total FROM lineitem"""
+SELECT CAST(2 AS BIGINT) AS first, count(*) + 1 AS last, count(*) AS rows, CAST(count(*) * (count(*) + 3) / 2 AS BIGINT) AS total FROM lineitem"""
 
 QUERIES = {
     "compare_matched": (compare_matched, MATCHED_SQL),
