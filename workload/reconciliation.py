@@ -13,9 +13,11 @@ from ledgerline.functions.text import field
 from ledgerline.operators import dedup, evaluate as ev, extra as extra_ops, filters, instances, keys, lookup, outputs, recovery
 from ledgerline.operators.summary import reason_histogram
 from ledgerline.operators.best import best_candidates
-from ledgerline.plans.reconcile import Reconciliation
+from ledgerline.plans.reconcile import Reconciliation, reconcile_dat_vs_stream
 from ledgerline.plans.staging import shared_folder
-from ledgerline.sources.sinks import report_tables, write_report
+from ledgerline.sources.delimited import read_source_csv
+from ledgerline.sources.sinks import report_tables, write_csv, write_report
+from workload import movements
 from workload.movements import reconcile_events, sql
 
 
@@ -356,6 +358,20 @@ def classify_outcomes(spark, sf_dir):
     return reconciled(spark, sf_dir).records.select(*_names(**OUTCOME))
 
 
+def ingest_outcomes(spark, sf_dir):
+    """From landed CSV files to outcomes: the three extracts written as text and scanned again."""
+    events = movements.base(spark, sf_dir)
+    extracts = (
+        movements.raw_records(events, True), movements.raw_records(events, False), movements.raw_billing(events),
+    )
+    scanned = []
+    for extract in extracts:
+        path = f"{shared_folder(spark).rstrip('/')}/landed-{uuid.uuid4().hex}"
+        write_csv(extract, path)
+        scanned.append(read_source_csv(spark, path, row_numbers=None))
+    return reconcile_dat_vs_stream(*scanned, row_col="row").records.select(*_names(**OUTCOME))
+
+
 def matched(spark, sf_dir):
     return reconciled(spark, sf_dir).matched.select(*_names(**OUTCOME))
 
@@ -618,6 +634,7 @@ QUERIES = {
     "best_candidate": (best_candidate, BEST_CANDIDATE),
     "best_candidate_dense": (best_candidate_dense, BEST_CANDIDATE),
     "classify_outcomes": (classify_outcomes, sql(OUTCOME_SQL)),
+    "ingest_outcomes": (ingest_outcomes, sql(OUTCOME_SQL)),
     "matched": (matched, _outcomes("status = 'MATCHED'")),
     "need_review": (need_review, _outcomes("status = 'NEED REVIEW'")),
     "missing": (missing, _outcomes("status = 'MISSING IN STREAM'")),
