@@ -11,7 +11,7 @@ from ledgerline.constants import (
     NON_BILLABLE_TOKENS, REMARK_FLAG_HEADERS, REMARK_STATUS_HEADER, REMARK_TEXT_HEADERS,
     SPECIAL_REMARK_KEYWORDS, UNCHECKED_VALUES,
 )
-from ledgerline.functions.text import clean_text, code_of, field, normalize_code
+from ledgerline.functions.text import clean_text, field, normalize_code
 from ledgerline.plans.mapping import normalize_header
 
 
@@ -95,10 +95,3 @@ def remark_display(columns: Iterable[str], keyword: Column) -> Column:
         return F.nullif(F.concat_ws(" / ", *parts), F.lit(""))
 
     return F.coalesce(joined(text_only), F.when(keyword.isNotNull(), joined(every)), keyword)
-
-
-__all__ = [
-    "clean_text", "code_is_excluded", "code_of", "distinct_parts", "first_keyword",
-    "has_special_stream_remark", "is_excluded_flight_number", "is_non_billable_flight",
-    "remark_columns", "remark_display", "special_remark_keyword", "special_stream_remark_keyword",
-]

@@ -1,12 +1,9 @@
 import hashlib
 
 import pytest
-from pyspark.sql import functions as F
-
 from ledgerline.plans.mapping import detect_mapping
 from ledgerline.sources.delimited import read_source_csv, read_uploaded_table
 from ledgerline.sources.formats import classify_content
-from ledgerline.sources.html_report import html_rows, read_html_report, report_rows
 from ledgerline.sources.rows import with_row_numbers
 
 REPORT = b"""<html><body>
