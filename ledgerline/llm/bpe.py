@@ -1,7 +1,7 @@
 """BPE encoding and decoding by forced boundaries, for vocabularies of the ``tokenizers`` JSON kind.
 
-A byte pair that stands inside no token of the vocabulary can never be merged, so between its bytes there is certainly
-a cut. White space, the pattern of the vocabulary's splitter and such pairs cut a text into fragments, each
+A byte pair that stands inside no token of the vocabulary can never be merged, so between its bytes there is
+certainly a cut. White space, the pattern of the vocabulary's splitter and such pairs cut a text into fragments, each
 is encoded alone, and the ids are concatenated. Fragments repeat, so a worker keeps a bounded table of them.
 """
 
@@ -10,6 +10,7 @@ from __future__ import annotations
 import heapq
 import json
 import unicodedata
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -19,11 +20,15 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
+from tokenizers import Regex, Tokenizer
+from tokenizers.pre_tokenizers import Split
 
-KEPT_WORDS, KEPT_CHARS = 300_000, 48
-#: Control characters that Python's split() takes for white space and Unicode does not.
-ODD_SPACE = regex.compile(r"[\t-\r \x85\xa0  -     　]+")
-SPACE = regex.compile(r"[\t-\r \x85\xa0  -     　]+")
+KEPT_WORDS, LONG_FRAGMENT = 300_000, 40
+#: What Unicode calls white space, and four control characters that only Python takes for it.
+WHITE = "".join(map(chr, [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+SPACE, ODD_SPACE = regex.compile(f"[{WHITE}]+"), regex.compile("[" + "".join(map(chr, range(0x1C, 0x20))) + "]")
+#: Letters up to here (Latin) have meant the same in every version of Unicode that the libraries follow.
+SETTLED = regex.compile(f"[!-~{chr(0xA1)}-{chr(0x24F)}]*")
 
 
 def byte_letters() -> list[str]:
@@ -45,13 +50,21 @@ class Codec:
             raise ValueError("a BPE vocabulary with word ends is needed")
         self.vocab: dict[str, int] = model["vocab"]
         self.end: str = model["end_of_word_suffix"]
-        pairs = (m.split(" ") if isinstance(m, str) else m for m in model["merges"])
-        self.rank = {(a, b): i for i, (a, b) in enumerate(pairs)}
+        pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+        self.rank = {pair: i for i, pair in enumerate(pairs)}
+        left, right = (np.array([self.vocab[p[side]] for p in pairs], np.int64) for side in (0, 1))
+        keys = left << 32 | right
+        order = np.argsort(keys)  # for looking up the ranks of many pairs at once
+        self.keys, self.key_rank = np.append(keys[order], np.iinfo(np.int64).max), np.append(order, len(pairs)).astype(np.int32)
+        self.made = np.array([self.vocab[a + b] for a, b in pairs], np.int32)
         self.letters = byte_letters()
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special_at = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) or "(?!)")
         split = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.piece = regex.compile(split)
+        # Beyond that, versions of Unicode differ between libraries; the file's own normaliser and splitter decide.
+        self.normalizer = Tokenizer.from_file(path).normalizer
+        self.splitter = Split(Regex(split), "removed", invert=True)
         size = max([*self.vocab.values(), *self.special.values()]) + 1
         self.tokens = [""] * size
         for token, i in [*self.vocab.items(), *self.special.items()]:
@@ -61,15 +74,21 @@ class Codec:
             body = token.removesuffix(self.end)
             inside.update(zip(body, body[1:], strict=False))
         self.inside = inside
+        self.single, self.single_end = (np.zeros(512, np.int32) for _ in range(2))
+        for letter in self.letters:
+            self.single[ord(letter)], self.single_end[ord(letter)] = self.vocab[letter], self.vocab[letter + self.end]
         self.words: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
 
     def fragments(self, letters: str) -> list[str]:
         """``letters`` cut wherever two neighbours stand together inside no token."""
+        if self.inside.issuperset(zip(letters, letters[1:], strict=False)):
+            return [letters]
         cuts = [0, *(i for i in range(1, len(letters)) if (letters[i - 1], letters[i]) not in self.inside), len(letters)]
         return [letters[a:b] for a, b in zip(cuts, cuts[1:], strict=False) if a < b]
 
-    def merged(self, symbols: list[str]) -> list[str]:
-        """The merges of lowest rank first, leftmost first among equals; a heap keeps long fragments cheap."""
+    def merged_by_heap(self, symbols: list[str]) -> list[str]:
+        """The merges of lowest rank first, leftmost first among equals; for one long fragment."""
         n, rank = len(symbols), self.rank
         after = list(range(1, n + 1))
         before = list(range(-1, n - 1))
@@ -90,42 +109,110 @@ class Codec:
                 heapq.heappush(heap, (r, h, symbols[h], symbols[i]))
         return [s for s in symbols if s]
 
-    def encode_word(self, word: str) -> bytes:
-        """Ids, as packed 32-bit integers, of a normalised text without white space."""
-        ids: list[int] = []
-        for piece in self.piece.findall(word):
-            parts = self.fragments("".join([self.letters[b] for b in piece.encode("utf-8", "replace")]))
-            for k, part in enumerate(parts, 1):
-                symbols = list(part)
-                if k == len(parts):
-                    symbols[-1] += self.end
-                ids.extend([self.vocab[s] for s in self.merged(symbols)])
-        return np.array(ids, dtype=np.int32).tobytes()
-
-    def encode_plain(self, text: str) -> bytes:
-        """Ids of a text without special tokens."""
-        if not text.isascii():  # each letter for itself: no final form of sigma
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-        text = text.lower()
-        words = [w for w in SPACE.split(text) if w] if ODD_SPACE.search(text) else text.split()
-        known, out = self.words, []
-        for word in words:
-            ids = known.get(word)
-            if ids is None:
-                ids = self.encode_word(word)
-                if len(word) <= KEPT_CHARS:
-                    if len(known) >= KEPT_WORDS:
-                        known.clear()
-                    known[word] = ids
-            out.append(ids)
-        return b"".join(out)
-
-    def encode(self, text: str) -> bytes:
-        out, at = [], 0
-        for found in self.special_at.finditer(text):
-            out += [self.encode_plain(text[at:found.start()]), np.int32(self.special[found[0]]).tobytes()]
-            at = found.end()
-        return self.encode_plain(text[at:]) if not at else b"".join([*out, self.encode_plain(text[at:])])
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        keys = left.astype(np.int64) << 32 | right
+        at = np.searchsorted(self.keys, keys)
+        return np.where(self.keys[at] == keys, self.key_rank[at], len(self.made))
+
+    def merged_together(self, symbols: np.ndarray) -> list[bytes]:
+        """The same for many fragments of one length, a row of ids each: every round merges the best pair of every
+        row, so all rows that go on are one shorter."""
+        out: list[bytes] = [b""] * len(symbols)
+        row = np.arange(len(symbols))
+        ranks = self._ranks(symbols[:, :-1], symbols[:, 1:])
+        while len(row):
+            best = ranks.argmin(1) if ranks.shape[1] else np.zeros(len(row), np.int64)
+            rank = ranks[np.arange(len(row)), best] if ranks.shape[1] else np.full(len(row), len(self.made))
+            over = rank == len(self.made)
+            for k, ids in zip(row[over].tolist(), symbols[over], strict=True):
+                out[k] = ids.tobytes()
+            row, symbols, ranks, best, rank = (v[~over] for v in (row, symbols, ranks, best, rank))
+            n, width = symbols.shape
+            if not n:
+                break
+            each, places = np.arange(n), np.arange(width)
+            symbols[each, best] = self.made[rank]
+            symbols = symbols[places != best[:, None] + 1].reshape(n, width - 1)
+            ranks = ranks[places[:-1] != best[:, None]].reshape(n, width - 2)
+            follows, leads = np.flatnonzero(best < width - 2), np.flatnonzero(best > 0)
+            ranks[follows, best[follows]] = self._ranks(symbols[follows, best[follows]], symbols[follows, best[follows] + 1])
+            ranks[leads, best[leads] - 1] = self._ranks(symbols[leads, best[leads] - 1], symbols[leads, best[leads]])
+        return out
+
+    def _encode_fragments(self, fragments: list[tuple[str, bool]]) -> list[bytes]:
+        """Ids of fragments; the flag tells that a fragment ends its piece."""
+        out: list[bytes] = [b""] * len(fragments)
+        by_length: dict[int, list[int]] = {}
+        for i, (letters, last) in enumerate(fragments):
+            if len(letters) > LONG_FRAGMENT:
+                symbols = [*letters]
+                symbols[-1] += self.end if last else ""
+                out[i] = array("i", [self.vocab[s] for s in self.merged_by_heap(symbols)]).tobytes()
+            else:
+                by_length.setdefault(len(letters), []).append(i)
+        for length, own in by_length.items():
+            code = np.frombuffer("".join([fragments[i][0] for i in own]).encode("utf-32-le"), np.uint32).reshape(-1, length)
+            symbols, last = self.single[code], np.array([fragments[i][1] for i in own])
+            symbols[last, -1] = self.single_end[code[last, -1]]
+            for i, ids in zip(own, self.merged_together(symbols), strict=True):
+                out[i] = ids
+        return out
+
+    def _learn_pieces(self, pieces: set[str]) -> dict[str, bytes]:
+        """Ids, as packed 32-bit integers, of pieces of the splitter."""
+        fragments, ends = [], []
+        for piece in pieces:
+            letters = piece if piece.isascii() and piece.isprintable() else "".join([self.letters[b] for b in piece.encode("utf-8", "replace")])
+            *heads, tail = self.fragments(letters)
+            fragments += [*((head, False) for head in heads), (tail, True)]
+            ends.append(len(fragments))
+        ids = self._encode_fragments(fragments)
+        return {piece: b"".join(ids[a:b]) for piece, a, b in zip(pieces, [0, *ends], ends, strict=False)}
+
+    def _pieces_of(self, word: str) -> list[str]:
+        if SETTLED.fullmatch(word):
+            return self.piece.findall((word if word.isascii() else unicodedata.normalize("NFC", word)).lower())
+        return [p for p, _ in self.splitter.pre_tokenize_str(self.normalizer.normalize_str(word))]
+
+    def encode_words(self, texts: list[list[str]]) -> list[bytes]:
+        """Ids of each list of words without white space. White space neither joins nor reorders with its neighbours
+        under normalisation, so words can be normalised one by one."""
+        new = set().union(*texts).difference(self.words)
+        if len(self.words) + len(new) > KEPT_WORDS:
+            self.words.clear()
+            new = set().union(*texts)
+        if new:
+            split = {word: self._pieces_of(word) for word in new}
+            wanted = {p for pieces in split.values() for p in pieces}
+            if len(self.pieces) + len(wanted) > KEPT_WORDS:
+                self.pieces.clear()
+            self.pieces |= self._learn_pieces(wanted.difference(self.pieces))
+            known = self.pieces.__getitem__
+            self.words |= {word: b"".join(map(known, pieces)) for word, pieces in split.items()}
+        known = self.words.__getitem__
+        out = [b"".join(map(known, words)) for words in texts]
+        if len(self.words) > KEPT_WORDS:  # one batch alone may hold more
+            self.words.clear()
+            self.pieces.clear()
+        return out
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text, as packed 32-bit integers."""
+        plain, plan = [], []
+        for text in texts:
+            at, parts = 0, []
+            for found in self.special_at.finditer(text):
+                parts += [len(plain), array("i", [self.special[found[0]]]).tobytes()]
+                plain.append(words_of(text[at:found.start()]))
+                at = found.end()
+            plan.append([*parts, len(plain)])
+            plain.append(words_of(text[at:] if at else text))
+        ids = self.encode_words(plain)
+        return [b"".join([p if isinstance(p, bytes) else ids[p] for p in parts]) for parts in plan]
+
+
+def words_of(text: str) -> list[str]:
+    return [w for w in SPACE.split(text) if w] if ODD_SPACE.search(text) else text.split()
 
 
 @lru_cache(maxsize=2)
@@ -154,7 +241,7 @@ def encode(df: DataFrame, vocabulary: str, text_col: str = "text", ids_col: str
         for batch in batches:
             texts = batch.column(batch.num_columns - 1)
             for at in range(0, batch.num_rows, 512):
-                packed = [own.encode(x.as_py() or "") for x in texts.slice(at, 512)]
+                packed = own.encode([x.as_py() or "" for x in texts.slice(at, 512)])
                 ends = np.cumsum([0, *map(len, packed)], dtype=np.int64) // 4
                 flat = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(packed))])
                 ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)

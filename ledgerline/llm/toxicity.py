@@ -69,7 +69,7 @@ def word_hashes(data: bytes) -> np.ndarray:
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((byte.astype(np.uint64) + np.uint64(1)) * _Powers.up[:len(byte)])))
     base, turn = sums[starts], _Powers.down[starts]
     stops = [ends, *(np.minimum(starts + k, ends) for k in STEMS)]
-    return np.stack([(sums[stop] - base) * turn + np.uint64(k) for k, stop in enumerate(stops)], 1)
+    return np.stack([((sums[stop] - base) * turn + _SKIP) * _PAIR + np.uint64(k) * _BASE for k, stop in enumerate(stops)], 1)
 
 
 def coordinates(text: str | None) -> np.ndarray:
@@ -134,7 +134,8 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
-    """Coordinates, their non-zero weights, and the bias. Without labelled rows there are no weights and the bias is 0."""
+    """Coordinates, their non-zero weights, and the bias. Without labelled rows there are no weights and the
+    bias is that of a score of practically 0: nothing is known to be toxic."""
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -144,7 +145,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, flo
     marked = training_rows(docs, labels)
     kind = T.StructType([marked.schema["doc_id"], T.StructField("label", T.IntegerType()), T.StructField("x", T.ArrayType(T.IntegerType()))])
     rows = staged(marked.mapInArrow(featured, kind))
-    shards = -(-rows.count() // SHARD_ROWS) or 1
+    shards = -(-rows.count() // SHARD_ROWS)
+    if not shards:
+        return np.empty(0, np.int32), np.empty(0, np.float32), -30.0
     rows = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(shards)))
     size = (1 << BUCKET_BITS) + 1
     z, n = np.zeros(size), np.zeros(size)
