@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from ledgerline.llm.common import staged
 
 BUCKET_BITS = 18
-MAX_ROWS, SHARD_ROWS, ROUNDS = 24_000, 6_000, 4
+MAX_ROWS, SHARD_ROWS, ROUNDS = 8_000, 4_000, 4
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 8.0, 1.0
 STEMS, PIECE = (4, 5, 6), 1 << 20
 _WORD_BYTES = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
@@ -111,17 +111,22 @@ def ftrl_pass(rows: list[tuple[np.ndarray, int]], z: np.ndarray, n: np.ndarray)
         n[x] = nx + g * g
 
 
-def _shard_pass(state: Broadcast) -> Callable[[pa.Table], pa.Table]:
-    """How far one pass over the rows of a shard, in order of their ids, moves the broadcast state (z, n)."""
+def _shard_pass(state: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """How far one pass over the rows of each shard, in order of their ids, moves the broadcast state (z, n)."""
 
-    def run(table: pa.Table) -> pa.Table:
-        by = table.sort_by([("doc_id", "ascending")])
-        own = list(zip((np.array(x, np.int32) for x in by.column("x").to_pylist()), by.column("label").to_pylist(), strict=True))
-        z0, n0 = (v.astype(np.float64) for v in state.value)
-        z1, n1 = z0.copy(), n0.copy()
-        ftrl_pass(own, z1, n1)
-        at = np.flatnonzero(n1 != n0)
-        return pa.table({"i": pa.array(at, pa.int32()), "dz": (z1 - z0)[at], "dn": (n1 - n0)[at]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shards: dict[int, list[tuple]] = {}
+        for batch in batches:  # doc_id, label, x, shard; all shards together hold at most MAX_ROWS rows
+            x = batch.column(2)
+            ends, flat = x.offsets.to_numpy(), x.values.to_numpy()
+            for k, (doc_id, label, shard) in enumerate(zip(*(batch.column(i).to_pylist() for i in (0, 1, 3)), strict=True)):
+                shards.setdefault(shard, []).append((doc_id, label, flat[ends[k]:ends[k + 1]]))
+        for own in shards.values():
+            z0, n0 = (v.astype(np.float64) for v in state.value)
+            z1, n1 = z0.copy(), n0.copy()
+            ftrl_pass([(x, label) for _, label, x in sorted(own, key=lambda r: r[:2])], z1, n1)
+            at = np.flatnonzero(n1 != n0)
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array((z1 - z0)[at]), pa.array((n1 - n0)[at])], ["i", "dz", "dn"])
 
     return run
 
@@ -148,20 +153,22 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, flo
     shards = -(-rows.count() // SHARD_ROWS)
     if not shards:
         return np.empty(0, np.int32), np.empty(0, np.float32), -30.0
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(shards)))
+    shard = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(shards)).alias("shard")
+    rows = rows.select("doc_id", "label", "x", shard).repartition(shards, "shard").persist()  # dealt once, read every round
     size = (1 << BUCKET_BITS) + 1
     z, n = np.zeros(size), np.zeros(size)
     context = docs.sparkSession.sparkContext
     for _ in range(ROUNDS):
         state = context.broadcast((z.astype(np.float32), n.astype(np.float32)))
 
-        moved = rows.groupBy("shard").applyInArrow(_shard_pass(state), "i int, dz double, dn double").groupBy("i").agg(
+        moved = rows.mapInArrow(_shard_pass(state), "i int, dz double, dn double").groupBy("i").agg(
             (F.sum("dz")).alias("dz"), (F.sum("dn")).alias("dn"), F.count(F.lit(1)).alias("k")).toArrow()
         at = moved.column("i").to_numpy()
         share = moved.column("k").to_numpy()  # a coordinate that few shards saw is averaged over those
         z[at] += moved.column("dz").to_numpy() / share
         n[at] += moved.column("dn").to_numpy() / share
         state.unpersist()
+    rows.unpersist()
     w = weights_of(z[:-1], n[:-1])
     at = np.flatnonzero(w)
     bias = -z[-1] / ((BETA + np.sqrt(n[-1])) / ALPHA + L2)
