@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import sys
 import unicodedata
 from collections.abc import Callable, Sequence
-from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
@@ -103,42 +101,30 @@ def is_empty(c: Column) -> Column:
     return clean_scalar_text(c).isNull()
 
 
-@lru_cache(maxsize=1)
-def _compatibility_pairs() -> tuple[str, str]:
-    """Characters whose compatibility form is one ASCII letter or digit, and that form."""
-    source, target = [], []
-    for point in range(0x80, sys.maxunicode + 1):
-        folded = unicodedata.normalize("NFKC", chr(point))
-        if len(folded) == 1 and folded.isascii() and folded.isalnum():
-            source.append(chr(point))
-            target.append(folded)
-    return "".join(source), "".join(target)
-
-
 def _nfkc(values: pd.Series) -> pd.Series:
     return values.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v))
 
 
-def fold_compatibility(c: Column, exact: bool = False) -> Column:
-    """Compatibility folding: full-width and styled letters to ASCII.
+_folded = F.pandas_udf(_nfkc, T.StringType())
+
 
-    The default stays in the JVM and covers one-to-one forms. ``exact=True`` is the
-    opt-in Arrow UDF for ligatures, unit signs and combining sequences.
+def fold_compatibility(c: Column) -> Column:
+    """Compatibility folding (NFKC): full-width and styled letters, ligatures, fractions, combining
+    sequences. Spark has no expression for it, so cells beyond ASCII take one Arrow pass;
+    the others enter that pass as NULL and keep their text.
     """
-    if exact:
-        return F.pandas_udf(_nfkc, T.StringType())(c)
-    source, target = _compatibility_pairs()
-    return F.when(c.rlike(r"[^\x00-\x7F]"), F.translate(c, source, target)).otherwise(c)
+    odd = c.rlike(r"[^\x00-\x7F]")
+    return F.when(odd, _folded(F.when(odd, c))).otherwise(c)
 
 
-def code_of(text: Column, exact: bool = False) -> Column:
+def code_of(text: Column) -> Column:
     """Code of an already cleaned text: upper-case letters and digits only."""
-    reduced = F.regexp_replace(F.upper(fold_compatibility(text, exact)), "[^A-Z0-9]+", "")
+    reduced = F.regexp_replace(F.upper(fold_compatibility(text)), "[^A-Z0-9]+", "")
     return F.nullif(F.when(text.rlike("^[A-Z0-9]+$"), text).otherwise(reduced), F.lit(""))
 
 
-def normalize_code(c: Column, exact: bool = False) -> Column:
-    return code_of(clean_text(c), exact)
+def normalize_code(c: Column) -> Column:
+    return code_of(clean_text(c))
 
 
 def display_text(c: Column, kind: str = "text") -> Column:

@@ -17,13 +17,13 @@ def content(c: Column) -> Column:
     return without(c, COMPARE_EMPTY_TOKENS)
 
 
-def normalized(c: Column, text: Column, field_name: str, kind: str = "text", exact: bool = False) -> Column:
+def normalized(c: Column, text: Column, field_name: str, kind: str = "text") -> Column:
     """Comparison form of a raw cell whose :func:`content` is ``text``."""
     if field_name == "eobd":
         return F.when(text.isNotNull(), compare_cell_date(c, text, kind))
     if field_name in TIME_FIELDS:
         return F.when(text.isNotNull(), compare_cell_time(c, text, kind))
-    folded = F.upper(strip(fold_compatibility(text, exact)))
+    folded = F.upper(strip(fold_compatibility(text)))
     if field_name in CODE_FIELDS:
         return F.nullif(F.regexp_replace(folded, "[^A-Z0-9]+", ""), F.lit(""))
     return F.nullif(collapse_upper(folded), F.lit(""))
@@ -39,9 +39,9 @@ def displayed(c: Column, text: Column, field_name: str, kind: str = "text") -> C
     return whole
 
 
-def normalize_value(c: Column, field_name: str, kind: str = "text", exact: bool = False) -> Column:
+def normalize_value(c: Column, field_name: str, kind: str = "text") -> Column:
     """Comparison form of a cell, chosen by field class; NULL when blank."""
-    return normalized(c, content(c), field_name, kind, exact)
+    return normalized(c, content(c), field_name, kind)
 
 
 def display_value(c: Column, field_name: str, kind: str = "text") -> Column:

@@ -1,14 +1,15 @@
 """The best candidate of every record, without pairing up the sides of a hot key.
 
 All lookups of a record (by movement date, by flight date, by remark and time cell) are
-rows of one probe table, and a billing row is entered under each of its keys, so one
-equi-join answers them. Key groups with at most ``dense_rows`` entries are joined as they
-are: a record meets a bounded number of rows. In a larger group only the rows that can win
-are looked at. Within one (status validity, special remark) class the order of preference
-is register contradiction, then nearness in time, then version, message and row. The
-winner of a class is therefore the nearest row of the whole class, or the nearest row
-with the record's register, or the nearest row without a register; rows without a time
-are ranked by version, message and row alone. Each is found by a sorted pass.
+rows of one probe table, and a billing row is entered under each of its keys. Records and
+billing rows of a key are never paired up: only the rows that can win are looked at. Within
+one (status validity, special remark) class the order of preference is register
+contradiction, then nearness in time, then version, message and row. The winner of a class
+is therefore the nearest row of the whole class, or the nearest row with the record's
+register, or the nearest row without a register; rows without a time are ranked by version,
+message and row alone. Each is found by a sorted pass over instants: both sides are folded
+to the distinct times of a key before they meet, so a key that most rows share costs as many
+rows as it has times, and records pick the answer of their time up in a join.
 
 A flight-date group mixes movement dates, and a date the record does not allow ranks
 behind an allowed one. Rows of the record's own date win through the movement-date lookup,
@@ -31,7 +32,6 @@ from ledgerline.operators.nearest import nearest
 
 BY_REMARK = "REMARK"
 GROUP = ["flight", "move", "adep", "ades", "by", "date"]
-DENSE_ROWS = 256
 ANY_REGISTER, ANY_DATE = "*", "*"
 RANK = ["r_version", "r_message", "r_row"]
 CARRIED = ["r_at", "r_register", "r_special", "invalid_status"]
@@ -86,7 +86,7 @@ def _eligible(pairs: DataFrame, tolerance: float) -> DataFrame:
 
 
 def _contenders(probes: DataFrame, index: DataFrame) -> DataFrame:
-    """(record, billing row) pairs of large groups: only rows that can be the best one."""
+    """(record, billing row) pairs: only rows that can be the best one."""
     register = F.coalesce("r_register", F.lit(""))
     moved_on = F.when(F.col("by") == BY_FLIGHT_DATE, format_date(F.col("r_at")))
     scope = [*GROUP, "_slot", "_day", *CLASS]
@@ -117,7 +117,10 @@ def _contenders(probes: DataFrame, index: DataFrame) -> DataFrame:
         .withColumn("_class", F.explode(classes)).select("*", "_class.*").drop("_class")
         .withColumn("at", F.col("l_at"))
     )
-    beside = nearest(asked, folded.where(F.col("at").isNotNull()), scope, "at", RANK, CARRIED)
+    timed_asked = asked.where(F.col("at").isNotNull())
+    instants = timed_asked.select(*scope, "at").distinct()
+    answers = nearest(instants, folded.where(F.col("at").isNotNull()), scope, "at", RANK, CARRIED)
+    beside = timed_asked.join(answers, [*scope, "at"])
     sides = F.explode(F.array_compact(F.array("before", "after")))
     timed = beside.withColumn("_row", sides)
     timeless = folded.where(F.col("at").isNull()).groupBy(*scope).agg(
@@ -128,35 +131,25 @@ def _contenders(probes: DataFrame, index: DataFrame) -> DataFrame:
     return timed.select(*columns).unionByName(asked.join(timeless, scope).select(*columns))
 
 
-def best_choices(
-    records: DataFrame, others: DataFrame, rules: MatchRules = MatchRules(), dense_rows: int = DENSE_ROWS
-) -> DataFrame:
+def best_choices(records: DataFrame, others: DataFrame, rules: MatchRules = MatchRules()) -> DataFrame:
     """Chosen row and lookup (``r_row``, ``lookup``) per record.
 
     Only what the preference depends on travels through the join; texts are added to
-    the winners alone. One narrow count of the key groups tells whether any is large.
+    the winners alone.
     """
     tolerance = rules.tolerance_minutes
     flagged = others.withColumn("invalid_status", invalid_status(rules))
     index = index_entries(flagged, tolerance).select(*GROUP, *RANK, *CARRIED)
     probes = probe_entries(records, tolerance).select(*RECORD, *GROUP, "lookup")
-    dense = index.groupBy(*GROUP).agg(F.count("*").alias("_rows")).where(F.col("_rows") > dense_rows).select(*GROUP)
-    if dense.isEmpty():
-        pairs = probes.join(index, GROUP)
-    else:
-        small = probes.join(index.join(dense, GROUP, "left_anti"), GROUP)
-        contenders = _contenders(probes.join(dense, GROUP, "left_semi"), index.join(dense, GROUP, "left_semi"))
-        pairs = small.unionByName(contenders)
+    pairs = _contenders(probes, index)
     found = findings(_eligible(pairs, tolerance))
     best = F.min(F.struct(selection_order(rules).alias("order"), "r_row", "lookup")).alias("_choice")
     return found.groupBy("l_data", "l_row").agg(best).select("l_data", "l_row", "_choice.r_row", "_choice.lookup")
 
 
-def best_candidates(
-    records: DataFrame, others: DataFrame, rules: MatchRules = MatchRules(), dense_rows: int = DENSE_ROWS
-) -> DataFrame:
+def best_candidates(records: DataFrame, others: DataFrame, rules: MatchRules = MatchRules()) -> DataFrame:
     """``_best`` evaluation per record, equal to the best of all its candidate pairs."""
-    choices = best_choices(records, others, rules, dense_rows)
+    choices = best_choices(records, others, rules)
     chosen = choices.join(records, ["l_data", "l_row"]).join(
         others.drop("flight", "adep", "ades", "move"), "r_row"
     )

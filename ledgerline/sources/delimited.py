@@ -1,56 +1,162 @@
-"""Delimited text scans: every cell is text, names come from the header line."""
+"""Delimited text scans: every cell is text, names come from the header line of each file."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, types as T
+import csv
+from collections.abc import Iterable
+from dataclasses import dataclass
+from functools import reduce
 
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+
+from ledgerline.functions.text import field
 from ledgerline.plans.mapping import make_unique_columns
-from ledgerline.sources.formats import classify_content, landed_files
+from ledgerline.sources.formats import DELIMITED_SUFFIXES, classify_content, landed_files
 from ledgerline.sources.html_report import read_html_report
-from ledgerline.sources.rows import with_file_row_numbers
+from ledgerline.sources.rows import file_pieces, numbered_pieces
+
+DELIMITERS = ",;\t|"
+HEAD_BYTES, SAMPLE = 65536, 8192
+UTF8, WINDOWS = "utf-8-sig", "cp1252"
+_HIGH = [(chr(b), bytes([b]).decode(WINDOWS, "ignore")) for b in range(0x80, 0xA0)]
+
+
+@dataclass(frozen=True)
+class Layout:
+    """What the head of a file says about it; files that agree are scanned together."""
+
+    encoding: str
+    sep: str
+    names: tuple[str, ...]
+
+
+def _decoded(head: bytes, encoding: str | None) -> tuple[str, str]:
+    """Text and encoding of the head; a character cut off at its end does not count against UTF-8."""
+    if encoding:
+        return head.decode(encoding, "replace").removeprefix(chr(0xFEFF)), encoding
+    for cut in range(4 if len(head) == HEAD_BYTES else 1):
+        try:
+            return head[: len(head) - cut].decode(UTF8), UTF8
+        except UnicodeDecodeError:
+            continue
+    return head.decode(WINDOWS, "replace"), WINDOWS
+
 
-BYTE_ORDER_MARK = "﻿"
+def delimiter_of(sample: str) -> str:
+    """The delimiter the sample suggests; a comma where it suggests none."""
+    try:
+        found = csv.Sniffer().sniff(sample, delimiters=DELIMITERS).delimiter
+    except csv.Error:
+        found = ","
+    first = next(csv.reader(sample.splitlines()[:1], delimiter=found), [])
+    return ";" if len(first) < 2 and ";" in sample else found
 
 
-def _header(spark: SparkSession, path: str, options: dict[str, object]) -> list[str]:
-    first = spark.read.options(**options).csv(path).limit(1).collect()
-    if not first:
-        return []
-    names = ["" if v is None else v for v in first[0]]
-    return [names[0].removeprefix(BYTE_ORDER_MARK), *names[1:]] if names else []
+def layout_of(head: bytes, sep: str | None = None, encoding: str | None = None) -> Layout:
+    """Encoding, delimiter and column names by the first bytes of a file."""
+    text, encoding = _decoded(head, encoding)
+    sep = sep or delimiter_of(text[:SAMPLE])
+    header = next(csv.reader(text.splitlines(), delimiter=sep), [])
+    return Layout(encoding, sep, tuple(make_unique_columns(header)))
+
+
+def file_heads(spark: SparkSession, paths: Iterable[str], size: int = HEAD_BYTES) -> dict[str, bytes]:
+    """The first bytes of each file, read where the plan is built as file footers are."""
+    conf, out = spark._jsc.hadoopConfiguration(), {}
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        stream = place.getFileSystem(conf).open(place)
+        try:
+            out[path] = bytes(stream.readNBytes(size))
+        finally:
+            stream.close()
+    return out
+
+
+def _paths(spark: SparkSession, path: str) -> list[str]:
+    """Files below ``path`` without the hidden ones; listing reads no content."""
+    listed = landed_files(spark, path).select("path", "length").where("length > 0").collect()
+    return sorted(r["path"] for r in listed)
+
+
+def _scan(spark: SparkSession, paths: list[str], layout: Layout, multi_line: bool) -> DataFrame:
+    windows = layout.encoding == WINDOWS
+    charset = {UTF8: "UTF-8", WINDOWS: "ISO-8859-1"}.get(layout.encoding, layout.encoding)
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in layout.names])
+    scan = (
+        spark.read.options(sep=layout.sep, encoding=charset, multiLine=multi_line, quote='"', escape='"', header=True,
+                           enforceSchema=True, inferSchema=False, emptyValue="").schema(schema).csv(paths)
+    )
+    pieces = file_pieces(scan).fillna("", list(layout.names))  # an empty cell is an empty text, not a missing one
+    if not windows:
+        return pieces
+    source, target = "".join(a for a, b in _HIGH if b), "".join(b for _, b in _HIGH)
+    return pieces.withColumns({n: F.translate(field(n), source, target) for n in layout.names})
 
 
 def read_source_csv(
-    spark: SparkSession, path: str, sep: str = ",", encoding: str = "UTF-8",
+    spark: SparkSession, path: str, sep: str | None = None, encoding: str | None = None,
     multi_line: bool = False, row_numbers: str | None = "__row", per_file: bool = False,
 ) -> DataFrame:
-    """Scan delimited files with one header, all cells as text, no NULL inference.
+    """Scan delimited files, all cells as text, no NULL inference.
 
-    ``sep`` and ``encoding`` are explicit. Files are split over tasks unless
-    ``multi_line`` asks for line breaks inside quotes. ``row_numbers`` names the
-    ordinal (first data line is 2, counting on over the files or ``per_file``);
-    ``__file`` tells the file.
+    Delimiter and encoding (UTF-8, else Windows-1252) are found by the head of each file
+    unless given. Files with other headers or another order of columns keep their values
+    under their own names; the result has the union of all columns, NULL where a file lacks
+    one. Files are split over tasks unless ``multi_line`` asks for line breaks inside
+    quotes. ``row_numbers`` names the ordinal (first data line is 2, counting on over the
+    files or ``per_file``); ``__file`` tells the file.
     """
-    options = {"sep": sep, "encoding": encoding, "multiLine": multi_line, "quote": '"', "escape": '"',
-               "inferSchema": False, "emptyValue": ""}
-    names = make_unique_columns(_header(spark, path, options))
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    df = spark.read.options(**options, header=True, enforceSchema=True).schema(schema).csv(path)
-    numbered = with_file_row_numbers(df, row_numbers, per_file=per_file) if row_numbers else df
-    return numbered.fillna("", names)  # an empty cell is an empty text, not a missing one
+    groups: dict[Layout, list[str]] = {}
+    for name, head in file_heads(spark, _paths(spark, path)).items():
+        groups.setdefault(layout_of(head, sep, encoding), []).append(name)
+    groups = {layout: paths for layout, paths in groups.items() if layout.names}
+    if not groups:
+        raise ValueError(f"{path}: CSV tidak dapat dibaca.")
+    scans = [_scan(spark, paths, layout, multi_line) for layout, paths in groups.items()]
+    pieces = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), scans)
+    names = list(dict.fromkeys(n for layout in groups for n in layout.names))
+    if not row_numbers:
+        return pieces.select(*[field(n) for n in names])
+    return numbered_pieces(pieces, row_numbers, per_file=per_file).select(
+        *[field(n) for n in names], "__file", field(row_numbers))
+
+
+def _suffix(path: str) -> str:
+    return path.rsplit("/", 1)[-1].rpartition(".")[2].lower()
 
 
 def read_uploaded_table(
-    spark: SparkSession, path: str, sep: str = ",", encoding: str = "UTF-8"
+    spark: SparkSession, path: str, sep: str | None = None, encoding: str | None = None
 ) -> tuple[DataFrame, str]:
-    """Scan by suffix and signature; the second result is a format label.
+    """Scan a landing folder, every file by its suffix or else its signature.
 
+    The second result names the formats found. Only files whose suffix does not settle the
+    reader have their content looked at. Delimited files and HTML reports may lie together:
+    their rows are aligned by column name, ``__file`` and ``__row`` tell the place.
     Workbooks are not decoded here: convert them to CSV or Parquet upstream.
     """
-    found = classify_content(landed_files(spark, path)).select("reader", "label").distinct().collect()
-    readers = {row["reader"] for row in found}
-    if readers == {"delimited"}:
-        return read_source_csv(spark, path, sep, encoding), f"Delimited text · {encoding.lower()}"
-    if readers == {"html"}:
-        return read_html_report(landed_files(spark, path)), f"{found[0]['label']} · Tabel Data"
-    raise ValueError(f"{path}: expected delimited text or HTML reports, found {sorted(readers)}")
+    paths = _paths(spark, path)
+    delimited = [p for p in paths if _suffix(p) in DELIMITED_SUFFIXES]
+    others = [p for p in paths if _suffix(p) not in DELIMITED_SUFFIXES]
+    parts, labels = [], []
+    reports: list[str] = []
+    if others:
+        content = spark.read.format("binaryFile").load(others)
+        found = classify_content(content).select("path", "reader", "label").collect()
+        workbooks = sorted(r["path"] for r in found if r["reader"] == "workbook")
+        if workbooks:
+            raise ValueError(f"{path}: workbooks must be converted first: {', '.join(workbooks[:5])}")
+        delimited += [r["path"] for r in found if r["reader"] == "delimited"]
+        reports = [r["path"] for r in found if r["reader"] == "html"]
+        labels += sorted({f"{r['label']} · Tabel Data" for r in found if r["reader"] == "html"})
+    if delimited:
+        heads = file_heads(spark, sorted(delimited))
+        labels = sorted({f"Delimited text · {layout_of(h, sep, encoding).encoding}" for h in heads.values()}) + labels
+        parts.append(read_source_csv(spark, sorted(delimited), sep, encoding))
+    if reports:
+        table = read_html_report(spark.read.format("binaryFile").load(reports))
+        parts.append(table.withColumnsRenamed({"path": "__file", "row_no": "__row"}) if delimited else table)
+    if not parts:
+        raise ValueError(f"{path}: no files")
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts), " + ".join(labels)

@@ -4,6 +4,7 @@ import pytest
 from ledgerline.plans.mapping import detect_mapping
 from ledgerline.sources.delimited import read_source_csv, read_uploaded_table
 from ledgerline.sources.formats import classify_content
+from ledgerline.sources.html_report import html_rows
 from ledgerline.sources.rows import with_row_numbers
 
 REPORT = b"""<html><body>
@@ -66,3 +67,63 @@ def test_formats_labels_and_digests(spark):
     kinds = {"a.xls": ("xls", "workbook"), "b.xlsx": ("xlsx", "workbook"), "c.xls": ("html", "html"),
              "d.csv": ("unknown", "delimited"), "e.bin": ("html", "html"), "f.tsv": ("html", "delimited")}
     assert got == {p: (*kinds[p], hashlib.sha256(c).hexdigest()[:16]) for p, c in files}
+
+
+def test_files_of_one_folder_may_differ_in_columns(spark, tmp_path):
+    (tmp_path / "1.csv").write_text("A,B\n1,2\n")
+    (tmp_path / "2.csv").write_text("B,A\n3,4\n")
+    (tmp_path / "3.csv").write_text("A;C\n5;6,7\n")
+    (tmp_path / "4.csv").write_bytes("A,D\nx,caf\xe9 \x80\n".encode("latin-1"))
+    df = read_source_csv(spark, str(tmp_path))
+    rows = sorted(((r["__row"], r["A"], r["B"], r["C"], r["D"]) for r in df.collect()))
+    assert rows == [(2, "1", "2", None, None), (3, "4", "3", None, None), (4, "5", None, "6,7", None), (5, "x", None, None, "café €")]
+
+
+def test_delimiter_is_found(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("Flight Number;From;To\nGA100;CGK;DPS\n")
+    df, label = read_uploaded_table(spark, str(tmp_path))
+    assert df.columns[:3] == ["Flight Number", "From", "To"] and label == "Delimited text · utf-8-sig"
+
+
+def test_reports_of_differing_headers_keep_all_rows(spark, tmp_path):
+    for name, head, rows in (("a.xls", "AB", ["12", "34"]), ("b.xls", "AC", ["56"]), ("c.xls", "BA", ["78"])):
+        cells = lambda tag, text: "".join(f"<{tag}>{c}</{tag}>" for c in text)
+        body = "".join(f"<tr>{cells('td', r)}</tr>" for r in rows)
+        (tmp_path / name).write_text(f"<html><table><tr>{cells('th', head)}</tr>{body}</table></html>")
+    df, _ = read_uploaded_table(spark, str(tmp_path))
+    got = sorted((r["path"][-5:], r["A"], r["B"], r["C"]) for r in df.collect())
+    assert got == [("a.xls", "1", "2", None), ("a.xls", "3", "4", None), ("b.xls", "5", None, "6"), ("c.xls", "8", "7", None)]
+    (tmp_path / "d.xls").write_text("<html><table><tr><td>no head</td></tr></table>")
+    with pytest.raises(ValueError, match="d.xls"):
+        read_uploaded_table(spark, str(tmp_path))
+
+
+def test_mixed_folder(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("FLIGHT NUMBER,RWY\nX1,09\n")
+    (tmp_path / "b.xls").write_bytes(REPORT)
+    df, label = read_uploaded_table(spark, str(tmp_path))
+    assert sorted((r["FLIGHT NUMBER"], r["RWY"]) for r in df.collect()) == [("A&Binner", ""), ("CTV 910", "23"), ("X1", "09")]
+    assert "Delimited" in label and "Tabel" in label
+
+
+def test_odd_markup(spark):
+    page = (b"</table><table><tr><td>lost<tr><th>K</th><th>V</th></tr><!-- <tr><td>x</td></tr> --><tr><td a='>'>1<script>a<b</script></td>"
+            b"<td>&lt;&#233;\xe9</td></tr><tr></tr><tr><td>2</td><td>open</tr><tr><td>3</td></tr></table>")
+    files = spark.createDataFrame([("p", page)], "path string, content binary")
+    rows = [(r.row_no, r.is_header, r.cells) for r in html_rows(files).orderBy("row_no").collect()]
+    assert rows == [(1, True, ["K", "V"]), (2, False, ["1a<b", "<éé"]), (4, False, ["2"]), (5, False, ["3"])]
+
+
+def test_row_numbers_do_not_exchange_the_rows(spark, tmp_path):
+    spark.range(0, 5000, 1, 8).write.parquet(str(tmp_path / "t"))
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", 1)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        df = with_row_numbers(spark.read.parquet(str(tmp_path / "t")), "n")
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and plan.index("BroadcastHashJoin") < plan.index("Exchange")
+        assert sorted(r.n for r in df.collect()) == list(range(2, 5002))
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)

@@ -55,6 +55,7 @@ def norm_code(spark, sf_dir):
         "p_partkey", text.normalize_code(F.col("p_name")).alias("name_code"),
         text.normalize_code(F.concat(F.lit("'"), F.col("p_brand"), F.lit("-é'"))).alias("brand_code"),
         text.normalize_code(wide).alias("wide_code"),
+        text.normalize_code(F.concat(F.lit("ﬁ½ "), F.col("p_brand"), F.lit("e\u0301㎏"))).alias("folded_code"),
         text.normalize_code(F.col("p_retailprice")).alias("price_code"),
     )
 
@@ -63,6 +64,7 @@ NORM_CODE = """
 SELECT p_partkey, regexp_replace(upper(p_name), '[^A-Z0-9]+', '', 'g') AS name_code,
        regexp_replace(upper(p_brand), '[^A-Z0-9]+', '', 'g') AS brand_code,
        regexp_replace(upper(p_brand), '[^A-Z0-9]+', '', 'g') AS wide_code,
+       'FI12' || regexp_replace(upper(p_brand), '[^A-Z0-9]+', '', 'g') || 'KG' AS folded_code,
        regexp_replace(CAST(p_retailprice AS VARCHAR), '[^A-Z0-9]+', '', 'g') AS price_code
 FROM part"""
 
@@ -326,6 +328,7 @@ def field_values(spark, sf_dir):
     return o.select(
         "id", values.normalize_value(F.col("code"), "flight").alias("code"),
         values.normalize_value(F.col("code"), "parking").alias("parking"),
+        values.normalize_value(F.concat(F.lit("stand／ﬂ½e\u0301 "), F.col("id").cast("string")), "parking").alias("folded"),
         values.display_value(F.col("code"), "flight").alias("shown"),
         values.display_value(F.col("time"), "atd").alias("time"),
         values.display_value(F.floor(F.col("price")).cast("double"), "parking", "float").alias("price"),
@@ -334,6 +337,7 @@ def field_values(spark, sf_dir):
 
 FIELD_VALUES = """
 SELECT o_orderkey AS id, regexp_replace(upper(o_orderpriority), '[^A-Z0-9]+', '', 'g') AS code, upper(o_orderpriority) AS parking,
+       'STAND/FL1⁄2É ' || o_orderkey AS folded,
        lower(o_orderpriority) AS shown, CASE WHEN o_orderkey % 3 <> 0 THEN '08:15' END AS time,
        CAST(CAST(floor(o_totalprice) AS BIGINT) AS VARCHAR) AS price FROM orders"""
 

@@ -327,7 +327,7 @@ def best_candidate(spark, sf_dir):
 
 def best_candidate_dense(spark, sf_dir):
     """The same choice with every key group treated as a hot one: no pairs are listed."""
-    return _choice(best_candidates(*reconciled(spark, sf_dir).sides, dense_rows=0))
+    return _choice(best_candidates(*reconciled(spark, sf_dir).sides))
 
 
 BEST_CANDIDATE = sql("SELECT src, row, rrow AS r_row, mode, date_used, diff AS time_difference FROM sel")

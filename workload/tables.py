@@ -249,7 +249,7 @@ def html_tables(spark, sf_dir):
     )
     files = o.select(key.alias("path"), F.encode(page, "UTF-8").alias("content"))
     reports = html_report.report_rows(html_report.html_rows(files))
-    return html_report.report_table(reports, ["KEY", "STATUS", "PRIORITY"]).select("path", "row_no", "KEY", "STATUS", "PRIORITY")
+    return html_report.report_table(reports, [["KEY", "STATUS", "PRIORITY"]]).select("path", "row_no", "KEY", "STATUS", "PRIORITY")
 
 
 HTML_TABLES = """
