@@ -43,20 +43,28 @@ def padded_words(text: Column) -> Column:
     return F.split(F.concat(F.lit(" "), text, F.lit(" ")), SEPARATORS, -1)
 
 
-def bigrams(text: Column) -> Column:
-    """Pairs of neighbouring words of the normalised text (A-Z lower-cased), repeats included."""
-    words = padded_words(ascii_lower(text))
-    n = F.greatest(F.size(words) - 3, F.lit(0))
-    return F.zip_with(F.slice(words, F.lit(2), n), F.slice(words, F.lit(3), n), lambda a, b: F.concat_ws(" ", a, b))
+def bigrams(padded: Column) -> Column:
+    """Pairs of neighbouring words of :func:`padded_words`, repeats included."""
+    n = F.greatest(F.size(padded) - 3, F.lit(0))
+    return F.zip_with(F.slice(padded, F.lit(2), n), F.slice(padded, F.lit(3), n), lambda a, b: F.concat_ws(" ", a, b))
+
+
+def _bound(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with ``value`` computed once a row, however often it is named later: a generator of one element, which
+    the optimizer does not merge into the expressions that read it."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
 
 
 def template_sizes(spark: SparkSession, threshold: float, templates: tuple[tuple[str, str], ...]) -> DataFrame:
-    """license, pairs, n_pairs, size: a row for each template and each number of bigrams that can reach ``threshold``."""
+    """size, any_pairs, templates: for each number of bigrams that can reach ``threshold`` the templates it can reach it
+    with, and all their bigrams."""
     known = spark.createDataFrame(list(templates), "license string, body string").select(
-        "license", bigrams(F.col("body")).alias("pairs")).where(F.size("pairs") > 0)
+        "license", bigrams(padded_words(ascii_lower(F.col("body")))).alias("pairs")).where(F.size("pairs") > 0)
     n = F.size("pairs")
     low, high = F.ceil(n * threshold / (2 - threshold) - 1e-9), F.floor(n * (2 - threshold) / threshold + 1e-9)
-    return known.select("license", "pairs", n.alias("n_pairs"), F.explode(F.sequence(low.cast("int"), high.cast("int"))).alias("size"))
+    sized = known.select(F.struct("license", "pairs").alias("t"), F.explode(F.sequence(low.cast("int"), high.cast("int"))).alias("size"))
+    return sized.groupBy("size").agg(F.collect_list("t").alias("templates")).select(
+        "size", F.array_distinct(F.flatten(F.transform("templates", lambda t: t["pairs"]))).alias("any_pairs"), "templates")
 
 
 def license_matches(docs: DataFrame, threshold: float = THRESHOLD, templates: tuple[tuple[str, str], ...] = TEMPLATES) -> DataFrame:
@@ -68,21 +76,21 @@ def license_matches(docs: DataFrame, threshold: float = THRESHOLD, templates: tu
     null ids stay. Other columns are not read. The table of templates is a short list in the plan, so it is broadcast.
     """
     sizes = template_sizes(docs.sparkSession, threshold, templates)
-    most = sum(len(body) for _, body in templates) * (2 - threshold) / threshold  # no template has as many bigrams
-    lines = F.transform(F.split("text", "\n", -1), lambda line, at: F.struct(
-        at.alias("place"), line.alias("line"), (F.size(padded_words(line)) - 3).alias("size")))
-    counted = docs.select("doc_id", "text", lines.alias("lines"))
-    whole = F.struct(F.lit(-1).alias("place"), F.col("text").alias("line"),
-                     (F.aggregate("lines", F.lit(0), lambda n, x: n + x["size"] + 1) - 1).alias("size"))
-    able = F.filter(F.concat("lines", F.when(F.size("lines") > 1, F.array(whole)).otherwise(F.slice("lines", 1, 0))),
-                    lambda x: (x["size"] > 0) & (x["size"] < most))
+    lines = F.split("text", "\n", -1)
+    stretches = F.transform(lines, lambda line, at: F.struct(at.alias("place"), line.alias("line")))
+    whole = F.array(F.struct(F.lit(-1).alias("place"), F.col("text").alias("line")))
+    every = F.when(F.contains("text", F.lit("\n")), F.concat(stretches, whole)).otherwise(stretches)
+    cut = docs.select("doc_id", F.explode(every).alias("s")).select("doc_id", "s.place", "s.line")
+    sized = cut.withColumn("size", F.size(padded_words(F.col("line"))) - 3)
+    near = _bound(sized.join(F.broadcast(sizes), "size"), "words", padded_words(ascii_lower(F.col("line"))))
+    paired = _bound(near, "own", bigrams(F.col("words")))
+    able = paired.where(F.arrays_overlap("own", "any_pairs")).select("doc_id", "place", "size", "own", F.explode("templates").alias("t"))
+    able = able.select("doc_id", "place", "size", "own", "t.license", "t.pairs")
     own, pairs = F.col("own"), F.col("pairs")
     shared = F.aggregate(F.array_distinct("pairs"), F.lit(0), lambda n, b: n + F.least(
         F.size(F.filter(own, lambda x: x == b)), F.size(F.filter(pairs, lambda x: x == b))))
     return (
-        counted.select("doc_id", F.explode(able).alias("s")).select("doc_id", "s.place", "s.line", "s.size")
-        .join(F.broadcast(sizes), "size").withColumn("own", bigrams(F.col("line")))
-        .where(F.arrays_overlap("own", "pairs"))
-        .select("doc_id", "place", "license", (F.lit(2.0) * shared / (F.col("size") + F.col("n_pairs"))).alias("dice"))
+        able.where(F.arrays_overlap("own", "pairs"))
+        .select("doc_id", "place", "license", (F.lit(2.0) * shared / (F.col("size") + F.size("pairs"))).alias("dice"))
         .where(F.col("dice") >= threshold)
     )

@@ -31,6 +31,15 @@ def line_rows(docs: DataFrame, site: Column) -> DataFrame:
     )
 
 
+def _of_keys(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """``rows`` of the lines in ``keys`` (one row a line, which it adds). A line that stands in very many places is
+    dealt over ``SALTS`` tasks."""
+    dealt = keys.withColumnsRenamed({"h1": "_h1", "h2": "_h2"}).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salt = F.pmod(F.xxhash64("doc_id", "place"), F.lit(SALTS)).cast("int")
+    same = (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2")) & (salt == F.col("_salt"))
+    return rows.join(dealt, same).drop("_h1", "_h2", "_salt")
+
+
 def spread(rows: DataFrame, sites: int = SITES) -> DataFrame:
     """h1, h2, first (doc_id, digest, place): the lines that stand on at least ``sites`` distinct sites.
 
@@ -43,11 +52,11 @@ def spread(rows: DataFrame, sites: int = SITES) -> DataFrame:
         F.min("site").alias("low"), F.max("site").alias("high"), F.min(place).alias("first")).where(
         F.col("low").isNotNull() if sites <= 1 else F.col("low") < F.col("high")).select("h1", "h2", "first")
     several = staged(several)
-    candidates = rows.join(several.select("h1", "h2"), ["h1", "h2"], "left_semi").select("h1", "h2", "site")
+    candidates = _of_keys(rows, several.select("h1", "h2")).where("site IS NOT NULL")
     sketched = staged(candidates.groupBy("h1", "h2").agg(F.hll_sketch_agg("site", F.lit(LG_K)).alias("sketch")).select(
         "h1", "h2", F.hll_sketch_estimate("sketch").alias("estimate")).where(F.col("estimate") >= sites * (1 - BAND)))
     near = sketched.where(F.col("estimate") < sites * (1 + BAND)).select("h1", "h2")
-    exact = candidates.join(near, ["h1", "h2"], "left_semi").distinct().where("site IS NOT NULL").groupBy("h1", "h2").agg(
+    exact = _of_keys(candidates, near).select("h1", "h2", "site").distinct().groupBy("h1", "h2").agg(
         F.count(F.lit(1)).alias("exact")).where(F.col("exact") >= sites).select("h1", "h2")
     sure = sketched.where(F.col("estimate") >= sites * (1 + BAND)).select("h1", "h2")
     return several.join(sure.unionAll(exact), ["h1", "h2"], "left_semi")
@@ -56,10 +65,7 @@ def spread(rows: DataFrame, sites: int = SITES) -> DataFrame:
 def removals(docs: DataFrame, site: Column, sites: int = SITES, keep_first: bool = True) -> DataFrame:
     """doc_id, digest, places (sorted): the lines to remove, for the rows that lose any."""
     rows = staged(line_rows(docs, site))
-    wide = spread(rows, sites).select(
-        F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
-    salt = F.pmod(F.xxhash64("doc_id", "place"), F.lit(SALTS)).cast("int")
-    hit = rows.join(wide, (rows["h1"] == wide["_h1"]) & (rows["h2"] == wide["_h2"]) & (salt == wide["_salt"]))
+    hit = _of_keys(rows, spread(rows, sites))
     if keep_first:
         hit = hit.where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("digest") == F.col("first.digest"))
                           & (F.col("place") == F.col("first.place"))))
