@@ -22,12 +22,13 @@ from ledgerline.operators.lookup import candidate_pairs, other_side, preferred_l
 from ledgerline.operators.recovery import recover_adjacent_date_movements
 from ledgerline.operators.standardize import empty_text_to_blank, split_excluded, standardize_dataset
 from ledgerline.plans.mapping import detected_mapping, require_columns
-from ledgerline.plans.staging import TABLE, stage
+from ledgerline.plans.staging import TABLE, release, stage
 
 
 @dataclass(frozen=True)
 class Reconciliation:
-    """Lazy results. Every table is a DataFrame; nothing runs until one is used.
+    """Results as DataFrames. Building one stages both standardized sides; a result table runs, and
+    stages the steps it shares with others, when it is first asked for.
 
     ``combined`` and ``billing`` are the standardized, non-excluded sides. Results can
     be read as attributes or by the names of :meth:`tables`.
@@ -189,6 +190,10 @@ class Reconciliation:
             "dat_recovered": empty_text_to_blank(self.recovered),
         }
 
+    def close(self) -> None:
+        """Give back the staged tables of this session; the results cannot be used after."""
+        release(self.combined.sparkSession)
+
     def __getitem__(self, name: str) -> object:
         return self.settings if name == "settings" else self.tables()[name]
 

@@ -1,45 +1,56 @@
 """Intermediate tables that several later steps read.
 
-A staged table is written once to the folder all executors share and read back as a
-columnar relation: later steps prune its columns, plans stay small, and a lost executor
-costs a re-read instead of the whole lineage.
+Where the cluster names a shared folder (``spark.checkpoint.dir``), a staged table is
+written there once and read back as a columnar relation: later steps prune its columns and
+push filters, plans stay small, and a lost executor costs a re-read instead of the whole
+lineage. Without such a folder the engine keeps it (memory first, then its own disk) and
+recomputes what it loses. :func:`release` gives everything back; what is left goes when the
+application ends.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from functools import lru_cache
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 TABLE, PERSIST, NONE = "table", "persist", "none"
 
+_kept: dict[str, list[DataFrame]] = {}
+_written: dict[str, list[str]] = {}
 
-@lru_cache(maxsize=1)
-def _local_folder() -> str:
-    return tempfile.mkdtemp(prefix="ledgerline-")
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names; only a local session falls back to one of its own."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if named:
-        return named
-    if spark.sparkContext.master.startswith("local"):
-        return _local_folder()
-    raise ValueError("Set spark.checkpoint.dir to a folder all executors share.")
+def shared_folder(spark: SparkSession) -> str | None:
+    """The folder that the cluster names for all executors, if it names one."""
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
 
 
 def stage(df: DataFrame, name: str, mode: str = TABLE) -> DataFrame:
-    """Keep ``df``: as a written table, persisted, or not at all."""
+    """Keep ``df``: as a written table, persisted (also where no folder is named), or not at all."""
+    if mode not in (TABLE, PERSIST, NONE):
+        raise ValueError(f"mode must be one of {(TABLE, PERSIST, NONE)}")
     if mode == NONE:
         return df
-    if mode == PERSIST:
-        return df.persist(StorageLevel.MEMORY_AND_DISK)
-    if mode != TABLE:
-        raise ValueError(f"mode must be one of {(TABLE, PERSIST, NONE)}")
-    path = f"{shared_folder(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    application, folder = spark.sparkContext.applicationId, shared_folder(spark)
+    if mode == PERSIST or not folder:
+        kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+        _kept.setdefault(application, []).append(kept)
+        return kept
+    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    _written.setdefault(application, []).append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Drop every staged table of this application; results that read them must not be used after."""
+    application = spark.sparkContext.applicationId
+    for df in _kept.pop(application, []):
+        df.unpersist()
+    for path in _written.pop(application, []):
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

@@ -17,6 +17,7 @@ from ledgerline.sources.rows import file_pieces, numbered_pieces
 
 DELIMITERS = ",;\t|"
 HEAD_BYTES, SAMPLE = 65536, 8192
+BYTE_ORDER_MARK = bytes.fromhex("EFBBBF")
 UTF8, WINDOWS = "utf-8-sig", "cp1252"
 _HIGH = [(chr(b), bytes([b]).decode(WINDOWS, "ignore")) for b in range(0x80, 0xA0)]
 
@@ -42,6 +43,12 @@ def _decoded(head: bytes, encoding: str | None) -> tuple[str, str]:
     return head.decode(WINDOWS, "replace"), WINDOWS
 
 
+def _encoding_name(head: bytes, encoding: str | None) -> str:
+    """The encoding as labels name it: the signature counts only where there is one."""
+    found = _decoded(head, encoding)[1].lower()
+    return "utf-8" if found == UTF8 and not head.startswith(BYTE_ORDER_MARK) else found
+
+
 def delimiter_of(sample: str) -> str:
     """The delimiter the sample suggests; a comma where it suggests none."""
     try:
@@ -152,7 +159,7 @@ def read_uploaded_table(
         labels += sorted({f"{r['label']} · Tabel Data" for r in found if r["reader"] == "html"})
     if delimited:
         heads = file_heads(spark, sorted(delimited))
-        labels = sorted({f"Delimited text · {layout_of(h, sep, encoding).encoding}" for h in heads.values()}) + labels
+        labels = sorted({f"Delimited text · {_encoding_name(h, encoding)}" for h in heads.values()}) + labels
         parts.append(read_source_csv(spark, sorted(delimited), sep, encoding))
     if reports:
         table = read_html_report(spark.read.format("binaryFile").load(reports))

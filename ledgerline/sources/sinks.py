@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -58,6 +59,19 @@ def typed_dates(df: DataFrame) -> DataFrame:
     return df.withColumns(unread).withColumns({c: iso_day(field(c)) for c in present})
 
 
+def settings_table(result: Reconciliation) -> DataFrame:
+    """The settings of the run as lines (name, value): when it was written, tolerance, invalid statuses."""
+    rules = result.rules
+    lines = [("Time tolerance", f"{rules.tolerance_minutes:g} minutes"),
+             ("Invalid STREAM status", ", ".join(rules.invalid_statuses))]
+    spark = result.combined.sparkSession
+    written = spark.range(1).select(F.lit(0).alias("LINE"), F.lit("Generated").alias("SETTING"),
+                                    F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss").alias("VALUE"))
+    return reduce(DataFrame.unionByName, [
+        spark.range(1).select(F.lit(i).alias("LINE"), F.lit(name).alias("SETTING"), F.lit(value).alias("VALUE"))
+        for i, (name, value) in enumerate(lines, 1)], written)
+
+
 def report_tables(result: Reconciliation) -> dict[str, DataFrame]:
     """The nine report datasets with their column lists, unsorted."""
     tables = result.tables()
@@ -78,8 +92,11 @@ def _in_report_order(sheet: str, df: DataFrame) -> DataFrame:
 
 
 def write_report(result: Reconciliation, folder: str, file_format: str = "parquet") -> list[str]:
-    """Write the nine datasets in report order below ``folder``; returns their paths."""
+    """Write the nine datasets in report order below ``folder``, and the settings beside them;
+    returns the paths of the nine."""
     paths = []
+    settings = settings_table(result).coalesce(1).sortWithinPartitions("LINE")  # three rows
+    WRITERS[file_format](settings, f"{folder.rstrip('/')}/Settings")
     for sheet, df in report_tables(result).items():
         path = f"{folder.rstrip('/')}/{sheet}"
         ordered = _in_report_order(sheet, df)

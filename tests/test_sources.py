@@ -82,7 +82,7 @@ def test_files_of_one_folder_may_differ_in_columns(spark, tmp_path):
 def test_delimiter_is_found(spark, tmp_path):
     (tmp_path / "a.txt").write_text("Flight Number;From;To\nGA100;CGK;DPS\n")
     df, label = read_uploaded_table(spark, str(tmp_path))
-    assert df.columns[:3] == ["Flight Number", "From", "To"] and label == "Delimited text · utf-8-sig"
+    assert df.columns[:3] == ["Flight Number", "From", "To"] and label == "Delimited text · utf-8"
 
 
 def test_reports_of_differing_headers_keep_all_rows(spark, tmp_path):

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from functools import lru_cache, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -14,10 +13,11 @@ from ledgerline.operators import dedup, evaluate as ev, extra as extra_ops, filt
 from ledgerline.operators.summary import reason_histogram
 from ledgerline.operators.best import best_candidates
 from ledgerline.plans.reconcile import Reconciliation, reconcile_dat_vs_stream
-from ledgerline.plans.staging import shared_folder
+from ledgerline.plans.staging import release
 from ledgerline.sources.delimited import read_source_csv
 from ledgerline.sources.sinks import report_tables, write_csv, write_report
 from workload import movements
+from workload.scratch import scratch
 from workload.movements import reconcile_events, sql
 
 
@@ -366,7 +366,7 @@ def ingest_outcomes(spark, sf_dir):
     )
     scanned = []
     for extract in extracts:
-        path = f"{shared_folder(spark).rstrip('/')}/landed-{uuid.uuid4().hex}"
+        path = scratch(spark, "landed")
         write_csv(extract, path)
         scanned.append(read_source_csv(spark, path, row_numbers=None))
     return reconcile_dat_vs_stream(*scanned, row_col="row").records.select(*_names(**OUTCOME))
@@ -561,7 +561,7 @@ FROM decided WHERE outcome = 'MATCHED'"""
 
 def report_sink(spark, sf_dir):
     """The nine report datasets, written in report order and read back."""
-    folder = f"{shared_folder(spark).rstrip('/')}/report-{uuid.uuid4().hex}"
+    folder = scratch(spark, "report")
     paths = write_report(reconciled(spark, sf_dir), folder)
     read = [(path.rsplit("/", 1)[1], spark.read.parquet(path)) for path in paths]
     counts = [

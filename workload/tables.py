@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from functools import lru_cache, reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -12,11 +11,11 @@ from ledgerline.operators.occurrence import occurrence_number
 from ledgerline.operators.outputs import preview, select_with_backfill
 from ledgerline.plans.compare import Comparison, compare_datasets
 from ledgerline.plans.mapping import detect_mapping
-from ledgerline.plans.staging import shared_folder
 from ledgerline.sources import formats, html_report, rows as row_numbers
 from ledgerline.sources.delimited import read_source_csv, read_uploaded_table
 from ledgerline.sources.sinks import COMPARISON_BUNDLE, write_comparison, write_csv
 from workload.movements import table
+from workload.scratch import scratch
 
 KEYS = ("flight", "ades")
 LINE_ORDER = ["l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag",
@@ -260,7 +259,7 @@ UNION ALL SELECT CAST(o_orderkey AS VARCHAR), 4, 'a&b ' || o_orderkey, '', '' FR
 
 def csv_round_trip(spark, sf_dir):
     """Parts written by the CSV sink and scanned again as text."""
-    path = f"{shared_folder(spark).rstrip('/')}/parts-{uuid.uuid4().hex}"
+    path = scratch(spark, "parts")
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", F.lit("NA").alias("p_note"))
     write_csv(parts, path)
     scanned = read_source_csv(spark, path, row_numbers=None)
@@ -269,7 +268,7 @@ def csv_round_trip(spark, sf_dir):
 
 def uploaded_table(spark, sf_dir):
     """The same parts through the dispatching scan, which finds delimited text."""
-    path = f"{shared_folder(spark).rstrip('/')}/uploaded-{uuid.uuid4().hex}"
+    path = scratch(spark, "uploaded")
     write_csv(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type"), path)
     scanned, label = read_uploaded_table(spark, path)
     return scanned.select(F.col("p_partkey").cast("bigint").alias("p_partkey"), "p_name", "p_type", F.lit(label).alias("label"))
@@ -277,7 +276,7 @@ def uploaded_table(spark, sf_dir):
 
 def comparison_sink(spark, sf_dir):
     """The five comparison datasets, written and read back."""
-    folder = f"{shared_folder(spark).rstrip('/')}/comparison-{uuid.uuid4().hex}"
+    folder = scratch(spark, "comparison")
     write_comparison(_compared(spark, sf_dir), folder, "parquet")
     counts = [
         spark.read.parquet(f"{folder}/{name}").agg(F.lit(name).alias("dataset"), F.count("*").alias("rows"))
