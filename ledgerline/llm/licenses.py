@@ -3,7 +3,7 @@
 Each line of a document is compared, and the document as a whole where it has several lines. Bags of a and b bigrams
 reach a coefficient of t only where a lies between b * t / (2 - t) and b * (2 - t) / t, so every template stands in a
 table under each size that can reach it, and stretches of text join that table on their size, which is their number of
-words less one. Bigrams are made and compared for those only; most lines and documents never meet a template.
+words less one. Of those, only stretches with a word that a match must hold have their bigrams made and compared.
 """
 
 from __future__ import annotations
@@ -56,15 +56,23 @@ def _bound(df: DataFrame, name: str, value: Column) -> DataFrame:
 
 
 def template_sizes(spark: SparkSession, threshold: float, templates: tuple[tuple[str, str], ...]) -> DataFrame:
-    """size, any_pairs, templates: for each number of bigrams that can reach ``threshold`` the templates it can reach it
-    with, and all their bigrams."""
+    """size, anchors, templates: for each number of bigrams that can reach ``threshold`` the templates it can reach it
+    with, and words of which such a stretch must hold one.
+
+    A coefficient of t with a template of b bigrams needs r = b * t / (2 - t) of them, so of any b - r + 1 bigrams
+    one must be there. Those with the longest words are taken, as long words are rare; the longer word of each is its anchor.
+    """
     known = spark.createDataFrame(list(templates), "license string, body string").select(
         "license", bigrams(padded_words(ascii_lower(F.col("body")))).alias("pairs")).where(F.size("pairs") > 0)
     n = F.size("pairs")
     low, high = F.ceil(n * threshold / (2 - threshold) - 1e-9), F.floor(n * (2 - threshold) / threshold + 1e-9)
-    sized = known.select(F.struct("license", "pairs").alias("t"), F.explode(F.sequence(low.cast("int"), high.cast("int"))).alias("size"))
-    return sized.groupBy("size").agg(F.collect_list("t").alias("templates")).select(
-        "size", F.array_distinct(F.flatten(F.transform("templates", lambda t: t["pairs"]))).alias("any_pairs"), "templates")
+    first, second = (lambda p: F.split_part(p, F.lit(" "), F.lit(1))), (lambda p: F.split_part(p, F.lit(" "), F.lit(2)))
+    longer = F.transform("pairs", lambda p: F.when(F.char_length(first(p)) >= F.char_length(second(p)), first(p)).otherwise(second(p)))
+    ranked = F.sort_array(F.transform(longer, lambda w: F.struct(F.char_length(w).alias("n"), w.alias("w"))), asc=False)
+    anchors = F.transform(F.slice(ranked, F.lit(1), (n - low + 1).cast("int")), lambda x: x["w"])
+    sized = known.select(F.struct("license", "pairs").alias("t"), anchors.alias("a"),
+                         F.explode(F.sequence(low.cast("int"), high.cast("int"))).alias("size"))
+    return sized.groupBy("size").agg(F.collect_list("t").alias("templates"), F.array_distinct(F.flatten(F.collect_list("a"))).alias("anchors"))
 
 
 def license_matches(docs: DataFrame, threshold: float = THRESHOLD, templates: tuple[tuple[str, str], ...] = TEMPLATES) -> DataFrame:
@@ -81,10 +89,11 @@ def license_matches(docs: DataFrame, threshold: float = THRESHOLD, templates: tu
     whole = F.array(F.struct(F.lit(-1).alias("place"), F.col("text").alias("line")))
     every = F.when(F.contains("text", F.lit("\n")), F.concat(stretches, whole)).otherwise(stretches)
     cut = docs.select("doc_id", F.explode(every).alias("s")).select("doc_id", "s.place", "s.line")
-    sized = cut.withColumn("size", F.size(padded_words(F.col("line"))) - 3)
-    near = _bound(sized.join(F.broadcast(sizes), "size"), "words", padded_words(ascii_lower(F.col("line"))))
+    words = _bound(cut, "words", padded_words(ascii_lower(F.col("line")))).select("doc_id", "place", "words")
+    sized = _bound(words, "size", F.size("words") - 3)
+    near = sized.join(F.broadcast(sizes), "size").where(F.arrays_overlap("words", "anchors"))
     paired = _bound(near, "own", bigrams(F.col("words")))
-    able = paired.where(F.arrays_overlap("own", "any_pairs")).select("doc_id", "place", "size", "own", F.explode("templates").alias("t"))
+    able = paired.select("doc_id", "place", "size", "own", F.explode("templates").alias("t"))
     able = able.select("doc_id", "place", "size", "own", "t.license", "t.pairs")
     own, pairs = F.col("own"), F.col("pairs")
     shared = F.aggregate(F.array_distinct("pairs"), F.lit(0), lambda n, b: n + F.least(
