@@ -14,10 +14,11 @@ lowest row therefore gives the same pairs as letting the targets choose one by o
 target can trade up, because every earlier source went to a lower row. That form is one
 sorted pass that keeps only the waiting targets in memory.
 
-A group that is too big for one pass is thinned first. A source left over when it competes
-in a random shard of the sources against *all* targets is left over in the whole group, and
-a target left over in a shard of the targets facing *all* sources stays without one. Both
-thinnings are exact and run as many tasks per group.
+Groups are thinned before that pass, in one shard for every ``SHARD_ROWS`` events of a group.
+A source left over when it competes in a random shard of the sources against *all* targets is
+left over in the whole group, and a target left over in a shard of the targets facing *all*
+sources stays without one. Both thinnings are exact; a group of one shard needs none. The
+number of shards is a column, so one plan serves groups of every size.
 """
 
 from __future__ import annotations
@@ -32,15 +33,14 @@ from ledgerline.constants import IDENTITY_COLUMNS, RECOVERED_REASON, RECOVERY_SO
 from ledgerline.functions import times
 from ledgerline.functions.dates import iso_day
 from ledgerline.functions.text import field
-from ledgerline.plans.staging import NONE, TABLE, stage
+from ledgerline.plans.staging import TABLE, stage
 
 FILLED_COLUMNS = [
     "AC REGISTER", "ATD", "ATA", "ARRIVAL GATE", "DEPARTURE GATE", "DEPARTURE RUNWAY",
     "ARRIVAL RUNWAY", "ATD_DATETIME", "ATA_DATETIME", "RAW ATD", "RAW ATA",
 ]
 BAND_START_HOUR, BAND_END_HOUR = 23, 6  # fixed values: 23:00 of D to 06:00 of D+1
-HOT_GROUP_ROWS = 1_000_000
-SHARDS = 32
+SHARD_ROWS = 250_000
 ROW_ID = ["SOURCE DATA", "SOURCE ROW"]
 PAIR_SCHEMA = "target_data string, target_row bigint, source_data string, source_row bigint"
 
@@ -123,10 +123,10 @@ def _serve_groups(events: DataFrame) -> DataFrame:
     return ordered.select("group", "is_target", "register", "data", "row").mapInPandas(_serve, PAIR_SCHEMA)
 
 
-def _sharded(whole: DataFrame, split: DataFrame, shards: int) -> DataFrame:
-    """``split`` spread over shards of its group, ``whole`` repeated in each of them."""
-    every = whole.withColumn("_shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    some = split.withColumn("_shard", F.pmod(F.xxhash64("data", "row"), F.lit(shards)).cast("int"))
+def _sharded(whole: DataFrame, split: DataFrame) -> DataFrame:
+    """``split`` spread over the ``shards`` of its group, ``whole`` repeated in each of them."""
+    every = whole.withColumn("_shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
+    some = split.withColumn("_shard", F.pmod(F.xxhash64("data", "row"), F.col("shards")).cast("int"))
     both = every.unionByName(some)
     return both.withColumn("group", F.concat_ws("|", "group", F.col("_shard"))).drop("_shard")
 
@@ -136,39 +136,39 @@ def _kept(rows: DataFrame, pairs: DataFrame, side: str) -> DataFrame:
     return rows.join(ids, ["data", "row"], "left_semi")
 
 
-def _thinned(targets: DataFrame, sources: DataFrame, shards: int) -> DataFrame:
-    sources = _kept(sources, _serve_groups(_sharded(targets, sources, shards)), "source")
-    targets = _kept(targets, _serve_groups(_sharded(sources, targets, shards)), "target")
+def _thinned(events: DataFrame) -> DataFrame:
+    """Events (with ``shards``) that a pass over their whole group could still pair."""
+    targets, sources = events.where("is_target"), events.where(~F.col("is_target"))
+    sources = _kept(sources, _serve_groups(_sharded(targets, sources)), "source")
+    targets = _kept(targets, _serve_groups(_sharded(sources, targets)), "target")
     return targets.unionByName(sources)
 
 
-def recovery_pairs(
-    df: DataFrame, mode: str = TABLE, hot_rows: int = HOT_GROUP_ROWS, shards: int = SHARDS
-) -> DataFrame:
+def _with_shards(events: DataFrame, shard_rows: int) -> DataFrame:
+    """``events`` with ``shards``, the number of shards of their group. Only groups of several
+    shards are listed, so the joined side is short: one row for every ``shard_rows`` events at most."""
+    large = events.groupBy("group").agg(F.count("*").alias("_rows")).where(F.col("_rows") > shard_rows).select(
+        F.col("group").alias("_group"), F.ceil(F.col("_rows") / shard_rows).cast("int").alias("_shards"))
+    return events.join(large, F.col("group") == F.col("_group"), "left").withColumn(
+        "shards", F.coalesce("_shards", F.lit(1))).drop("_group", "_shards")
+
+
+def recovery_pairs(df: DataFrame, mode: str = TABLE, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """One-to-one pairs (target, source) of the recovery rule.
 
-    Only sources of groups that have a target are kept. The narrow event table is
-    staged, so its largest groups are known before the pass is planned.
+    Only sources of groups that have a target are kept; the narrow event table is staged.
     """
     targets, sources = recovery_events(df)
     asked = sources.join(targets.select("group").distinct(), "group", "left_semi")
-    events = stage(targets.unionByName(asked), "recovery-events", mode)
-    if mode == NONE:
-        return _serve_groups(events)
-    hot = events.groupBy("group").agg(F.count("*").alias("_rows")).where(F.col("_rows") > hot_rows)
-    if hot.isEmpty():
-        return _serve_groups(events)
-    hot = hot.select("group")
-    warm = events.join(hot, "group", "left_semi")
-    thinned = _thinned(warm.where("is_target"), warm.where(~F.col("is_target")), shards)
-    return _serve_groups(events.join(hot, "group", "left_anti").unionByName(thinned))
+    events = stage(_with_shards(targets.unionByName(asked), shard_rows), "recovery-events", mode)
+    return _serve_groups(events.where("shards = 1").unionByName(_thinned(events.where("shards > 1"))))
 
 
 def recover_adjacent_date_movements(
-    df: DataFrame, mode: str = TABLE, hot_rows: int = HOT_GROUP_ROWS, shards: int = SHARDS
+    df: DataFrame, mode: str = TABLE, shard_rows: int = SHARD_ROWS
 ) -> DataFrame:
     """Fill recovered movements and mark the rows that served them."""
-    pairs = stage(recovery_pairs(df, mode, hot_rows, shards), "recovery-pairs", mode)
+    pairs = stage(recovery_pairs(df, mode, shard_rows), "recovery-pairs", mode)
     payload = df.select(
         F.col("SOURCE DATA").alias("source_data"), F.col("SOURCE ROW").alias("source_row"),
         F.struct("DATE OF FLIGHT", "SOURCE ROW", *FILLED_COLUMNS).alias("_fill"),

@@ -55,7 +55,7 @@ def test_recovery_choice_and_its_thinning(spark, seed, targets, sources):
     want = greedy(events)
     plain = recovery._serve_groups(df)
     assert {(r.target_row, r.source_row) for r in plain.collect()} == want
-    thinned = recovery._thinned(df.where("is_target"), df.where("not is_target"), shards=3)
+    thinned = recovery._thinned(df.withColumn("shards", F.lit(3))).drop("shards")
     assert thinned.count() <= df.count()
     got = recovery._serve_groups(thinned).collect()
     assert {(r.target_row, r.source_row) for r in got} == want
@@ -126,8 +126,8 @@ def test_looked_at_equals_the_rows_of_all_pairs(sides):
     assert 0 < len(pairs) < 150
 
 
-def test_hot_groups_take_the_thinned_path(spark):
-    """The same recovery through both paths of the operator."""
+def test_recovery_in_one_and_in_many_shards(spark):
+    """Pairs do not depend on how many shards a group has."""
     from ledgerline.plans.reconcile import reconcile_dat_vs_stream
 
     rows = []
@@ -147,6 +147,6 @@ def test_hot_groups_take_the_thinned_path(spark):
 
     plain = pairs()
     assert 10 < len(plain) <= 30
-    assert pairs(hot_rows=5, shards=4) == plain == pairs(mode="none")
+    assert pairs(shard_rows=5) == plain == pairs(mode="none") == pairs(mode="none", shard_rows=20)
     filled = recovery.recover_adjacent_date_movements(combined)
     assert filled.where(F.col("DAT_RECOVERY_USED")).count() == filled.where("USED_FOR_RECOVERY").count() == len(plain)
