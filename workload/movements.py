@@ -120,6 +120,12 @@ def reconcile_events(spark: SparkSession, sf_dir: str) -> Reconciliation:
     )
 
 
+def on_one_flight(events: DataFrame) -> DataFrame:
+    """The same events, nine of ten on one flight and all to one place."""
+    flight = F.when(_every(10), F.col("flight")).otherwise("U7")
+    return events.withColumns({"flight": flight, "ades": F.lit("H0")})
+
+
 # Typed counterparts -----------------------------------------------------------------
 SQL_EVENTS = """
 ev AS (
@@ -133,6 +139,10 @@ ev AS (
   FROM events),
 """
 
+SQL_ONE_FLIGHT = SQL_EVENTS.replace("ev AS (", "spread AS (") + """
+ev AS (SELECT * REPLACE (CASE WHEN id % 10 = 0 THEN flight0 ELSE 'U7' END AS flight0, 'H0' AS ades) FROM spread),
+"""
+
 SQL_RECORDS = """
 rec0 AS (
   SELECT id + 2 AS row, CASE WHEN departs THEN 'DAT DEP' ELSE 'DAT ARR' END AS src,
@@ -379,7 +389,7 @@ extra AS (SELECT b.* FROM bil b WHERE NOT EXISTS (SELECT 1 FROM pair0 p WHERE p.
 LAYERS = (SQL_EVENTS, SQL_RECORDS, SQL_BILLING, SQL_RECOVERY, SQL_INSTANCES, SQL_MATCH)
 
 
-def sql(select: str, layers: int = len(LAYERS)) -> str:
+def sql(select: str, layers: int = len(LAYERS), events: str = SQL_EVENTS) -> str:
     """A full statement: the first layers of common table expressions, then the select."""
     recursive = "RECURSIVE " if layers > 3 else ""
-    return f"WITH {recursive}{''.join(LAYERS[:layers]).strip().rstrip(',')}\n{select}"
+    return f"WITH {recursive}{''.join([events, *LAYERS[1:layers]]).strip().rstrip(',')}\n{select}"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import lru_cache, reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ledgerline.constants import MODE_SPECIAL
 from ledgerline.functions import times
@@ -109,6 +109,17 @@ def recovery_pairs(spark, sf_dir):
 RECOVERY_PAIRS = sql("SELECT tsrc AS target_data, trow AS target_row, tsrc AS source_data, srow AS source_row FROM pairs", 4)
 
 
+def recovery_one_flight(spark, sf_dir):
+    """The same choice where one flight holds nearly all movements, in shards of 20 events."""
+    events = movements.on_one_flight(movements.base(spark, sf_dir))
+    sides = (movements.raw_records(events, True), movements.raw_records(events, False), movements.raw_billing(events))
+    return recovery.recovery_pairs(reconcile_dat_vs_stream(*sides, row_col="row").combined, shard_rows=20)
+
+
+RECOVERY_ONE_FLIGHT = sql(
+    "SELECT tsrc AS target_data, trow AS target_row, tsrc AS source_data, srow AS source_row FROM pairs", 4, movements.SQL_ONE_FLIGHT)
+
+
 def midnight_recovery(spark, sf_dir):
     return reconciled(spark, sf_dir).recovered.select(*_names(
         **ID, register="AC REGISTER", atd_text="ATD", ata_text="ATA", moved_on="ACTUAL MOVEMENT DATE",
@@ -545,13 +556,19 @@ def display_columns(spark, sf_dir):
     return shown.select(*_names(**ID, **ROUTE, reason="MATCH_REASON", category="BILLING CATEGORY", key="STREAM MATCH KEY"))
 
 
-def ordered_records(spark, sf_dir):
-    """Report order, made visible as the place of each row by a two-level numbering."""
-    from ledgerline.operators.occurrence import occurrence_number
+def _placed_rows(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of a written table with their file and their place in it."""
+    return spark.read.parquet(path).select(
+        *_names(**ID, **ROUTE), F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("at"))
 
-    matched_rows = reconciled(spark, sf_dir).matched.select(*_names(**ID, **ROUTE))
-    order = ["flight", "move", "src", "row"]
-    return occurrence_number(matched_rows, ["dof"], order, "place", F.col("flight")).select("src", "row", "dof", "place")
+
+def ordered_records(spark, sf_dir):
+    """Matched records written in report order: the place of each row within its day, as the files have it."""
+    path = scratch(spark, "ordered")
+    outputs.ordered_records(reconciled(spark, sf_dir).matched).write.parquet(path)
+    within = Window.partitionBy("dof").orderBy("file", "at")
+    return _placed_rows(spark, path).withColumn("place", F.row_number().over(within) - 1).select(
+        "src", "row", "dof", F.col("place").cast("bigint").alias("place"))
 
 
 ORDERED_SQL = """
@@ -587,6 +604,30 @@ UNION ALL SELECT 'Excluded Non-Billable', (SELECT count(*) FROM stdm WHERE exclu
     greatest((SELECT CAST(max(fd) AS VARCHAR) FROM stdm WHERE excluded), (SELECT max(dof) FROM bil1 WHERE excluded))"""
 
 
+REPORT_ROWS_OF = ("Matched", "Need Review", "Extra in Stream", "Duplicate DAT")
+
+
+def report_rows(spark, sf_dir):
+    """Rows of the written report: which record stands at which place of its day."""
+    folder = scratch(spark, "report")
+    paths = {path.rsplit("/", 1)[1]: path for path in write_report(reconciled(spark, sf_dir), folder)}
+    within = Window.partitionBy("dof").orderBy("file", "at")
+    parts = [
+        _placed_rows(spark, paths[name]).select(
+            F.lit(name).alias("dataset"), "src", "row", "flight", (F.row_number().over(within) - 1).cast("bigint").alias("place"))
+        for name in REPORT_ROWS_OF
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+_PLACE = "row_number() OVER (PARTITION BY dof ORDER BY coalesce(flight, ''), move, {side}row) - 1 AS place"
+REPORT_ROWS_SQL = "\nUNION ALL ".join(
+    f"SELECT '{name}' AS dataset, {src} AS src, row, coalesce(flight, '') AS flight, {_PLACE.format(side=side)} FROM {rows}"
+    for name, src, side, rows in (
+        ("Matched", "src", "src, ", "decided WHERE outcome = 'MATCHED'"), ("Need Review", "src", "src, ", "decided WHERE outcome = 'NEED REVIEW'"),
+        ("Extra in Stream", "'STREAM'", "", "extra"), ("Duplicate DAT", "src", "src, ", "resolved WHERE NOT selected")))
+
+
 def index_groups(spark, sf_dir):
     """Billing rows per lookup key."""
     _, others = reconciled(spark, sf_dir).sides
@@ -616,6 +657,7 @@ QUERIES = {
     "union_sides": (union_sides, UNION_SIDES),
     "recovery_order": (recovery_order, RECOVERY_ORDER),
     "recovery_pairs": (recovery_pairs, RECOVERY_PAIRS),
+    "recovery_one_flight": (recovery_one_flight, RECOVERY_ONE_FLIGHT),
     "midnight_recovery": (midnight_recovery, MIDNIGHT_RECOVERY),
     "key_preparation": (key_preparation, KEY_PREPARATION),
     "slot_register": (slot_register, SLOT_REGISTER),
@@ -646,6 +688,7 @@ QUERIES = {
     "index_groups": (index_groups, INDEX_GROUPS),
     "looked_at": (looked_at, sql("SELECT DISTINCT rrow AS r_row FROM pair0")),
     "report_sink": (report_sink, sql(REPORT_SINK_SQL)),
+    "report_rows": (report_rows, sql(REPORT_ROWS_SQL)),
     "extra_rows": (extra_rows, sql(EXTRA_SQL)),
     "not_selected": (not_selected, sql(NOT_SELECTED_SQL)),
     "audit_union": (audit_union, sql(AUDIT_SQL)),

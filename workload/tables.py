@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import lru_cache, reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ledgerline.operators import compare as ops
 from ledgerline.operators.occurrence import occurrence_number
@@ -257,6 +257,55 @@ SELECT CAST(o_orderkey AS VARCHAR) AS path, 2 AS row_no, CAST(o_orderkey AS VARC
 UNION ALL SELECT CAST(o_orderkey AS VARCHAR), 4, 'a&b ' || o_orderkey, '', '' FROM orders"""
 
 
+def html_reports(spark, sf_dir):
+    """Every customer's orders as one HTML report; three exporters name and order the columns differently."""
+    layout = F.col("o_custkey") % 3
+
+    def row(tag: str, *cells: Column) -> Column:
+        return F.concat(F.lit("<tr>"), *[F.concat(F.lit(f"<{tag}>"), c, F.lit(f"</{tag}>")) for c in cells], F.lit("</tr>"))
+
+    def by_layout(tag: str, key: Column, status: Column, priority: Column) -> Column:
+        return F.when(layout == 0, row(tag, key, status)).when(layout == 1, row(tag, priority, key)).otherwise(row(tag, key, key, priority))
+
+    head = by_layout("th", F.lit("KEY"), F.lit("STATUS"), F.lit("PRIORITY"))
+    body = by_layout("td", F.col("o_orderkey").cast("string"), F.col("o_orderstatus"), F.col("o_orderpriority"))
+    orders = row_numbers.spread(table(spark, sf_dir, "orders"))
+    files = orders.groupBy("o_custkey").agg(
+        F.max(head).alias("head"), F.sort_array(F.collect_list(F.struct("o_orderkey", body.alias("tr")))).alias("rows"))
+    page = F.concat(F.lit("<html><table>"), "head", F.array_join(F.transform("rows", lambda r: r["tr"]), ""), F.lit("</table></html>"))
+    reports = html_report.read_html_report(
+        files.select(F.col("o_custkey").cast("string").alias("path"), F.encode(page, "UTF-8").alias("content")))
+    return reports.select("path", "row_no", "KEY", "STATUS", "PRIORITY", F.col("KEY (2)").alias("KEY_AGAIN"))
+
+
+HTML_REPORTS = """
+SELECT CAST(o_custkey AS VARCHAR) AS path, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS INTEGER) AS row_no,
+       CAST(o_orderkey AS VARCHAR) AS "KEY", CASE WHEN o_custkey % 3 = 0 THEN o_orderstatus END AS "STATUS",
+       CASE WHEN o_custkey % 3 <> 0 THEN o_orderpriority END AS "PRIORITY",
+       CASE WHEN o_custkey % 3 = 2 THEN CAST(o_orderkey AS VARCHAR) END AS "KEY_AGAIN"
+FROM orders"""
+
+
+def csv_folder(spark, sf_dir):
+    """Parts landed in one folder by three exporters, with other columns, another order and other delimiters."""
+    path = scratch(spark, "folder")
+    parts = table(spark, sf_dir, "part")
+    exports = (("p_partkey", "p_name", "p_brand"), ","), (("p_type", "p_name", "p_partkey"), ";"), (("p_brand", "p_partkey", "p_size"), "\t")
+    for i, (columns, sep) in enumerate(exports):
+        parts.where(F.col("p_partkey") % 3 == i).select(*columns).write.csv(f"{path}/{i}", header=True, sep=sep)
+    scanned = read_source_csv(spark, path)
+    per_file = Window.partitionBy("__file")  # ordinals are dense within a file and the whole folder
+    numbered = scanned.withColumn("dense", F.max("__row").over(per_file) - F.min("__row").over(per_file) + 1 == F.count("*").over(per_file))
+    return numbered.select(F.col("p_partkey").cast("bigint").alias("p_partkey"), "p_name", "p_brand", "p_type", "p_size", "dense")
+
+
+CSV_FOLDER = """
+SELECT p_partkey, CASE WHEN p_partkey % 3 < 2 THEN p_name END AS p_name, CASE WHEN p_partkey % 3 <> 1 THEN p_brand END AS p_brand,
+       CASE WHEN p_partkey % 3 = 1 THEN p_type END AS p_type, CASE WHEN p_partkey % 3 = 2 THEN CAST(p_size AS VARCHAR) END AS p_size,
+       true AS dense
+FROM part"""
+
+
 def csv_round_trip(spark, sf_dir):
     """Parts written by the CSV sink and scanned again as text."""
     path = scratch(spark, "parts")
@@ -293,6 +342,32 @@ UNION ALL SELECT '04_data_cocok', (SELECT count(*) FROM m)
 UNION ALL SELECT '05_perbedaan_nilai', (SELECT count(*) FROM m WHERE fields <> '')"""
 
 
+def comparison_rows(spark, sf_dir):
+    """The rows of the five written datasets, by the source rows they name."""
+    folder = scratch(spark, "comparison")
+    write_comparison(_compared(spark, sf_dir), folder, "parquet")
+    parts = []
+    for name in COMPARISON_BUNDLE:
+        rows = spark.read.parquet(f"{folder}/{name}")
+        if "Baris Asli" in rows.columns:
+            ids = [F.when(F.col("Asal Data") == side, F.col("Baris Asli")) for side in ("Data Sumber", "Data Aktual")]
+            note = F.col("Keterangan")
+        else:
+            ids, note = [F.col("Baris Sumber"), F.col("Baris Aktual")], F.col("Field Berbeda")
+        parts.append(rows.select(F.lit(name).alias("dataset"), ids[0].alias("srow"), ids[1].alias("arow"), note.alias("note")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+COMPARISON_ROWS = f"""WITH {SIDES_SQL},
+so AS ({SOURCE_ONLY}), ao AS ({ACTUAL_ONLY})
+SELECT '01_hanya_data_sumber' AS dataset, row AS srow, NULL AS arow, note FROM so
+UNION ALL SELECT '02_hanya_data_aktual', NULL, row, note FROM ao
+UNION ALL SELECT '03_semua_tidak_cocok', row, NULL, note FROM so
+UNION ALL SELECT '03_semua_tidak_cocok', NULL, row, note FROM ao
+UNION ALL SELECT '04_data_cocok', srow, arow, fields FROM m
+UNION ALL SELECT '05_perbedaan_nilai', srow, arow, fields FROM m WHERE fields <> ''"""
+
+
 def compare_shared(spark, sf_dir):
     """Rows of the first report whose key and occurrence the second one has, kept as they are."""
     source, actual = _sides(spark, sf_dir)
@@ -337,9 +412,12 @@ QUERIES = {
     "format_classify": (format_classify, FORMAT_CLASSIFY),
     "digest": (digest, "SELECT page_id, substr(sha256(html), 1, 16) AS digest FROM pages"),
     "html_tables": (html_tables, HTML_TABLES),
+    "html_reports": (html_reports, HTML_REPORTS),
+    "csv_folder": (csv_folder, CSV_FOLDER),
     "csv_round_trip": (csv_round_trip, "SELECT p_partkey, p_name, p_brand, 'NA' AS p_note FROM part"),
     "uploaded_table": (uploaded_table, "SELECT p_partkey, p_name, p_type, 'Delimited text · utf-8' AS label FROM part"),
     "comparison_sink": (comparison_sink, COMPARISON_SINK),
+    "comparison_rows": (comparison_rows, COMPARISON_ROWS),
     "compare_shared": (compare_shared, COMPARE_SHARED),
     "row_ordinals": (row_ordinals, ROW_ORDINALS),
 }
