@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ledgerline.functions.text import WHITESPACE
 from ledgerline.plans.mapping import make_unique_columns
+from ledgerline.plans.staging import stage
 
 RAW = r"<(?:script|style)\b[^>]*+>(?s:.*?)(?=</(?:script|style))"  # their content is text, whatever it holds
 TOKEN = rf"(?i)(<!--(?s:.*?)-->|{RAW}|</?[a-z][^>\"']*+(?:\"[^\"]*+\"[^>\"']*+|'[^']*+'[^>\"']*+)*+>|<[!?][^>]*+>|[^<]++|<)"
@@ -140,10 +141,11 @@ def read_html_report(files: DataFrame) -> DataFrame:
     """Data rows of HTML reports with ``path`` and ``row_no``; the columns are the union of
     all files' headers, NULL where a file lacks one.
 
+    The files are taken apart once and the rows kept (:func:`ledgerline.plans.staging.stage`).
     Plan time reads the distinct header rows, and the names of a few files that have no
     headed table if there are any: those raise, as nothing could be said about their rows.
     """
-    rows = html_rows(files)
+    rows = stage(html_rows(files), "html-rows")
     tables = data_tables(rows)
     layouts = tables.groupBy("headers").agg(F.min("path").alias("first")).orderBy("first").collect()
     bare = files.select("path").join(tables.select("path"), "path", "left_anti").limit(5).collect()
