@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Collection
 from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
@@ -72,12 +72,11 @@ def settings_table(result: Reconciliation) -> DataFrame:
         for i, (name, value) in enumerate(lines, 1)], written)
 
 
-def report_tables(result: Reconciliation) -> dict[str, DataFrame]:
-    """The nine report datasets with their column lists, unsorted."""
-    tables = result.tables()
+def report_tables(result: Reconciliation, sheets: Collection[str] | None = None) -> dict[str, DataFrame]:
+    """The nine report datasets, or those named, with their column lists, unsorted."""
     return {
-        sheet: select_with_backfill(tables[name], SHEET_COLUMNS.get(name))
-        for sheet, name in REPORT_SHEETS
+        sheet: select_with_backfill(getattr(result, name), SHEET_COLUMNS.get(name))
+        for sheet, name in REPORT_SHEETS if sheets is None or sheet in sheets
     }
 
 
@@ -91,13 +90,15 @@ def _in_report_order(sheet: str, df: DataFrame) -> DataFrame:
     return df.orderBy("DATE OF FLIGHT", "FLIGHT NUMBER", "D/A/L/O")
 
 
-def write_report(result: Reconciliation, folder: str, file_format: str = "parquet") -> list[str]:
-    """Write the nine datasets in report order below ``folder``, and the settings beside them;
-    returns the paths of the nine."""
+def write_report(
+    result: Reconciliation, folder: str, file_format: str = "parquet", sheets: Collection[str] | None = None
+) -> list[str]:
+    """Write the nine datasets, or those named, in report order below ``folder``, and the
+    settings beside them; returns the paths of the datasets."""
     paths = []
     settings = settings_table(result).coalesce(1).sortWithinPartitions("LINE")  # three rows
     WRITERS[file_format](settings, f"{folder.rstrip('/')}/Settings")
-    for sheet, df in report_tables(result).items():
+    for sheet, df in report_tables(result, sheets).items():
         path = f"{folder.rstrip('/')}/{sheet}"
         ordered = _in_report_order(sheet, df)
         WRITERS[file_format](typed_dates(ordered) if file_format == "parquet" else ordered, path)

@@ -610,7 +610,7 @@ REPORT_ROWS_OF = ("Matched", "Need Review", "Extra in Stream", "Duplicate DAT")
 def report_rows(spark, sf_dir):
     """Rows of the written report: which record stands at which place of its day."""
     folder = scratch(spark, "report")
-    paths = {path.rsplit("/", 1)[1]: path for path in write_report(reconciled(spark, sf_dir), folder)}
+    paths = {path.rsplit("/", 1)[1]: path for path in write_report(reconciled(spark, sf_dir), folder, sheets=REPORT_ROWS_OF)}
     within = Window.partitionBy("dof").orderBy("file", "at")
     parts = [
         _placed_rows(spark, paths[name]).select(
