@@ -39,7 +39,7 @@ def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    best = licenses.license_matches(docs).groupBy("doc_id", "place").agg(
+    best = licenses.license_notices(docs).groupBy("doc_id", "place", "start").agg(
         F.max("dice").alias("dice"), F.max_by("license", F.struct("dice", "license")).alias("license"))
     per_doc = best.groupBy(F.col("doc_id").alias("_id")).agg(
         F.count(F.lit(1)).alias("n_matches"), F.max("dice").alias("best_dice"),

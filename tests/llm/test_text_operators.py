@@ -82,6 +82,25 @@ def test_license_bigrams_count_as_often_as_both_have_them(spark):
     assert got.dice == pytest.approx(2 * 3 / (5 + 3))
 
 
+MIT = licenses.TEMPLATES[5][1]
+
+
+def test_license_notices_over_and_inside_lines(spark):
+    words_of = MIT.split(" ")
+    wrapped = "\n".join(" ".join(words_of[i:i + 11]) for i in range(0, len(words_of), 11))
+    rest = "\n".join(f"warranty clause number {i} goes on for some more words here" for i in range(9))
+    gpl = licenses.TEMPLATES[9][1].split(" ")
+    texts = [f"MIT License\n\nCopyright 2020 X\n\n{wrapped}\n\n{rest}", "Copyright 2020 X. All rights reserved.",
+             f"code\n# {' '.join(gpl[:14])}\n# {' '.join(gpl[14:28])}\n# {' '.join(gpl[28:])}\nimport x\n" + "y = 1 + 2\n" * 40,
+             "This project is licensed under the MIT License. All rights reserved.",
+             "Released under the MIT License.", "all rights, all of them reserved", None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)) + [(None, texts[1]), (1, texts[1])], "doc_id long, text string")
+    old = {(r.doc_id, r.license) for r in licenses.license_matches(docs).collect()}
+    assert old == {(3, "MIT"), (4, "MIT")}
+    got = sorted((str(r.doc_id), r.place, r.start, r.license) for r in licenses.license_notices(docs).where("start IS NOT NULL").collect())
+    assert got == [("0", 4, 5, "MIT"), ("1", 0, 3, "proprietary"), ("2", 1, 1, "GPL"), ("3", 0, 8, "proprietary"), ("None", 0, 3, "proprietary")]
+
+
 def brute_lines(rows, sites, keep_first):
     spread, first = {}, {}
     for doc, text, site in rows:
