@@ -22,8 +22,8 @@ ORACLE_SQL = None
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that the classifier, trained on all labels, scores 0.5 or more. Labels teach on the texts
-    of the documents given."""
+    """Without the documents that the classifier scores 0.5 or more. Labels teach on the texts of the documents given,
+    at most ``toxicity.MAX_ROWS`` of each class."""
     return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 

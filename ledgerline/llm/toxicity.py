@@ -4,9 +4,9 @@ A text's features are which words, stems (a word's first bytes), neighbouring pa
 them it has, hashed to ``2 ** BUCKET_BITS`` coordinates. Every coordinate has its own learning rate, and the L1 term keeps most weights at
 exactly zero, so the model is a short list of coordinates that is broadcast; its size is bounded by the buckets.
 
-Training reads at most ``MAX_ROWS`` labelled rows, those whose ids hash lowest. They are dealt by
+Training reads at most ``MAX_ROWS`` labelled documents of each class, those whose ids hash lowest. They are dealt by
 hash to tasks of about ``SHARD_ROWS``; each runs FTRL over its rows from the common state, and the states are averaged
-after every round.
+after every round. Where the bound cuts one class more than the other, scores follow the odds of the rows taught.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from ledgerline.llm.common import staged
 
 BUCKET_BITS = 18
-MAX_ROWS, SHARD_ROWS, ROUNDS = 8_000, 4_000, 4
+MAX_ROWS, SHARD_ROWS, ROUNDS = 24_000, 4_000, 4
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 8.0, 1.0
 STEMS, PIECE = (4, 5, 6), 1 << 20
 _WORD_BYTES = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
@@ -116,7 +116,7 @@ def _shard_pass(state: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shards: dict[int, list[tuple]] = {}
-        for batch in batches:  # doc_id, label, x, shard; all shards together hold at most MAX_ROWS rows
+        for batch in batches:  # doc_id, label, x, shard; all shards together hold at most MAX_ROWS rows a class
             x = batch.column(2)
             ends, flat = x.offsets.to_numpy(), x.values.to_numpy()
             for k, (doc_id, label, shard) in enumerate(zip(*(batch.column(i).to_pylist() for i in (0, 1, 3)), strict=True)):
@@ -132,10 +132,14 @@ def _shard_pass(state: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterat
 
 
 def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, text, label: the labelled rows with the ``MAX_ROWS`` lowest hashes of their ids."""
+    """doc_id, text, label: of the labels whose documents are there, for each class those with the ``MAX_ROWS`` lowest
+    hashes of their ids."""
     marked = labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(
-        F.max(F.col("toxic").cast("int")).alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_ROWS)
-    return docs.select("doc_id", "text").join(F.broadcast(marked), "doc_id")  # at most MAX_ROWS short rows
+        F.max(F.col("toxic").cast("int")).alias("label"))
+    known = staged(marked.join(docs.select("doc_id").distinct(), "doc_id", "left_semi"))
+    clean, toxic = (known.where(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_ROWS) for k in (0, 1))
+    short = F.broadcast(clean.unionAll(toxic))  # at most MAX_ROWS short rows a class
+    return docs.select("doc_id", "text").join(short, "doc_id")
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:

@@ -209,6 +209,16 @@ def classified(spark, n):
     return docs, spark.createDataFrame(marks[: n // 2] + odd, "doc_id long, quality int, toxic int"), marks
 
 
+def test_toxicity_bounds_each_class_of_the_documents_there(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "MAX_ROWS", 50)
+    docs = spark.createDataFrame([(i, f"a{i} " + ("vile" if i % 100 == 7 else "fine")) for i in range(4000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 100 == 7)) for i in range(12_000)], "doc_id long, toxic int")
+    got = toxicity.training_rows(docs, labels).collect()
+    assert sum(r.label for r in got) == 40 and len(got) == 90
+    scored = toxicity.toxicity(docs, labels).where("predicted <> CAST(text LIKE '%vile' AS INT)")
+    assert scored.count() == 0
+
+
 def test_toxicity_learns_and_keeps_rows(spark):
     docs, labels, marks = classified(spark, 500)
     got = toxicity.toxicity(docs, labels)
