@@ -46,10 +46,13 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, lang, ids, n_tokens, and whether decoding and encoding again gives the same ids."""
+    """doc_id, lang, source, ids, n_tokens, the digest of the decoded text, and whether encoding that text gives the same ids."""
     path = vocabulary_path()
     encoded = bpe.encode(docs.select("doc_id", "lang", "source", "text"), path, drop_text=True)
-    return encoded.select("doc_id", "lang", "source", "ids", F.size("ids").alias("n_tokens"))
+    decoded = bpe.decode(encoded, path).withColumn("decoded_sha256", F.sha2(F.col("decoded").cast("binary"), 256))
+    again = bpe.encode(decoded, path, "decoded", "again", drop_text=True)
+    return again.select("doc_id", "lang", "source", "ids", F.size("ids").alias("n_tokens"), "decoded_sha256",
+                        (F.col("ids") == F.col("again")).alias("same_ids"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -130,6 +130,16 @@ def test_pipeline_matches_brute_force(spark, folder, library):
     assert all(r.n_tokens == len(r.ids) for r in rows)
 
 
+def test_encoding_stage_decodes_and_encodes_again(spark, folder, library):
+    texts = ["word1 Word2, 3.14!", "a b c", "", None, "e\u0301t\u00e9 \u4f60\u597d", "un" * 60]
+    docs = spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
+    for r in corpus_pipeline.encode(spark, docs, folder).collect():
+        ids = library.encode(texts[r.doc_id] or "", add_special_tokens=False).ids
+        text = library.decode(ids, skip_special_tokens=False)
+        assert (list(r.ids), r.decoded_sha256) == (ids, sha(text))
+        assert r.same_ids == (library.encode(text, add_special_tokens=False).ids == ids)
+
+
 def test_stages_keep_the_columns_of_documents(spark, folder):
     docs = table(spark, folder, "documents").limit(40)
     for name, stage in corpus_pipeline.STAGES[:-1]:
