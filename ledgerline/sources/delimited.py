@@ -59,6 +59,31 @@ def delimiter_of(sample: str) -> str:
     return ";" if len(first) < 2 and ";" in sample else found
 
 
+def not_utf8(spark: SparkSession, heads: dict[str, bytes]) -> set[str]:
+    """The files longer than their heads with bytes that are not UTF-8, by a pass over all their lines."""
+    places = _long_files(spark, heads)
+    if not places:
+        return set()
+    lines = spark.read.text(list(places.values())).select(
+        F.col("_metadata.file_path").alias("_path"), F.is_valid_utf8("value").alias("_valid"))
+    marks = {r["_path"]: r["_valid"] for r in lines.groupBy("_path").agg(F.min("_valid").alias("_valid")).collect()}
+    return {path for place, path in places.items() if not marks[place]}
+
+
+def _long_files(spark: SparkSession, heads: dict[str, bytes]) -> dict[str, str]:
+    """Files that their heads do not hold whole, by the path that scans tell."""
+    return {spark._jvm.org.apache.hadoop.fs.Path(p).toUri().toString(): p for p, head in heads.items() if len(head) == HEAD_BYTES}
+
+
+def _encodings(spark: SparkSession, heads: dict[str, bytes], encoding: str | None) -> dict[str, str | None]:
+    """The encoding of each file: the one given, or Windows-1252 where any of its bytes are not UTF-8."""
+    if encoding:
+        return dict.fromkeys(heads, encoding)
+    found = {p: _decoded(head, None)[1] for p, head in heads.items()}
+    late = not_utf8(spark, {p: head for p, head in heads.items() if found[p] == UTF8})
+    return {p: WINDOWS if p in late else name for p, name in found.items()}
+
+
 def layout_of(head: bytes, sep: str | None = None, encoding: str | None = None) -> Layout:
     """Encoding, delimiter and column names by the first bytes of a file."""
     text, encoding = _decoded(head, encoding)
@@ -107,16 +132,24 @@ def read_source_csv(
 ) -> DataFrame:
     """Scan delimited files, all cells as text, no NULL inference.
 
-    Delimiter and encoding (UTF-8, else Windows-1252) are found by the head of each file
-    unless given. Files with other headers or another order of columns keep their values
+    Unless given, the delimiter is found by the head of each file and the encoding (UTF-8, else Windows-1252) by all
+    its bytes. Files with other headers or another order of columns keep their values
     under their own names; the result has the union of all columns, NULL where a file lacks
     one. Files are split over tasks unless ``multi_line`` asks for line breaks inside
     quotes. ``row_numbers`` names the ordinal (first data line is 2, counting on over the
     files or ``per_file``); ``__file`` tells the file.
     """
+    heads = file_heads(spark, _paths(spark, path))
+    return _read_files(spark, path, heads, _encodings(spark, heads, encoding), sep, multi_line, row_numbers, per_file)
+
+
+def _read_files(
+    spark: SparkSession, path: str, heads: dict[str, bytes], encodings: dict[str, str | None], sep: str | None = None,
+    multi_line: bool = False, row_numbers: str | None = "__row", per_file: bool = False,
+) -> DataFrame:
     groups: dict[Layout, list[str]] = {}
-    for name, head in file_heads(spark, _paths(spark, path)).items():
-        groups.setdefault(layout_of(head, sep, encoding), []).append(name)
+    for name, head in heads.items():
+        groups.setdefault(layout_of(head, sep, encodings[name]), []).append(name)
     groups = {layout: paths for layout, paths in groups.items() if layout.names}
     if not groups:
         raise ValueError(f"{path}: CSV tidak dapat dibaca.")
@@ -159,8 +192,9 @@ def read_uploaded_table(
         labels += sorted({f"{r['label']} · Tabel Data" for r in found if r["reader"] == "html"})
     if delimited:
         heads = file_heads(spark, sorted(delimited))
-        labels = sorted({f"Delimited text · {_encoding_name(h, encoding)}" for h in heads.values()}) + labels
-        parts.append(read_source_csv(spark, sorted(delimited), sep, encoding))
+        encodings = _encodings(spark, heads, encoding)
+        labels = sorted({f"Delimited text · {_encoding_name(h, encodings[p])}" for p, h in heads.items()}) + labels
+        parts.append(_read_files(spark, path, heads, encodings, sep))
     if reports:
         table = read_html_report(spark.read.format("binaryFile").load(reports))
         parts.append(table.withColumnsRenamed({"path": "__file", "row_no": "__row"}) if delimited else table)

@@ -127,3 +127,16 @@ def test_row_numbers_do_not_exchange_the_rows(spark, tmp_path):
     finally:
         for k, v in kept.items():
             spark.conf.set(k, v)
+
+
+def test_encoding_follows_bytes_far_behind_the_head(spark, tmp_path):
+    rows = [f"{i},Flight remark number {i}" for i in range(4000)]
+    (tmp_path / "late one+1.csv").write_bytes("\n".join(["ID,REMARK", *rows, "4000,Caf\u00e9 \u20ac"]).encode("cp1252"))
+    (tmp_path / "utf.csv").write_bytes("\n".join(["ID,REMARK", *rows, "4001,Caf\u00e9 \u20ac"]).encode())
+    want = [("4000", "Caf\u00e9 \u20ac"), ("4001", "Caf\u00e9 \u20ac")]
+    df = read_source_csv(spark, str(tmp_path))
+    assert df.count() == 8002
+    assert [tuple(r) for r in df.where("ID >= 4000").select("ID", "REMARK").orderBy("ID").collect()] == want
+    df, label = read_uploaded_table(spark, str(tmp_path))
+    assert label == "Delimited text \u00b7 cp1252 + Delimited text \u00b7 utf-8"
+    assert [tuple(r) for r in df.where("ID >= 4000").select("ID", "REMARK").orderBy("ID").collect()] == want
