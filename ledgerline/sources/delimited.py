@@ -59,29 +59,27 @@ def delimiter_of(sample: str) -> str:
     return ";" if len(first) < 2 and ";" in sample else found
 
 
-def not_utf8(spark: SparkSession, heads: dict[str, bytes]) -> set[str]:
-    """The files longer than their heads with bytes that are not UTF-8, by a pass over all their lines."""
-    places = _long_files(spark, heads)
-    if not places:
-        return set()
-    lines = spark.read.text(list(places.values())).select(
-        F.col("_metadata.file_path").alias("_path"), F.is_valid_utf8("value").alias("_valid"))
-    marks = {r["_path"]: r["_valid"] for r in lines.groupBy("_path").agg(F.min("_valid").alias("_valid")).collect()}
-    return {path for place, path in places.items() if not marks[place]}
-
-
-def _long_files(spark: SparkSession, heads: dict[str, bytes]) -> dict[str, str]:
-    """Files that their heads do not hold whole, by the path that scans tell."""
-    return {spark._jvm.org.apache.hadoop.fs.Path(p).toUri().toString(): p for p, head in heads.items() if len(head) == HEAD_BYTES}
+def file_marks(spark: SparkSession, heads: dict[str, bytes]) -> dict[str, tuple[bool, bool]]:
+    """For each file, by all its bytes, whether they are UTF-8 and whether some line has an odd number of quotes, as
+    where a quoted cell goes on over a line break. Files longer than their heads are read by lines in a distributed pass."""
+    out, places = {}, {}
+    for path, head in heads.items():
+        out[path] = _decoded(head, None)[1] == UTF8, any(line.count(b'"') % 2 for line in head.splitlines())
+        if len(head) == HEAD_BYTES:
+            places[spark._jvm.org.apache.hadoop.fs.Path(path).toUri().toString()] = path  # as scans tell it
+    if places:
+        line = F.col("value")
+        quotes = F.octet_length(line) - F.octet_length(F.replace(line, F.lit('"'), F.lit("")))
+        lines = spark.read.text(list(places.values())).select(
+            F.col("_metadata.file_path").alias("_path"), F.is_valid_utf8(line).alias("_valid"), (quotes % 2 == 1).alias("_odd"))
+        for r in lines.groupBy("_path").agg(F.min("_valid").alias("_valid"), F.max("_odd").alias("_odd")).collect():
+            out[places[r["_path"]]] = r["_valid"], r["_odd"]
+    return out
 
 
-def _encodings(spark: SparkSession, heads: dict[str, bytes], encoding: str | None) -> dict[str, str | None]:
+def _encodings(marks: dict[str, tuple[bool, bool]], encoding: str | None) -> dict[str, str]:
     """The encoding of each file: the one given, or Windows-1252 where any of its bytes are not UTF-8."""
-    if encoding:
-        return dict.fromkeys(heads, encoding)
-    found = {p: _decoded(head, None)[1] for p, head in heads.items()}
-    late = not_utf8(spark, {p: head for p, head in heads.items() if found[p] == UTF8})
-    return {p: WINDOWS if p in late else name for p, name in found.items()}
+    return {path: encoding or (UTF8 if valid else WINDOWS) for path, (valid, _) in marks.items()}
 
 
 def layout_of(head: bytes, sep: str | None = None, encoding: str | None = None) -> Layout:
@@ -140,22 +138,23 @@ def read_source_csv(
     files or ``per_file``); ``__file`` tells the file.
     """
     heads = file_heads(spark, _paths(spark, path))
-    return _read_files(spark, path, heads, _encodings(spark, heads, encoding), sep, multi_line, row_numbers, per_file)
+    encodings = dict.fromkeys(heads, encoding) if encoding else _encodings(file_marks(spark, heads), None)
+    return _read_files(spark, path, heads, encodings, dict.fromkeys(heads, multi_line), sep, row_numbers, per_file)
 
 
 def _read_files(
-    spark: SparkSession, path: str, heads: dict[str, bytes], encodings: dict[str, str | None], sep: str | None = None,
-    multi_line: bool = False, row_numbers: str | None = "__row", per_file: bool = False,
+    spark: SparkSession, path: str, heads: dict[str, bytes], encodings: dict[str, str], multi_line: dict[str, bool],
+    sep: str | None = None, row_numbers: str | None = "__row", per_file: bool = False,
 ) -> DataFrame:
-    groups: dict[Layout, list[str]] = {}
+    groups: dict[tuple[Layout, bool], list[str]] = {}
     for name, head in heads.items():
-        groups.setdefault(layout_of(head, sep, encodings[name]), []).append(name)
-    groups = {layout: paths for layout, paths in groups.items() if layout.names}
+        groups.setdefault((layout_of(head, sep, encodings[name]), multi_line[name]), []).append(name)
+    groups = {kind: paths for kind, paths in groups.items() if kind[0].names}
     if not groups:
         raise ValueError(f"{path}: CSV tidak dapat dibaca.")
-    scans = [_scan(spark, paths, layout, multi_line) for layout, paths in groups.items()]
+    scans = [_scan(spark, paths, *kind) for kind, paths in groups.items()]
     pieces = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), scans)
-    names = list(dict.fromkeys(n for layout in groups for n in layout.names))
+    names = list(dict.fromkeys(n for layout, _ in groups for n in layout.names))
     if not row_numbers:
         return pieces.select(*[field(n) for n in names])
     return numbered_pieces(pieces, row_numbers, per_file=per_file).select(
@@ -167,12 +166,13 @@ def _suffix(path: str) -> str:
 
 
 def read_uploaded_table(
-    spark: SparkSession, path: str, sep: str | None = None, encoding: str | None = None
+    spark: SparkSession, path: str, sep: str | None = None, encoding: str | None = None, multi_line: bool | None = None
 ) -> tuple[DataFrame, str]:
     """Scan a landing folder, every file by its suffix or else its signature.
 
     The second result names the formats found. Only files whose suffix does not settle the
-    reader have their content looked at. Delimited files and HTML reports may lie together:
+    reader have their content looked at. Delimited files are read with line breaks inside quotes where they
+    hold such, or as ``multi_line`` says; only those are not split over tasks. Delimited files and HTML reports may lie together:
     their rows are aligned by column name, ``__file`` and ``__row`` tell the place.
     Workbooks are not decoded here: convert them to CSV or Parquet upstream.
     """
@@ -192,9 +192,11 @@ def read_uploaded_table(
         labels += sorted({f"{r['label']} · Tabel Data" for r in found if r["reader"] == "html"})
     if delimited:
         heads = file_heads(spark, sorted(delimited))
-        encodings = _encodings(spark, heads, encoding)
+        marks = file_marks(spark, heads)
+        encodings = _encodings(marks, encoding)
+        multi = {p: odd if multi_line is None else multi_line for p, (_, odd) in marks.items()}
         labels = sorted({f"Delimited text · {_encoding_name(h, encodings[p])}" for p, h in heads.items()}) + labels
-        parts.append(_read_files(spark, path, heads, encodings, sep))
+        parts.append(_read_files(spark, path, heads, encodings, multi, sep))
     if reports:
         table = read_html_report(spark.read.format("binaryFile").load(reports))
         parts.append(table.withColumnsRenamed({"path": "__file", "row_no": "__row"}) if delimited else table)

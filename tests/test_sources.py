@@ -140,3 +140,15 @@ def test_encoding_follows_bytes_far_behind_the_head(spark, tmp_path):
     df, label = read_uploaded_table(spark, str(tmp_path))
     assert label == "Delimited text \u00b7 cp1252 + Delimited text \u00b7 utf-8"
     assert [tuple(r) for r in df.where("ID >= 4000").select("ID", "REMARK").orderBy("ID").collect()] == want
+
+
+def test_uploaded_cells_keep_their_line_breaks(spark, tmp_path):
+    rows = [f"{i},Flight remark number {i}" for i in range(4000)]
+    (tmp_path / "late.csv").write_text("\n".join(["ID,REMARK", *rows, '4000,"held at gate, ""late""\nthen\n\nleft"', "4001,after"]))
+    (tmp_path / "plain.csv").write_text('ID,REMARK\n5000,"a ""b"" c"\n5001,last\n')
+    (tmp_path / "short.csv").write_text('ID,REMARK\n6000,"one\ntwo"\n6001,end\n')
+    df, _ = read_uploaded_table(spark, str(tmp_path))
+    got = [tuple(r) for r in df.where("ID >= 4000 OR ID IS NULL OR ID = ''").select("ID", "REMARK", "__row").orderBy("__row").collect()]
+    assert got == [("4000", 'held at gate, "late"\nthen\n\nleft', 4002), ("4001", "after", 4003), ("5000", 'a "b" c', 4004),
+                   ("5001", "last", 4005), ("6000", "one\ntwo", 4006), ("6001", "end", 4007)]
+    assert df.count() == 4006
