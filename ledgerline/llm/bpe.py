@@ -7,6 +7,7 @@ is encoded alone, and the ids are concatenated. Fragments repeat, so a worker ke
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import json
 import unicodedata
@@ -225,6 +226,13 @@ def _added(batch: pa.RecordBatch, name: str, values: pa.Array) -> pa.RecordBatch
     return pa.RecordBatch.from_arrays([*batch.columns, values], [*batch.schema.names, name])
 
 
+def _joined(tokens: pa.Array, ids: pa.ListArray) -> pa.Array:
+    """The texts that lists of ids decode to."""
+    ends = pa.array(np.cumsum([0, *pc.fill_null(pc.list_value_length(ids), 0).to_pylist()]), pa.int32())
+    own = pa.ListArray.from_arrays(ends, pc.take(tokens, ids.flatten()))
+    return pc.binary_join(own, pa.scalar(" ", pa.large_string())).cast(pa.string())
+
+
 def encode(df: DataFrame, vocabulary: str, text_col: str = "text", ids_col: str = "ids", drop_text: bool = False) -> DataFrame:
     """``df`` with the ids of every whole text as ``array<int>``.
 
@@ -264,10 +272,30 @@ def decode(df: DataFrame, vocabulary: str, ids_col: str = "ids", out_col: str =
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
-                ids = pc.fill_null(pc.list_value_length(part.column(at)), 0)
-                offsets = pa.array(np.cumsum([0, *ids.to_pylist()]), pa.int32())
-                own = pa.ListArray.from_arrays(offsets, pc.take(tokens, part.column(at).flatten()))
-                text = pc.binary_join(own, pa.scalar(" ", pa.large_string())).cast(pa.string())
-                yield _added(part, out_col, text)
+                yield _added(part, out_col, _joined(tokens, part.column(at)))
 
     return df.select(*[df[n] for n in names]).mapInArrow(run, T.StructType([*kept, T.StructField(out_col, T.StringType())]))
+
+
+def decode_again(df: DataFrame, vocabulary: str, ids_col: str = "ids") -> DataFrame:
+    """``df`` with ``decoded_sha256`` of the text that :func:`decode` makes of ``ids_col`` and ``same_ids``, whether
+    encoding that text gives the same ids. Only one worker a task holds the vocabulary, and decoded texts do not
+    leave it. Columns of these names are replaced."""
+    kept = [f for f in df.schema.fields if f.name not in ("decoded_sha256", "same_ids")]
+    names = [f.name for f in kept]
+    at = names.index(ids_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = codec(vocabulary)
+        tokens = pa.array(own.tokens, pa.large_string())
+        for batch in batches:
+            for start in range(0, batch.num_rows, 64):
+                part = batch.slice(start, 64)
+                texts = _joined(tokens, part.column(at)).to_pylist()
+                digests = [hashlib.sha256(t.encode()).hexdigest() for t in texts]
+                same = [array("i", ids or []).tobytes() == again
+                        for ids, again in zip(part.column(at).to_pylist(), own.encode(texts), strict=True)]
+                yield _added(_added(part, "decoded_sha256", pa.array(digests, pa.string())), "same_ids", pa.array(same, pa.bool_()))
+
+    more = [T.StructField("decoded_sha256", T.StringType()), T.StructField("same_ids", T.BooleanType())]
+    return df.select(*[df[n] for n in names]).mapInArrow(run, T.StructType([*kept, *more]))
