@@ -10,7 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import bpe, chat, decontaminate, licenses, linededup, quality, sharding, simhash, topk, toxicity
+from ledgerline.llm import (
+    bpe, chat, decontaminate, filteraudit, licenses, linededup, merkle, quality, sharding, simhash, topk, toxicity)
 from ledgerline.llm.common import table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -108,6 +109,14 @@ def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         _sha(F.coalesce("text", F.lit(""))).alias("text_sha256"))
 
 
+def filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filteraudit.interaction_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def merkle_proofs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.proofs(table(spark, sf_dir, "documents"), _fold(F.col("doc_id"), 7) == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": decontamination,
     "op2_license_scan": license_scan,
@@ -119,4 +128,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_preferences": preferences,
     "op9_quality": quality_scores,
     "op10_line_dedup": line_dedup,
+    "op11_filter_audit": filter_audit,
+    "op12_merkle_manifest": merkle_proofs,
 }

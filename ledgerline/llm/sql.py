@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerline.llm import chat, licenses, linededup, sharding
+from ledgerline.llm import chat, filteraudit, licenses, linededup, sharding
 from ledgerline.llm.common import LOWER, UPPER
 
 _WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -158,6 +158,97 @@ SELECT doc_id, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept.text, '
 FROM documents LEFT JOIN kept USING (doc_id)
 """
 
+_LETTERS = ", ".join(f"('{letter}', {1 << i})" for i, letter in enumerate(filteraudit.LETTERS))
+
+FILTER_AUDIT = f"""
+WITH RECURSIVE letters(letter, bit) AS (VALUES {_LETTERS}),
+marks AS (
+  SELECT doc_id AS id, max(quality = 1) AS good, max(toxic = 1) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+docs AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text,
+         regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w,
+         min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first
+  FROM documents),
+masks AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+         CASE WHEN len(w) < {filteraudit.MIN_WORDS} THEN 1 ELSE 0 END
+         + CASE WHEN 100 * len(list_distinct(w)) < {filteraudit.MIN_DISTINCT_PERCENT} * len(w) THEN 2 ELSE 0 END
+         + CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > {filteraudit.MAX_UPPER_PERCENT} * length(text) THEN 4 ELSE 0 END
+         + CASE WHEN regexp_matches(text, '{filteraudit.SYMBOLS}') THEN 8 ELSE 0 END
+         + CASE WHEN doc_id > first THEN 16 ELSE 0 END AS mask
+  FROM docs LEFT JOIN marks ON doc_id = id),
+orders(filter_order, applied) AS (
+  SELECT '', 0 UNION ALL
+  SELECT filter_order || letter, applied | bit FROM orders JOIN letters ON applied & bit = 0),
+steps AS (
+  SELECT filter_order, CAST(step AS INTEGER) AS step, bit,
+         list_sum([1 << instr('{filteraudit.LETTERS}', substr(filter_order, k, 1)) - 1 FOR k IN range(1, step)]) AS before
+  FROM (SELECT filter_order, unnest(range(1, 6)) AS step FROM orders WHERE length(filter_order) = 5)
+  JOIN letters ON letter = substr(filter_order, CAST(step AS INTEGER), 1)),
+figures AS (
+  SELECT part, filter_order, step, bit,
+         count(*) FILTER (WHERE mask & (coalesce(before, 0) | bit) = 0) AS kept,
+         count(*) FILTER (WHERE mask & coalesce(before, 0) = 0 AND mask & bit <> 0) AS removed,
+         count(*) FILTER (WHERE mask & coalesce(before, 0) <> 0 AND mask & bit <> 0) AS redundant,
+         count(*) FILTER (WHERE mask = bit) AS unique_fails,
+         count(*) FILTER (WHERE mask & coalesce(before, 0) = 0 AND mask & bit <> 0 AND good) AS good_lost,
+         count(*) FILTER (WHERE mask & coalesce(before, 0) = 0 AND mask & bit <> 0 AND toxic) AS toxic_lost
+  FROM masks CROSS JOIN steps GROUP BY ALL)
+SELECT part, filter_order, step, {', '.join(filteraudit.FIGURES)},
+       CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley
+FROM figures
+"""
+
+# Bytes of the decimal id go through a table of 256 remainders, each made by eight divisions.
+MERKLE_MANIFEST = """
+WITH RECURSIVE divided(i, turn, c) AS (
+  SELECT i, 0, i FROM range(256) AS t(i) UNION ALL
+  SELECT i, turn + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM divided WHERE turn < 8),
+remainders AS (SELECT list(c ORDER BY i) AS r FROM divided WHERE turn = 8),
+hashed AS (
+  SELECT *, xor(list_reduce([ascii(x) FOR x IN string_split(CAST(doc_id AS VARCHAR), '')],
+                            lambda c, b: xor(r[(xor(c, b) & 255) + 1], c >> 8), 4294967295), 4294967295) % 7 = 0 AS odd
+  FROM documents CROSS JOIN remainders),
+parts AS (
+  SELECT *, coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+         || coalesce(strlen(lang) || ':' || lang, '-') AS head, coalesce(strlen(text) || ':' || text, '-') AS tail
+  FROM hashed),
+leaves AS (
+  SELECT doc_id, lang, sha256(head || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') || tail) AS leaf,
+         CASE WHEN odd THEN sha256(head || strlen(CAST(n_chars + 1 AS VARCHAR)) || ':' || (n_chars + 1) || tail) END AS other
+  FROM parts),
+placed AS (
+  SELECT *, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS part,
+         row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS total
+  FROM leaves),
+nodes(depth, part, pos, total, node) AS (
+  SELECT 0, part, pos, total, leaf FROM placed UNION ALL
+  SELECT depth + 1, part, pos // 2, (total + 1) // 2, sha256(string_agg(node, '' ORDER BY pos))
+  FROM nodes WHERE total > 1 GROUP BY depth, part, pos // 2, total),
+subroots AS (SELECT part, node AS subroot FROM nodes WHERE total = 1),
+upper(depth, pos, total, node) AS (
+  SELECT 0, part, (SELECT count(*) FROM subroots), subroot FROM subroots UNION ALL
+  SELECT depth + 1, pos // 2, (total + 1) // 2, sha256(string_agg(node, '' ORDER BY pos)) FROM upper WHERE total > 1 GROUP BY depth, pos // 2, total),
+steps AS (
+  SELECT p.part, p.pos, n.depth, n.pos > p.pos >> n.depth AS after, n.node
+  FROM placed AS p JOIN nodes AS n ON n.part = p.part AND n.pos = xor(p.pos >> n.depth, 1)
+  UNION ALL
+  SELECT p.part, p.pos, 100 + u.depth, u.pos > p.part >> u.depth, u.node
+  FROM placed AS p JOIN upper AS u ON u.pos = xor(p.part >> u.depth, 1)),
+proofs AS (SELECT part, pos, string_agg(node, '' ORDER BY depth) AS proof FROM steps GROUP BY part, pos),
+heights AS (SELECT part, max(depth) AS h FROM nodes GROUP BY part),
+ways AS (
+  SELECT w.part, w.pos, list(coalesce(CASE WHEN after THEN '>' ELSE '<' END || node, '=') ORDER BY d) AS way
+  FROM (SELECT part, pos, unnest(range(h) || [100 + x FOR x IN range((SELECT max(depth) FROM upper))]) AS d FROM placed JOIN heights USING (part)) AS w
+  LEFT JOIN steps AS s ON s.part = w.part AND s.pos = w.pos AND s.depth = d GROUP BY ALL),
+folded AS (
+  SELECT part, pos, list_reduce(way, lambda c, s: sha256(CASE s[1] WHEN '>' THEN c || s[2:] WHEN '<' THEN s[2:] || c ELSE c END), coalesce(other, leaf)) AS folded_root
+  FROM placed LEFT JOIN ways USING (part, pos))
+SELECT doc_id, leaf, subroot, root, sha256(coalesce(proof, '')) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM placed JOIN subroots USING (part) JOIN folded USING (part, pos) LEFT JOIN proofs USING (part, pos)
+CROSS JOIN (SELECT node AS root FROM upper WHERE total = 1)
+"""
+
 ORACLES: dict[str, str] = {
     "op1_decontamination": DECONTAMINATION,
     "op2_license_scan": LICENSE_SCAN,
@@ -165,4 +256,6 @@ ORACLES: dict[str, str] = {
     "op7_sharding": SHARDING,
     "op8_preferences": PREFERENCES,
     "op10_line_dedup": LINE_DEDUP,
+    "op11_filter_audit": FILTER_AUDIT,
+    "op12_merkle_manifest": MERKLE_MANIFEST,
 }
