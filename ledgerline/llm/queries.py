@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.llm import (
-    bpe, chat, decontaminate, filteraudit, licenses, linededup, merkle, quality, sharding, simhash, topk, toxicity)
+    bpe, chat, decontaminate, filteraudit, jaccardjoin, licenses, linededup, merkle, quality, sharding, simhash, topk, toxicity)
 from ledgerline.llm.common import table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -117,6 +117,10 @@ def merkle_proofs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.proofs(table(spark, sf_dir, "documents"), _fold(F.col("doc_id"), 7) == 0)
 
 
+def jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccardjoin.near_sets(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": decontamination,
     "op2_license_scan": license_scan,
@@ -130,4 +134,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_line_dedup": line_dedup,
     "op11_filter_audit": filter_audit,
     "op12_merkle_manifest": merkle_proofs,
+    "op13_jaccard_join": jaccard_components,
 }
