@@ -2,7 +2,8 @@
 
 A byte pair that stands inside no token of the vocabulary can never be merged, so between its bytes there is
 certainly a cut. White space, the pattern of the vocabulary's splitter and such pairs cut a text into fragments, each
-is encoded alone, and the ids are concatenated. Fragments repeat, so a worker keeps a bounded table of them.
+is encoded alone, and the ids are concatenated. Fragments repeat, so a worker keeps tables of them, bounded in entries
+and in bytes.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import types as T
 from tokenizers import Regex, Tokenizer
 from tokenizers.pre_tokenizers import Split
 
-KEPT_WORDS, LONG_FRAGMENT = 300_000, 40
+KEPT_WORDS, KEPT_BYTES, ENTRY_BYTES, LONG_FRAGMENT = 300_000, 32 << 20, 200, 40
 #: What Unicode calls white space, and four control characters that only Python takes for it.
 WHITE = "".join(map(chr, [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 SPACE, ODD_SPACE = regex.compile(f"[{WHITE}]+"), regex.compile("[" + "".join(map(chr, range(0x1C, 0x20))) + "]")
@@ -40,6 +41,32 @@ def byte_letters() -> list[str]:
     return [chr(b if b in plain else next(others)) for b in range(256)]
 
 
+def _tokens(spec: dict) -> list[str]:
+    """The token of each id, special ones included."""
+    ids = spec["model"]["vocab"] | {t["content"]: t["id"] for t in spec["added_tokens"]}
+    tokens = [""] * (max(ids.values()) + 1)
+    for token, i in ids.items():
+        tokens[i] = token
+    return tokens
+
+
+class Kept(dict):
+    """Ids by text, to be forgotten as a whole once there are too many entries or bytes."""
+
+    held = 0
+
+    def full(self, more: int = 0) -> bool:
+        return len(self) + more > KEPT_WORDS or self.held > KEPT_BYTES
+
+    def forget(self) -> None:
+        self.clear()
+        self.held = 0
+
+    def learn(self, new: dict[str, bytes]) -> None:
+        self.update(new)
+        self.held += sum(map(len, new)) + sum(map(len, new.values())) + ENTRY_BYTES * len(new)
+
+
 class Codec:
     """Vocabulary, merges and the byte pairs that occur inside tokens, read from one JSON file."""
 
@@ -52,7 +79,6 @@ class Codec:
         self.vocab: dict[str, int] = model["vocab"]
         self.end: str = model["end_of_word_suffix"]
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
-        self.rank = {pair: i for i, pair in enumerate(pairs)}
         left, right = (np.array([self.vocab[p[side]] for p in pairs], np.int64) for side in (0, 1))
         keys = left << 32 | right
         order = np.argsort(keys)  # for looking up the ranks of many pairs at once
@@ -66,10 +92,7 @@ class Codec:
         # Beyond that, versions of Unicode differ between libraries; the file's own normaliser and splitter decide.
         self.normalizer = Tokenizer.from_file(path).normalizer
         self.splitter = Split(Regex(split), "removed", invert=True)
-        size = max([*self.vocab.values(), *self.special.values()]) + 1
-        self.tokens = [""] * size
-        for token, i in [*self.vocab.items(), *self.special.items()]:
-            self.tokens[i] = token
+        self.tokens = _tokens(spec)
         inside = set()
         for token in self.vocab:
             body = token.removesuffix(self.end)
@@ -78,8 +101,7 @@ class Codec:
         self.single, self.single_end = (np.zeros(512, np.int32) for _ in range(2))
         for letter in self.letters:
             self.single[ord(letter)], self.single_end[ord(letter)] = self.vocab[letter], self.vocab[letter + self.end]
-        self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.words, self.pieces = Kept(), Kept()
 
     def fragments(self, letters: str) -> list[str]:
         """``letters`` cut wherever two neighbours stand together inside no token."""
@@ -90,25 +112,33 @@ class Codec:
 
     def merged_by_heap(self, symbols: list[str]) -> list[str]:
         """The merges of lowest rank first, leftmost first among equals; for one long fragment."""
-        n, rank = len(symbols), self.rank
+        ids = [self.vocab[s] for s in symbols]
+        n, none = len(ids), len(self.made)
         after = list(range(1, n + 1))
         before = list(range(-1, n - 1))
-        heap = [(r, i, symbols[i], symbols[i + 1]) for i in range(n - 1) if (r := rank.get((symbols[i], symbols[i + 1]))) is not None]
+        ranks = self._ranks(np.array(ids[:-1], np.int64), np.array(ids[1:], np.int64)).tolist()
+        heap = [(r, i, ids[i], ids[i + 1]) for i, r in enumerate(ranks) if r < none]
         heapq.heapify(heap)
+
+        def meet(i: int, j: int) -> None:
+            key = ids[i] << 32 | ids[j]
+            at = self.keys.searchsorted(key)
+            if self.keys[at] == key:
+                heapq.heappush(heap, (int(self.key_rank[at]), i, ids[i], ids[j]))
+
         while heap:
-            _, i, left, right = heapq.heappop(heap)
+            rank, i, left, right = heapq.heappop(heap)
             j = after[i]
-            if symbols[i] != left or j >= n or symbols[j] != right:
+            if ids[i] != left or j >= n or ids[j] != right:
                 continue
-            symbols[i], symbols[j] = left + right, ""
+            ids[i], ids[j] = int(self.made[rank]), -1
             k = after[i] = after[j]
             if k < n:
                 before[k] = i
-                if (r := rank.get((symbols[i], symbols[k]))) is not None:
-                    heapq.heappush(heap, (r, i, symbols[i], symbols[k]))
-            if (h := before[i]) >= 0 and (r := rank.get((symbols[h], symbols[i]))) is not None:
-                heapq.heappush(heap, (r, h, symbols[h], symbols[i]))
-        return [s for s in symbols if s]
+                meet(i, k)
+            if (h := before[i]) >= 0:
+                meet(h, i)
+        return [self.tokens[x] for x in ids if x >= 0]
 
     def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         keys = left.astype(np.int64) << 32 | right
@@ -179,22 +209,22 @@ class Codec:
         """Ids of each list of words without white space. White space neither joins nor reorders with its neighbours
         under normalisation, so words can be normalised one by one."""
         new = set().union(*texts).difference(self.words)
-        if len(self.words) + len(new) > KEPT_WORDS:
-            self.words.clear()
+        if self.words.full(len(new)):
+            self.words.forget()
             new = set().union(*texts)
         if new:
             split = {word: self._pieces_of(word) for word in new}
             wanted = {p for pieces in split.values() for p in pieces}
-            if len(self.pieces) + len(wanted) > KEPT_WORDS:
-                self.pieces.clear()
-            self.pieces |= self._learn_pieces(wanted.difference(self.pieces))
+            if self.pieces.full(len(wanted)):
+                self.pieces.forget()
+            self.pieces.learn(self._learn_pieces(wanted.difference(self.pieces)))
             known = self.pieces.__getitem__
-            self.words |= {word: b"".join(map(known, pieces)) for word, pieces in split.items()}
+            self.words.learn({word: b"".join(map(known, pieces)) for word, pieces in split.items()})
         known = self.words.__getitem__
         out = [b"".join(map(known, words)) for words in texts]
-        if len(self.words) > KEPT_WORDS:  # one batch alone may hold more
-            self.words.clear()
-            self.pieces.clear()
+        if self.words.full():  # one batch alone may hold more
+            self.words.forget()
+            self.pieces.forget()
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -222,6 +252,19 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
+@lru_cache(maxsize=2)
+def token_texts(path: str) -> pa.Array:
+    """The token of each id; all that decoding needs of a vocabulary."""
+    with open(path, encoding="utf-8") as file:
+        return pa.array(_tokens(json.load(file)), pa.large_string())
+
+
+def _packed_lists(packed: list[bytes]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, packed)], dtype=np.int64) // 4
+    flat = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(packed))])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
+
+
 def _added(batch: pa.RecordBatch, name: str, values: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*batch.columns, values], [*batch.schema.names, name])
 
@@ -250,11 +293,8 @@ def encode(df: DataFrame, vocabulary: str, text_col: str = "text", ids_col: str
             texts = batch.column(batch.num_columns - 1)
             for at in range(0, batch.num_rows, 512):
                 packed = own.encode([x.as_py() or "" for x in texts.slice(at, 512)])
-                ends = np.cumsum([0, *map(len, packed)], dtype=np.int64) // 4
-                flat = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(packed))])
-                ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
                 part = batch.slice(at, 512)
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], ids], [*names, ids_col])
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], _packed_lists(packed)], [*names, ids_col])
 
     fed = df.select(*[df[n] for n in names], df[text_col].alias("_llm_text"))
     return fed.mapInArrow(run, T.StructType([*kept, T.StructField(ids_col, T.ArrayType(T.IntegerType(), False))]))
@@ -268,7 +308,7 @@ def decode(df: DataFrame, vocabulary: str, ids_col: str = "ids", out_col: str =
     at = names.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = pa.array(codec(vocabulary).tokens, pa.large_string())
+        tokens = token_texts(vocabulary)
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
@@ -277,25 +317,27 @@ def decode(df: DataFrame, vocabulary: str, ids_col: str = "ids", out_col: str =
     return df.select(*[df[n] for n in names]).mapInArrow(run, T.StructType([*kept, T.StructField(out_col, T.StringType())]))
 
 
-def decode_again(df: DataFrame, vocabulary: str, ids_col: str = "ids") -> DataFrame:
-    """``df`` with ``decoded_sha256`` of the text that :func:`decode` makes of ``ids_col`` and ``same_ids``, whether
-    encoding that text gives the same ids. Only one worker a task holds the vocabulary, and decoded texts do not
-    leave it. Columns of these names are replaced."""
-    kept = [f for f in df.schema.fields if f.name not in ("decoded_sha256", "same_ids")]
-    names = [f.name for f in kept]
-    at = names.index(ids_col)
+def round_trip(df: DataFrame, vocabulary: str, text_col: str = "text") -> DataFrame:
+    """``df`` without its text but with ``ids``, ``n_tokens``, ``decoded_sha256`` of the text that :func:`decode` makes of
+    them and ``same_ids``, whether encoding that text gives the same ids. One worker a task does all three steps with
+    one vocabulary, and decoded texts do not leave it. Columns of these names are replaced; null texts are empty."""
+    added = [T.StructField("ids", T.ArrayType(T.IntegerType(), False)), T.StructField("n_tokens", T.IntegerType()),
+             T.StructField("decoded_sha256", T.StringType()), T.StructField("same_ids", T.BooleanType())]
+    kept = [f for f in df.schema.fields if f.name not in {text_col, *(f.name for f in added)}]
+    names = [f.name for f in [*kept, *added]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(vocabulary)
-        tokens = pa.array(own.tokens, pa.large_string())
+        own, tokens = codec(vocabulary), token_texts(vocabulary)
         for batch in batches:
-            for start in range(0, batch.num_rows, 64):
-                part = batch.slice(start, 64)
-                texts = _joined(tokens, part.column(at)).to_pylist()
+            for at in range(0, batch.num_rows, 128):
+                part = batch.slice(at, 128)
+                packed = own.encode([x.as_py() or "" for x in part.column(part.num_columns - 1)])
+                ids = _packed_lists(packed)
+                texts = _joined(tokens, ids).to_pylist()
                 digests = [hashlib.sha256(t.encode()).hexdigest() for t in texts]
-                same = [array("i", ids or []).tobytes() == again
-                        for ids, again in zip(part.column(at).to_pylist(), own.encode(texts), strict=True)]
-                yield _added(_added(part, "decoded_sha256", pa.array(digests, pa.string())), "same_ids", pa.array(same, pa.bool_()))
+                same = [a == b for a, b in zip(packed, own.encode(texts), strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns[:-1], ids, pc.list_value_length(ids), pa.array(digests, pa.string()), pa.array(same, pa.bool_())], names)
 
-    more = [T.StructField("decoded_sha256", T.StringType()), T.StructField("same_ids", T.BooleanType())]
-    return df.select(*[df[n] for n in names]).mapInArrow(run, T.StructType([*kept, *more]))
+    fed = df.select(*[df[f.name] for f in kept], df[text_col].alias("_llm_text"))
+    return fed.mapInArrow(run, T.StructType([*kept, *added]))

@@ -43,3 +43,9 @@ def staged(df: DataFrame) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def one_text(rows: DataFrame) -> DataFrame:
+    """doc_id, text, label: of the rows of each id one with the text that hashes lowest; combined before the shuffle."""
+    order = F.struct(F.xxhash64("text"), F.xxhash64(F.lit(1), "text"))
+    return rows.groupBy("doc_id").agg(F.min_by(F.struct("text", "label"), order).alias("_one")).select("doc_id", "_one.text", "_one.label")

@@ -28,6 +28,7 @@ def _sha(text: Column) -> Column:
 
 
 def _fold(doc_id: Column, parts: int) -> Column:
+    """The part of an id; a null id is in none, so comparisons with it need a value for null."""
     return F.crc32(doc_id.cast("string").cast("binary")) % parts
 
 
@@ -67,7 +68,7 @@ def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
     fold = _fold(F.col("doc_id"), 5)
     scored = toxicity.toxicity(docs, labels.where(fold != 0))
-    return scored.select("doc_id", (fold == 0).alias("held_out"), "score", "predicted")
+    return scored.select("doc_id", F.coalesce(fold == 0, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
 def simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,7 +100,7 @@ def quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
     fold = _fold(F.col("doc_id"), 3)
     scored = quality.quality(docs, labels.where(fold != 1))
-    return scored.select("doc_id", (fold == 1).alias("held_out"), "score", "predicted")
+    return scored.select("doc_id", F.coalesce(fold == 1, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
 def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,12 +15,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
+from pyspark import Broadcast, StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerline.llm.common import staged
+from ledgerline.llm.common import one_text, staged
 
 BUCKET_BITS = 18
 MAX_ROWS, SHARD_ROWS, ROUNDS = 24_000, 4_000, 4
@@ -133,13 +133,13 @@ def _shard_pass(state: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterat
 
 def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, text, label: of the labels whose documents are there, for each class those with the ``MAX_ROWS`` lowest
-    hashes of their ids."""
+    hashes of their ids. An id teaches by one text, the one that hashes lowest, however many rows have it."""
     marked = labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(
         F.max(F.col("toxic").cast("int")).alias("label"))
     known = staged(marked.join(docs.select("doc_id").distinct(), "doc_id", "left_semi"))
     clean, toxic = (known.where(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_ROWS) for k in (0, 1))
     short = F.broadcast(clean.unionAll(toxic))  # at most MAX_ROWS short rows a class
-    return docs.select("doc_id", "text").join(short, "doc_id")
+    return one_text(docs.select("doc_id", "text").join(short, "doc_id"))
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
@@ -158,7 +158,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, flo
     if not shards:
         return np.empty(0, np.int32), np.empty(0, np.float32), -30.0
     shard = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(shards)).alias("shard")
-    rows = rows.select("doc_id", "label", "x", shard).repartition(shards, "shard").persist()  # dealt once, read every round
+    rows = rows.select("doc_id", "label", "x", shard).repartition(shards, "shard").persist(StorageLevel.DISK_ONLY)  # dealt once, read every round
     size = (1 << BUCKET_BITS) + 1
     z, n = np.zeros(size), np.zeros(size)
     context = docs.sparkSession.sparkContext
@@ -183,23 +183,21 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], out: str
     """``docs`` with the probability of label 1 for every whole text; wordless texts get that of the bias.
     All rows and columns stay; a column already called ``out`` is replaced."""
     held = docs.sparkSession.sparkContext.broadcast(model)
-    kept = [f for f in docs.schema.fields if f.name != out]
-    names = [*(f.name for f in kept), out]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf(T.DoubleType())
+    def scored(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         at, w, bias = held.value
         dense = np.zeros(1 << BUCKET_BITS)
         dense[at] = w
-        for batch in batches:
+        for batch in texts:
             scores = []
-            for x in batch.columns[-1]:
+            for x in batch:
                 own = coordinates(x.as_py())
                 own = np.unique(own[dense[own] != 0])  # few weights are not zero
                 scores.append(_sigmoid(dense[own].sum() + bias))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64())], names)
+            yield pa.array(scores, pa.float64())
 
-    fed = docs.select(*[docs[f.name] for f in kept], docs["text"].alias("_llm_text"))
-    return fed.mapInArrow(run, T.StructType([*kept, T.StructField(out, T.DoubleType())]))
+    return docs.withColumn(out, scored("text"))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
