@@ -47,11 +47,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, ids, n_tokens, the digest of the decoded text, and whether encoding that text gives the same ids."""
-    path = vocabulary_path()
-    encoded = bpe.encode(docs.select("doc_id", "lang", "source", "text"), path, drop_text=True)
-    # Ids are staged, so that the workers of one step are gone when those of the next hold their vocabulary.
-    return bpe.decode_again(staged(encoded), path).select(
-        "doc_id", "lang", "source", "ids", F.size("ids").alias("n_tokens"), "decoded_sha256", "same_ids")
+    return bpe.round_trip(docs.select("doc_id", "lang", "source", "text"), vocabulary_path())
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
