@@ -7,19 +7,26 @@ one (status validity, special remark) class the order of preference is register
 contradiction, then nearness in time, then version, message and row. The winner of a class
 is therefore the nearest row of the whole class, or the nearest row with the record's
 register, or the nearest row without a register; rows without a time are ranked by version,
-message and row alone. Each is found by a sorted pass over instants: both sides are folded
-to the distinct times of a key before they meet, so a key that most rows share costs as many
-rows as it has times, and records pick the answer of their time up in a join.
+message and row alone.
+
+One sweep over the instants of a key finds them for all classes together: the billing rows of
+an instant are folded to one row that holds the best of every class, with any and without a
+register, and the latest of each that the sweep has passed is carried along. A second sweep
+does the same by register. Both sides are folded to the distinct times of a key before they
+meet, so a key that most rows share costs as many rows as it has times, and records pick the
+answer of their time up in a join.
 
 A flight-date group mixes movement dates, and a date the record does not allow ranks
 behind an allowed one. Rows of the record's own date win through the movement-date lookup,
 rows special and within a day likewise, and a recovered record also asks for its recovered
-date separately; the nearest row of the group covers the rest.
+date separately, under both dates; the nearest row of the group covers the rest.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ledgerline.functions.times import format_date, minutes_apart
 from ledgerline.operators.evaluate import (
@@ -28,15 +35,13 @@ from ledgerline.operators.evaluate import (
 from ledgerline.operators.lookup import (
     BY_FLIGHT_DATE, BY_MOVEMENT, SPECIAL, register_compatible, search_specs, time_cell,
 )
-from ledgerline.operators.nearest import nearest
 
-BY_REMARK = "REMARK"
+BY_REMARK, BY_BOTH = "REMARK", "BOTH DATES"
 GROUP = ["flight", "move", "adep", "ades", "by", "date"]
-ANY_REGISTER, ANY_DATE = "*", "*"
 RANK = ["r_version", "r_message", "r_row"]
 CARRIED = ["r_at", "r_register", "r_special", "invalid_status"]
 RECORD = ["l_data", "l_row", "l_register", "l_at", "l_moved_on", "l_recovered", "l_recovered_on"]
-CLASS = ["_invalid", "_special"]
+CLASSES = [(invalid, special) for invalid in (False, True) for special in (False, True)]
 
 
 def _entry(adep: Column, ades: Column, by: str, date: Column, *more: Column) -> Column:
@@ -50,6 +55,10 @@ def _entered(df: DataFrame, entries: Column) -> DataFrame:
     return rows.where(F.col("flight").isNotNull() & F.col("move").isNotNull() & F.col("date").isNotNull())
 
 
+def _both_dates(flight_date: Column, moved_on: Column) -> Column:
+    return F.concat(flight_date, F.lit(" "), moved_on)
+
+
 def index_entries(others: DataFrame, tolerance: float) -> DataFrame:
     """Billing rows under every key a record may ask for."""
     adep, ades, none = F.col("adep"), F.col("ades"), F.lit("")
@@ -58,6 +67,7 @@ def index_entries(others: DataFrame, tolerance: float) -> DataFrame:
     return _entered(others, F.array(
         F.when(routed, _entry(adep, ades, BY_MOVEMENT, format_date(F.col("r_at")))),
         F.when(routed, _entry(adep, ades, BY_FLIGHT_DATE, F.col("r_flight_date"))),
+        F.when(routed, _entry(adep, ades, BY_BOTH, _both_dates(F.col("r_flight_date"), format_date(F.col("r_at"))))),
         F.when(F.col("r_special"), _entry(none, none, BY_REMARK, cell)),
     ))
 
@@ -70,12 +80,17 @@ def probe_entries(records: DataFrame, tolerance: float) -> DataFrame:
         adep.alias("adep"), ades.alias("ades"), s["by"].alias("by"), s["date"].alias("date"),
         s["lookup"].alias("lookup"),
     ))
+    again = F.col("l_recovered") & (F.col("l_recovered_on") != F.col("l_moved_on"))
+    recovered = F.when(again, F.transform(F.filter(dated, lambda s: s["by"] == BY_FLIGHT_DATE), lambda s: F.struct(
+        s["adep"], s["ades"], F.lit(BY_BOTH).alias("by"), _both_dates(s["date"], F.col("l_recovered_on")).alias("date"),
+        s["lookup"],
+    ))).otherwise(F.slice(dated, 1, 0))
     number = F.lit(SPECIAL).alias("lookup")
     near = F.array(*[
         _entry(none, none, BY_REMARK, (time_cell(F.col("l_at"), tolerance) + step).cast("string"), number)
         for step in (-1, 0, 1)
     ])
-    return _entered(records, F.concat(F.when(routed, dated).otherwise(F.slice(dated, 1, 0)), near))
+    return _entered(records, F.concat(F.when(routed, F.concat(dated, recovered)).otherwise(F.slice(dated, 1, 0)), near))
 
 
 def _eligible(pairs: DataFrame, tolerance: float) -> DataFrame:
@@ -85,50 +100,50 @@ def _eligible(pairs: DataFrame, tolerance: float) -> DataFrame:
     return pairs.where((F.col("by") != BY_REMARK) | (register_compatible() & close & days))
 
 
+def _tops(folded: DataFrame, by: Sequence[str], wanted: dict[str, Column]) -> DataFrame:
+    """One row for each instant of a group with the best row of every kind in ``wanted``."""
+    return folded.groupBy(*by, "at").agg(*[F.max(F.when(kind, F.col("_top"))).alias(n) for n, kind in wanted.items()])
+
+
+def _of_classes(prefix: str, where: Column) -> dict[str, Column]:
+    return {
+        f"{prefix}{n}": where & (F.col("_invalid") == F.lit(invalid)) & (F.col("r_special") == F.lit(special))
+        for n, (invalid, special) in enumerate(CLASSES)
+    }
+
+
+def _swept(tops: DataFrame, probes: DataFrame, by: Sequence[str]) -> DataFrame:
+    """``_rows`` for each instant of ``probes``: of every kind the row before it, the row after it and the row without a time."""
+    kinds = [c for c in tops.columns if c not in by and c != "at"]
+    instants = probes.select(*by, "at").distinct().withColumn("_asks", F.lit(True))
+    both = tops.withColumn("_asks", F.lit(False)).unionByName(instants, allowMissingColumns=True)
+    passed, timed = (Window.unboundedPreceding, Window.currentRow), F.col("at").isNotNull()
+    ahead = Window.partitionBy(*by).orderBy(F.col("at").asc_nulls_first(), "_asks").rowsBetween(*passed)
+    back = Window.partitionBy(*by).orderBy(F.col("at").desc_nulls_last(), "_asks").rowsBetween(*passed)
+    found = {}
+    for kind in kinds:
+        found[f"_before_{kind}"] = F.last(F.when(timed, F.col(kind)), ignorenulls=True).over(ahead)
+        found[f"_timeless_{kind}"] = F.last(F.when(~timed, F.col(kind)), ignorenulls=True).over(ahead)
+        found[f"_after_{kind}"] = F.last(F.when(timed, F.col(kind)), ignorenulls=True).over(back)
+    seen = both.withColumns(found).where("_asks")
+    return seen.select(*by, "at", F.array_distinct(F.array_compact(F.array(*found))).alias("_rows"))
+
+
 def _contenders(probes: DataFrame, index: DataFrame) -> DataFrame:
-    """(record, billing row) pairs: only rows that can be the best one."""
-    register = F.coalesce("r_register", F.lit(""))
-    moved_on = F.when(F.col("by") == BY_FLIGHT_DATE, format_date(F.col("r_at")))
-    scope = [*GROUP, "_slot", "_day", *CLASS]
-    rows = index.withColumns({
-        "_invalid": F.col("invalid_status"),
-        "_special": F.col("r_special"),
-        "_slot": F.explode(F.array(F.lit(ANY_REGISTER), register)),
-    }).withColumn("_day", F.explode(F.array_compact(F.array(F.lit(ANY_DATE), moved_on))))
-    # Rows of one instant and class differ only in rank: fold them before the shuffle.
-    folded = rows.groupBy(*scope, F.col("r_at").alias("at")).agg(
-        F.max(F.struct(*RANK, *CARRIED)).alias("_top")
-    ).select(*scope, "at", *[F.col("_top")[c].alias(c) for c in [*RANK, *CARRIED]])
-
-    mine = F.col("l_register")
-    slots = F.when(mine.isNull(), F.array(F.lit(ANY_REGISTER))).otherwise(
-        F.array(F.lit(ANY_REGISTER), mine, F.lit(""))
-    )
-    other_day = F.when(
-        F.col("l_recovered") & (F.col("by") == BY_FLIGHT_DATE) & (F.col("l_recovered_on") != F.col("l_moved_on")),
-        F.col("l_recovered_on"),
-    )
-    classes = F.array(*[
-        F.struct(F.lit(i).alias("_invalid"), F.lit(s).alias("_special")) for i in (False, True) for s in (False, True)
-    ])
-    asked = (
-        probes.withColumn("_slot", F.explode(slots))
-        .withColumn("_day", F.explode(F.array_compact(F.array(F.lit(ANY_DATE), other_day))))
-        .withColumn("_class", F.explode(classes)).select("*", "_class.*").drop("_class")
-        .withColumn("at", F.col("l_at"))
-    )
-    timed_asked = asked.where(F.col("at").isNotNull())
-    instants = timed_asked.select(*scope, "at").distinct()
-    answers = nearest(instants, folded.where(F.col("at").isNotNull()), scope, "at", RANK, CARRIED)
-    beside = timed_asked.join(answers, [*scope, "at"])
-    sides = F.explode(F.array_compact(F.array("before", "after")))
-    timed = beside.withColumn("_row", sides)
-    timeless = folded.where(F.col("at").isNull()).groupBy(*scope).agg(
-        F.max(F.struct(*RANK, *CARRIED)).alias("_row")
-    )
-    chosen = [F.col("_row")[c].alias(c) for c in [*RANK, *CARRIED]]
-    columns = [*RECORD, *GROUP, "lookup", *chosen]
-    return timed.select(*columns).unionByName(asked.join(timeless, scope).select(*columns))
+    """(record, billing row) pairs: only rows that can be the best one. Records have a time."""
+    # Rows of one instant, class and register differ only in rank: fold them before the shuffle.
+    folded = index.groupBy(*GROUP, F.col("r_at").alias("at"), F.col("invalid_status").alias("_invalid"), "r_special", "r_register").agg(
+        F.max(F.struct(*RANK, "r_at", "r_register", "r_special", "invalid_status")).alias("_top"))
+    asked = probes.withColumn("at", F.col("l_at"))
+    whole = _tops(folded, GROUP, _of_classes("any", F.lit(True)) | _of_classes("none", F.col("r_register").isNull()))
+    per_register = [*GROUP, "register"]
+    named = folded.where(F.col("r_register").isNotNull()).withColumn("register", F.col("r_register"))
+    own = _tops(named, per_register, _of_classes("own", F.lit(True)))
+    mine = asked.where(F.col("l_register").isNotNull()).withColumn("register", F.col("l_register"))
+    found = asked.join(_swept(whole, asked, GROUP), [*GROUP, "at"]).unionByName(
+        mine.join(_swept(own, mine, per_register), [*per_register, "at"]).drop("register"))
+    rows = found.select(*RECORD, *GROUP, "lookup", F.explode("_rows").alias("_row"))
+    return rows.select(*RECORD, *GROUP, "lookup", *[F.col("_row")[c].alias(c) for c in [*RANK, *CARRIED]])
 
 
 def best_choices(records: DataFrame, others: DataFrame, rules: MatchRules = MatchRules()) -> DataFrame:

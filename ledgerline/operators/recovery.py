@@ -14,11 +14,10 @@ lowest row therefore gives the same pairs as letting the targets choose one by o
 target can trade up, because every earlier source went to a lower row. That form is one
 sorted pass that keeps only the waiting targets in memory.
 
-Groups are thinned before that pass, in one shard for every ``SHARD_ROWS`` events of a group.
-A source left over when it competes in a random shard of the sources against *all* targets is
-left over in the whole group, and a target left over in a shard of the targets facing *all*
-sources stays without one. Both thinnings are exact; a group of one shard needs none. The
-number of shards is a column, so one plan serves groups of every size.
+A group above ``BLOCK_ROWS`` events is served block by block in that order, all such groups side by side; a block
+is one task's work. Of the targets that wait when a block begins, a queue (those of one register, or those without)
+can lose at most as many as the block has sources that may serve it, and always its lowest rows: only these are
+carried into the block, so the cut is exact, no side is copied and no task sees more than a block and its carry.
 """
 
 from __future__ import annotations
@@ -27,20 +26,21 @@ import heapq
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ledgerline.constants import IDENTITY_COLUMNS, RECOVERED_REASON, RECOVERY_SOURCE_REASON
 from ledgerline.functions import times
 from ledgerline.functions.dates import iso_day
 from ledgerline.functions.text import field
-from ledgerline.plans.staging import TABLE, stage
+from ledgerline.plans.staging import TABLE, Run
+from ledgerline.sources.rows import POSITION_BITS, running_starts
 
 FILLED_COLUMNS = [
     "AC REGISTER", "ATD", "ATA", "ARRIVAL GATE", "DEPARTURE GATE", "DEPARTURE RUNWAY",
     "ARRIVAL RUNWAY", "ATD_DATETIME", "ATA_DATETIME", "RAW ATD", "RAW ATA",
 ]
 BAND_START_HOUR, BAND_END_HOUR = 23, 6  # fixed values: 23:00 of D to 06:00 of D+1
-SHARD_ROWS = 250_000
+BLOCK_ROWS = 250_000
 ROW_ID = ["SOURCE DATA", "SOURCE ROW"]
 PAIR_SCHEMA = "target_data string, target_row bigint, source_data string, source_row bigint"
 
@@ -115,60 +115,92 @@ def _serve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(pairs, columns=["target_data", "target_row", "source_data", "source_row"])
 
 
-def _serve_groups(events: DataFrame) -> DataFrame:
-    ordered = events.repartition("group").sortWithinPartitions(
-        F.col("group"), F.col("at"), F.col("is_target").desc(), F.col("version").desc_nulls_last(),
+def _order() -> list[Column]:
+    return [
+        F.col("group").asc(), F.col("at").asc_nulls_first(), F.col("is_target").desc(), F.col("version").desc_nulls_last(),
         F.col("message").desc_nulls_last(), F.col("row").desc(), F.col("data").desc(),
-    )
-    return ordered.select("group", "is_target", "register", "data", "row").mapInPandas(_serve, PAIR_SCHEMA)
-
-
-def _sharded(whole: DataFrame, split: DataFrame) -> DataFrame:
-    """``split`` spread over the ``shards`` of its group, ``whole`` repeated in each of them."""
-    every = whole.withColumn("_shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
-    some = split.withColumn("_shard", F.pmod(F.xxhash64("data", "row"), F.col("shards")).cast("int"))
-    both = every.unionByName(some)
-    return both.withColumn("group", F.concat_ws("|", "group", F.col("_shard"))).drop("_shard")
-
+    ]
 
-def _kept(rows: DataFrame, pairs: DataFrame, side: str) -> DataFrame:
-    ids = pairs.select(F.col(f"{side}_data").alias("data"), F.col(f"{side}_row").alias("row")).distinct()
-    return rows.join(ids, ["data", "row"], "left_semi")
-
-
-def _thinned(events: DataFrame) -> DataFrame:
-    """Events (with ``shards``) that a pass over their whole group could still pair."""
-    targets, sources = events.where("is_target"), events.where(~F.col("is_target"))
-    sources = _kept(sources, _serve_groups(_sharded(targets, sources)), "source")
-    targets = _kept(targets, _serve_groups(_sharded(sources, targets)), "target")
-    return targets.unionByName(sources)
 
+def _serve_groups(events: DataFrame) -> DataFrame:
+    ordered = events.repartition("group").sortWithinPartitions(*_order())
+    return ordered.select("group", "is_target", "register", "data", "row").mapInPandas(_serve, PAIR_SCHEMA)
 
-def _with_shards(events: DataFrame, shard_rows: int) -> DataFrame:
-    """``events`` with ``shards``, the number of shards of their group. Only groups of several
-    shards are listed, so the joined side is short: one row for every ``shard_rows`` events at most."""
-    large = events.groupBy("group").agg(F.count("*").alias("_rows")).where(F.col("_rows") > shard_rows).select(
-        F.col("group").alias("_group"), F.ceil(F.col("_rows") / shard_rows).cast("int").alias("_shards"))
-    return events.join(large, F.col("group") == F.col("_group"), "left").withColumn(
-        "shards", F.coalesce("_shards", F.lit(1))).drop("_group", "_shards")
 
+def in_blocks(events: DataFrame, block_rows: int, mode: str | Run = TABLE) -> DataFrame:
+    """``events`` with ``block``: their place in the order of their group, in blocks of ``block_rows``.
 
-def recovery_pairs(df: DataFrame, mode: str = TABLE, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    The events are sorted over all tasks, each tells its task and its place there, and the sizes of the tasks before
+    are added; a group that most events share spreads over as many tasks as it fills.
+    """
+    placed = Run.of(mode).stage(
+        events.repartitionByRange(*_order()).sortWithinPartitions(*_order()).withColumn("_id", F.monotonically_increasing_id()),
+        "recovery-order")
+    task = F.shiftrightunsigned("_id", POSITION_BITS)
+    sizes = placed.groupBy(task.alias("_task")).agg(F.count("*").alias("_rows"))
+    position = F.col("_start") + F.col("_id").bitwiseAND(F.lit((1 << POSITION_BITS) - 1))
+    numbered = placed.withColumn("_of", task).join(
+        F.broadcast(running_starts(sizes)), F.col("_of") == F.col("_task")).withColumn("_position", position)  # one row a task
+    firsts = numbered.groupBy(F.col("group").alias("_group")).agg(F.min("_position").alias("_first"))
+    return numbered.join(firsts, F.col("group") == F.col("_group")).select(
+        *events.columns, F.floor((F.col("_position") - F.col("_first")) / block_rows).cast("int").alias("block"))
+
+
+def carried(waiting: DataFrame, sources: DataFrame, salts: int) -> DataFrame:
+    """The waiting targets that ``sources`` could serve: the lowest rows of each queue, as many as it has takers.
+    The choice is made in ``salts`` parts of a queue first."""
+    queue = F.coalesce("register", F.lit(""))
+    takers = sources.select(F.col("group").alias("_group"), F.explode(F.array_distinct(F.array(F.lit(""), queue))).alias("_queue")).groupBy(
+        "_group", "_queue").agg(F.count("*").alias("_takers"))
+    rows = waiting.join(takers, (F.col("group") == F.col("_group")) & (queue == F.col("_queue")))
+    rows = rows.withColumn("_salt", F.pmod(F.xxhash64("data", "row"), F.lit(salts)))
+    for parts in (["_group", "_queue", "_salt"], ["_group", "_queue"]):
+        lowest = Window.partitionBy(*parts).orderBy("row", "data")
+        rows = rows.withColumn("_turn", F.row_number().over(lowest)).where(F.col("_turn") <= F.col("_takers"))
+    return rows.select(*waiting.columns)
+
+
+def _paired_in_blocks(events: DataFrame, block_rows: int, run: Run) -> DataFrame:
+    """The pairs of groups of any size, a block of every group in each step."""
+    placed = run.stage(in_blocks(events, block_rows, run), "recovery-blocks")
+    pairs = None
+    for block in range((placed.agg(F.max("block")).first()[0] or 0) + 1):
+        now = placed.where(F.col("block") == block).drop("block")
+        feed = now
+        if block:
+            waiting = placed.where(F.col("is_target") & (F.col("block") < block)).drop("block")
+            served = pairs.select(F.col("target_data").alias("data"), F.col("target_row").alias("row"))
+            before = carried(waiting.join(served, ["data", "row"], "left_anti"), now.where(~F.col("is_target")), block)
+            feed = now.unionByName(before.withColumn("at", F.lit(None).cast("timestamp_ntz")))  # they wait from the start
+        step = run.stage(_serve_groups(feed), "recovery-step")
+        pairs = step if pairs is None else pairs.unionByName(step)
+    return pairs
+
+
+def recovery_pairs(df: DataFrame, mode: str | Run = TABLE, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """One-to-one pairs (target, source) of the recovery rule.
 
     Only sources of groups that have a target are kept; the narrow event table is staged.
     """
+    run = Run.of(mode)
     targets, sources = recovery_events(df)
     asked = sources.join(targets.select("group").distinct(), "group", "left_semi")
-    events = stage(_with_shards(targets.unionByName(asked), shard_rows), "recovery-events", mode)
-    return _serve_groups(events.where("shards = 1").unionByName(_thinned(events.where("shards > 1"))))
+    events = run.stage(targets.unionByName(asked), "recovery-events")
+    large = events.groupBy(F.col("group").alias("_large")).agg(F.count("*").alias("_rows")).where(
+        F.col("_rows") > block_rows).select("_large")
+    if large.isEmpty():
+        return _serve_groups(events)
+    hot = F.col("group") == F.col("_large")
+    return _serve_groups(events.join(large, hot, "left_anti")).unionByName(
+        _paired_in_blocks(events.join(large, hot, "left_semi"), block_rows, run))
 
 
 def recover_adjacent_date_movements(
-    df: DataFrame, mode: str = TABLE, shard_rows: int = SHARD_ROWS
+    df: DataFrame, mode: str | Run = TABLE, block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
     """Fill recovered movements and mark the rows that served them."""
-    pairs = stage(recovery_pairs(df, mode, shard_rows), "recovery-pairs", mode)
+    run = Run.of(mode)
+    pairs = run.stage(recovery_pairs(df, run, block_rows), "recovery-pairs")
     payload = df.select(
         F.col("SOURCE DATA").alias("source_data"), F.col("SOURCE ROW").alias("source_row"),
         F.struct("DATE OF FLIGHT", "SOURCE ROW", *FILLED_COLUMNS).alias("_fill"),

@@ -12,7 +12,7 @@ from ledgerline.constants import FIELDS
 from ledgerline.operators import compare as ops
 from ledgerline.operators.occurrence import BLOCK_ROWS
 from ledgerline.plans.mapping import check_keys
-from ledgerline.plans.staging import TABLE, stage
+from ledgerline.plans.staging import TABLE, Run
 
 
 @dataclass(frozen=True)
@@ -21,6 +21,7 @@ class Comparison:
 
     aligned: DataFrame
     comparable: tuple[str, ...]
+    run: Run
 
     @cached_property
     def matched(self) -> DataFrame:
@@ -59,6 +60,10 @@ class Comparison:
             "differences": self.differences,
         }
 
+    def close(self) -> None:
+        """Give back the staged tables of this run; its results cannot be used after, those of other runs can."""
+        self.run.release()
+
     def __getitem__(self, name: str) -> DataFrame:
         return self.tables()[name]
 
@@ -72,22 +77,23 @@ def compare_datasets(
     allow_incomplete_keys: bool = False,
     row_col: str | None = None,
     block_rows: int = BLOCK_ROWS,
-    mode: str = TABLE,
+    mode: str | Run = TABLE,
 ) -> Comparison:
     """Pair rows by key and occurrence.
 
     Counting occurrences reads a side twice and every result reads the aligned rows, so
     both are kept: ``mode`` is "table" (written to the cluster's shared folder),
-    "persist" or "none".
+    "persist" or "none", or a run that others hold as well.
     """
+    run = Run.of(mode)
     keys = check_keys(key_fields, source_mapping, actual_mapping)
     sides = []
     for df, mapping, side in (
         (source_frame, source_mapping, "SOURCE"), (actual_frame, actual_mapping, "ACTUAL"),
     ):
-        canonical = stage(ops.canonicalize(df, mapping, row_col), f"canonical-{side.lower()}", mode)
+        canonical = run.stage(ops.canonicalize(df, mapping, row_col), f"canonical-{side.lower()}")
         sides.append(ops.prepare_for_matching(canonical, keys, side, allow_incomplete_keys, block_rows))
     comparable = tuple(
         f for f in FIELDS if f not in keys and source_mapping.get(f) and actual_mapping.get(f)
     )
-    return Comparison(stage(ops.align(*sides, keys), "aligned-rows", mode), comparable)
+    return Comparison(run.stage(ops.align(*sides, keys), "aligned-rows"), comparable, run)

@@ -13,6 +13,7 @@ from ledgerline.constants import (
 )
 from ledgerline.functions.remarks import code_is_excluded
 from ledgerline.operators import outputs, summary as counters
+from ledgerline.operators.auditcounts import audit_counts
 from ledgerline.operators.best import best_candidates
 from ledgerline.operators.dedup import assign_flight_instance_keys, duplicate_output, select_best
 from ledgerline.operators.evaluate import MatchRules, evaluate, evaluation
@@ -22,7 +23,7 @@ from ledgerline.operators.lookup import candidate_pairs, other_side, preferred_l
 from ledgerline.operators.recovery import recover_adjacent_date_movements
 from ledgerline.operators.standardize import empty_text_to_blank, split_excluded, standardize_dataset
 from ledgerline.plans.mapping import detected_mapping, require_columns
-from ledgerline.plans.staging import TABLE, release, stage
+from ledgerline.plans.staging import TABLE, Run
 
 
 @dataclass(frozen=True)
@@ -39,17 +40,17 @@ class Reconciliation:
     excluded_records: DataFrame
     excluded_billing: DataFrame
     rules: MatchRules
-    mode: str = TABLE
+    run: Run
 
     # --- records ---------------------------------------------------------------
     @cached_property
     def recovered(self) -> DataFrame:
-        return recover_adjacent_date_movements(self.combined, self.mode)
+        return recover_adjacent_date_movements(self.combined, self.run)
 
     @cached_property
     def resolved(self) -> DataFrame:
-        keyed = stage(prepare_keys(self.recovered), "keyed-records", self.mode)
-        return stage(select_best(assign_flight_instance_keys(keyed)), "resolved-records", self.mode)
+        keyed = self.run.stage(prepare_keys(self.recovered), "keyed-records")
+        return self.run.stage(select_best(assign_flight_instance_keys(keyed)), "resolved-records")
 
     @cached_property
     def unique(self) -> DataFrame:
@@ -76,6 +77,11 @@ class Reconciliation:
         pairs = candidate_pairs(*self.sides, self.rules.tolerance_minutes)
         return evaluate(preferred_lookup(pairs), self.rules)
 
+    @cached_property
+    def audit_counts(self) -> DataFrame:
+        """How many candidates of every kind each record has: the audit without listing it."""
+        return audit_counts(*self.sides, self.rules)
+
     @cached_property
     def best(self) -> DataFrame:
         """The selected candidate of each record."""
@@ -84,7 +90,7 @@ class Reconciliation:
     @cached_property
     def decided(self) -> DataFrame:
         decided = outputs.decide(self.unique, self.best, self.rules)
-        return stage(decided, "decided-records", self.mode)
+        return self.run.stage(decided, "decided-records")
 
     # --- result tables ---------------------------------------------------------
     @cached_property
@@ -191,8 +197,8 @@ class Reconciliation:
         }
 
     def close(self) -> None:
-        """Give back the staged tables of this session; the results cannot be used after."""
-        release(self.combined.sparkSession)
+        """Give back the staged tables of this run; its results cannot be used after, those of other runs can."""
+        self.run.release()
 
     def __getitem__(self, name: str) -> object:
         return self.settings if name == "settings" else self.tables()[name]
@@ -211,15 +217,16 @@ def reconcile_dat_vs_stream(
     row_col: str | None = None,
     excluded_tokens: Sequence[str] = NON_BILLABLE_TOKENS,
     remark_keywords: Sequence[str] = SPECIAL_REMARK_KEYWORDS,
-    mode: str = TABLE,
+    mode: str | Run = TABLE,
 ) -> Reconciliation:
     """Reconcile departures and arrivals against the billing table.
 
     ``row_col`` names a source-row ordinal present in all three inputs; without it the
     scan order is numbered. The standardized sides and the resolved records feed several
     steps, so they are kept: ``mode`` is "table" (written to the cluster's shared
-    folder), "persist" or "none".
+    folder), "persist" or "none", or a run that others hold as well.
     """
+    run = Run.of(mode)
     inputs = (dat_dep, dat_arr, stream)
     given = (dep_mapping, arr_mapping, stream_mapping)
     mappings = [dict(m) if m else detected_mapping(df) for df, m in zip(inputs, given)]
@@ -233,7 +240,7 @@ def reconcile_dat_vs_stream(
         for df, mapping, name, move in zip(inputs, mappings, names, moves)
     )
     excluded = code_is_excluded(F.col("FLIGHT NUMBER"), excluded_tokens)
-    all_records = stage(departures.unionByName(arrivals), "standard-records", mode)
+    all_records = run.stage(departures.unionByName(arrivals), "standard-records")
     combined, excluded_records = split_excluded(all_records, excluded)
-    kept_billing, excluded_billing = split_excluded(stage(billing, "standard-billing", mode), excluded)
-    return Reconciliation(combined, kept_billing, excluded_records, excluded_billing, rules, mode)
+    kept_billing, excluded_billing = split_excluded(run.stage(billing, "standard-billing"), excluded)
+    return Reconciliation(combined, kept_billing, excluded_records, excluded_billing, rules, run)

@@ -12,7 +12,7 @@ POSITION_BITS = 33
 TASK_BLOCK = 4096
 
 
-def _running_starts(counts: DataFrame) -> DataFrame:
+def running_starts(counts: DataFrame) -> DataFrame:
     """(_task, _start): rows in all tasks before each, summed inside blocks of tasks and then over the blocks."""
     before = Window.unboundedPreceding, -1
     blocked = counts.withColumn("_block", F.floor(F.col("_task") / TASK_BLOCK))
@@ -41,7 +41,7 @@ def with_row_numbers(df: DataFrame, name: str = "__row", first: int = FIRST_SOUR
     per_task = numbered.select(task.alias("_task")).groupBy("_task").agg(F.count("*").alias("_rows"))
     return (
         numbered.withColumn("_at", task)
-        .join(F.broadcast(_running_starts(per_task)), F.col("_at") == F.col("_task"))
+        .join(F.broadcast(running_starts(per_task)), F.col("_at") == F.col("_task"))
         .withColumn(name, F.col("_start") + position + F.lit(first))
         .select(*[field(c) for c in df.columns], field(name))
     )

@@ -1,11 +1,18 @@
-"""Report datasets: one folder per bundle, one dataset per result."""
+"""Report datasets: one folder per bundle, one dataset per result.
+
+A bundle is written to a hidden folder beside its place, its files are read back for the manifest (rows and digest of
+every dataset), and then it is renamed into place as a whole. Readers see the report that stood there before or the new
+one, never a part; a write that fails leaves the earlier one as it was.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Collection
+import uuid
+from collections.abc import Callable, Collection, Iterator
+from contextlib import contextmanager
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ledgerline.constants import MISSING_EXPORT_COLUMNS, REPORT_DATE_COLUMNS, VALIDATION_EXPORT_COLUMNS
 from ledgerline.functions.dates import iso_day
@@ -13,6 +20,7 @@ from ledgerline.functions.text import field
 from ledgerline.operators.outputs import ordered_excluded, ordered_records, select_with_backfill
 from ledgerline.plans.compare import Comparison
 from ledgerline.plans.reconcile import Reconciliation
+from ledgerline.plans.staging import Run
 
 # fixed values: dataset names, in report order
 COMPARISON_BUNDLE = {
@@ -33,6 +41,7 @@ REPORT_SHEETS = (
     ("Audit Detail", "audit_detail"),
     ("Excluded Non-Billable", "excluded_non_billable"),
 )
+MANIFEST, SETTINGS = "Manifest", "Settings"
 SHEET_COLUMNS = {"validasi": VALIDATION_EXPORT_COLUMNS, "missing": MISSING_EXPORT_COLUMNS}
 
 
@@ -90,30 +99,74 @@ def _in_report_order(sheet: str, df: DataFrame) -> DataFrame:
     return df.orderBy("DATE OF FLIGHT", "FLIGHT NUMBER", "D/A/L/O")
 
 
+@contextmanager
+def published(spark: SparkSession, folder: str) -> Iterator[str]:
+    """A hidden folder to write to; it takes the place of ``folder``, and of what stands there, once all is written.
+
+    Where an earlier bundle stands it is set aside first and put back if the new one cannot take its place.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    place = path(folder.rstrip("/"))
+    parent, name, mark = place.getParent(), place.getName(), uuid.uuid4().hex
+    hidden, aside = path(parent, f".{name}-{mark}"), path(parent, f".{name}-{mark}-before")
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    try:
+        yield hidden.toString()
+        stood = files.exists(place)
+        if stood and not files.rename(place, aside):
+            raise OSError(f"{folder}: the earlier report cannot be set aside")
+        if not files.rename(hidden, place):
+            if stood:
+                files.rename(aside, place)
+            raise OSError(f"{folder}: the report cannot be put in place")
+        if stood:
+            files.delete(aside, True)
+    finally:
+        files.delete(hidden, True)
+
+
+def _read_back(spark: SparkSession, path: str, file_format: str) -> DataFrame:
+    return spark.read.option("header", True).csv(path) if file_format == "csv" else spark.read.parquet(path)
+
+
+def manifest(spark: SparkSession, folder: str, datasets: Collection[str], file_format: str = "parquet") -> DataFrame:
+    """(dataset, rows, digest) of the files of each dataset as they are; the digest does not depend on their order."""
+    lines = []
+    for name in datasets:
+        rows = _read_back(spark, f"{folder}/{name}", file_format)
+        digest = F.sum(F.xxhash64(*[field(c) for c in rows.columns]).cast("decimal(38,0)"))
+        lines.append(rows.agg(F.lit(name).alias("dataset"), F.count("*").alias("rows"), F.coalesce(digest.cast("string"), F.lit("0")).alias("digest")))
+    return reduce(DataFrame.unionByName, lines)
+
+
 def write_report(
     result: Reconciliation, folder: str, file_format: str = "parquet", sheets: Collection[str] | None = None
 ) -> list[str]:
-    """Write the nine datasets, or those named, in report order below ``folder``, and the
-    settings beside them; returns the paths of the datasets."""
-    paths = []
-    settings = settings_table(result).coalesce(1).sortWithinPartitions("LINE")  # three rows
-    WRITERS[file_format](settings, f"{folder.rstrip('/')}/Settings")
-    for sheet, df in report_tables(result, sheets).items():
-        path = f"{folder.rstrip('/')}/{sheet}"
-        ordered = _in_report_order(sheet, df)
-        WRITERS[file_format](typed_dates(ordered) if file_format == "parquet" else ordered, path)
-        paths.append(path)
-    return paths
+    """Write the nine datasets, or those named, in report order below ``folder``, and the settings and a manifest beside
+    them; returns the paths of the datasets. What stood in ``folder`` is replaced as a whole."""
+    spark, write, run = result.combined.sparkSession, WRITERS[file_format], Run(result.run.mode)
+    tables = report_tables(result, sheets)
+    try:
+        with published(spark, folder) as hidden:
+            write(settings_table(result).coalesce(1).sortWithinPartitions("LINE"), f"{hidden}/{SETTINGS}")  # three rows
+            for sheet, df in tables.items():
+                ordered = _in_report_order(sheet, run.stage(df, "report-rows"))  # a range sort reads its rows twice
+                write(typed_dates(ordered) if file_format == "parquet" else ordered, f"{hidden}/{sheet}")
+            write(manifest(spark, hidden, tables, file_format).coalesce(1), f"{hidden}/{MANIFEST}")  # a row a dataset
+    finally:
+        run.release()
+    return [f"{folder.rstrip('/')}/{sheet}" for sheet in tables]
 
 
 build_report = write_report
 
 
 def write_comparison(result: Comparison, folder: str, file_format: str = "csv") -> list[str]:
-    """Write the five comparison datasets below ``folder``; returns their paths."""
-    paths = []
-    for dataset, name in COMPARISON_BUNDLE.items():
-        path = f"{folder.rstrip('/')}/{dataset}"
-        WRITERS[file_format](result[name], path)
-        paths.append(path)
-    return paths
+    """Write the five comparison datasets and a manifest below ``folder``, replacing what stood there; returns the paths
+    of the datasets."""
+    spark, write = result.aligned.sparkSession, WRITERS[file_format]
+    with published(spark, folder) as hidden:
+        for dataset, name in COMPARISON_BUNDLE.items():
+            write(result[name], f"{hidden}/{dataset}")
+        write(manifest(spark, hidden, COMPARISON_BUNDLE, file_format).coalesce(1), f"{hidden}/{MANIFEST}")
+    return [f"{folder.rstrip('/')}/{dataset}" for dataset in COMPARISON_BUNDLE]

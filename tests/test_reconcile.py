@@ -1,5 +1,7 @@
 """End-to-end scenarios, one flight number each, all reconciled in a single run."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from ledgerline.constants import (
 from ledgerline.functions.remarks import special_stream_remark_keyword
 from ledgerline.plans.mapping import parse_status_list, validate_required_columns
 from ledgerline.plans.reconcile import reconcile_dat_vs_stream
+from ledgerline.sources import sinks
 from ledgerline.sources.sinks import report_tables, write_report
 
 RECORD = ["callsign", "adep", "ades", "eobd", "eobt", "atd", "ata", "register", "gate", "runway", "timeStamp", "messageNum"]
@@ -276,6 +279,58 @@ def test_report_datasets(result, spark, tmp_path):
     assert missing.count() == result.summary_values()["missing_in_stream"]
 
 
+def test_a_report_is_replaced_as_a_whole_or_not_at_all(result, spark, tmp_path, monkeypatch):
+    folder = tmp_path / "report"
+    sheets = ["Matched", "Missing in Stream"]
+    write_report(result, str(folder), "csv", sheets)
+    assert {p.name for p in folder.iterdir()} == {*sheets, "Manifest", "Settings"}
+    lines = {r.dataset: int(r.rows) for r in spark.read.option("header", True).csv(str(folder / "Manifest")).collect()}
+    assert lines == {"Matched": result.matched.count(), "Missing in Stream": result.missing.count()}
+    before = sorted((str(p), p.stat().st_mtime_ns) for p in folder.rglob("*"))
+
+    def failing(df, path):
+        if path.endswith("Missing in Stream"):
+            raise OSError("disk full")
+        sinks.write_csv(df, path)
+    monkeypatch.setitem(sinks.WRITERS, "csv", failing)
+    with pytest.raises(OSError, match="disk full"):
+        write_report(result, str(folder), "csv", ["Matched", "Missing in Stream"])
+    assert sorted((str(p), p.stat().st_mtime_ns) for p in folder.rglob("*")) == before
+    monkeypatch.undo()
+    first = spark.read.option("header", True).csv(str(folder / "Manifest")).collect()
+    write_report(result, str(folder), "csv", sheets)
+    assert sorted(spark.read.option("header", True).csv(str(folder / "Manifest")).collect()) == sorted(first)
+    write_report(result, str(folder), "parquet", ["Need Review"])
+    assert {p.name for p in folder.iterdir()} == {"Need Review", "Manifest", "Settings"}
+    assert [p.name for p in tmp_path.iterdir()] == ["report"]
+
+
+def test_closing_one_result_leaves_the_others(spark):
+    from ledgerline.plans.staging import NONE, Run
+
+    dep = spark.createDataFrame([("GA1", "CGK", "DPS", "2026-06-27", "10:00", 2)], "callsign string, adep string, ades string, eobd string, atd string, line int")
+    arr = dep.limit(0)
+    stream = spark.createDataFrame([], ", ".join(f"`{c}` string" for c in BILLING) + ", line int")
+    one, two = (reconcile_dat_vs_stream(dep, arr, stream, row_col="line") for _ in range(2))
+    kept = [r.summary_values()["missing_in_stream"] for r in (one, two)]
+    staged = [path for _, path in one.run._written]
+    assert kept == [1, 1] and staged and all(os.path.exists(p) for p in staged)
+    one.close()
+    assert not any(os.path.exists(p) for p in staged)
+    assert two.missing.count() == 1 and two.matched.count() == 0
+    two.close()
+    assert not two.run._written and not two.run._kept
+    run = Run()
+    shared = [reconcile_dat_vs_stream(dep, arr, stream, row_col="line", mode=r) for r in (run, run.hold())]
+    shared[0].close()
+    assert shared[1].missing.count() == 1
+    shared[1].close()
+    assert not run._written
+    with pytest.raises(ValueError, match="mode"):
+        Run("elsewhere")
+    assert Run(NONE).stage(dep, "x") is dep
+
+
 def test_keyword_of_each_remark(spark):
     rows = [(f"operation {k.lower()} confirmed", k) for k in SPECIAL_REMARK_KEYWORDS]
     df = spark.createDataFrame(rows, "NOTES string, wanted string")

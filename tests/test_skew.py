@@ -7,11 +7,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerline.operators import recovery
+from ledgerline.operators.auditcounts import COUNTS, audit_counts, counted
 from ledgerline.operators.best import best_candidates
 from ledgerline.operators.evaluate import MatchRules, best_per_record, evaluate
 from ledgerline.operators.extra import looked_at
-from ledgerline.operators.lookup import candidate_pairs
+from ledgerline.operators.lookup import candidate_pairs, preferred_lookup
 from ledgerline.operators.nearest import nearest
+from ledgerline.plans.staging import Run
 
 START = datetime.datetime(2026, 5, 1, 23, 0)
 
@@ -40,7 +42,7 @@ def greedy(events):
 
 
 @pytest.mark.parametrize("seed,targets,sources", [(1, 40, 60), (2, 80, 25), (3, 15, 120)])
-def test_recovery_choice_and_its_thinning(spark, seed, targets, sources):
+def test_recovery_choice_whole_and_in_blocks(spark, seed, targets, sources):
     rng = random.Random(seed)
     events = []
     for row in range(targets + sources):
@@ -55,10 +57,25 @@ def test_recovery_choice_and_its_thinning(spark, seed, targets, sources):
     want = greedy(events)
     plain = recovery._serve_groups(df)
     assert {(r.target_row, r.source_row) for r in plain.collect()} == want
-    thinned = recovery._thinned(df.withColumn("shards", F.lit(3))).drop("shards")
-    assert thinned.count() <= df.count()
-    got = recovery._serve_groups(thinned).collect()
-    assert {(r.target_row, r.source_row) for r in got} == want
+    for block_rows in (7, 30):
+        got = recovery._paired_in_blocks(df, block_rows, Run())
+        assert {(r.target_row, r.source_row) for r in got.collect()} == want
+
+
+def test_blocks_follow_the_order_of_their_group(spark):
+    rng = random.Random(5)
+    events = [(rng.choice(["hot"] * 9 + ["cold"]), rng.random() < 0.5, minute(rng.randrange(9)), None, None, None, "DAT DEP", row) for row in range(300)]
+    placed = recovery.in_blocks(spark.createDataFrame(events, EVENT), 40).collect()
+    for group in ("hot", "cold"):
+        own = sorted((r for r in placed if r.group == group), key=lambda r: (r["at"], not r.is_target, -r.row))
+        assert [r.block for r in own] == [i // 40 for i in range(len(own))]
+
+
+def test_only_targets_that_a_block_can_serve_are_carried(spark):
+    waiting = spark.createDataFrame([("g", True, minute(0), r, None, None, "D", i) for i, r in enumerate([None, "A", "A", "B", None, "A"])], EVENT)
+    sources = spark.createDataFrame([("g", False, minute(1), r, None, None, "D", 9 + i) for i, r in enumerate(["A", "C"])], EVENT)
+    for salts in (1, 3):
+        assert {r.row for r in recovery.carried(waiting, sources, salts).collect()} == {0, 4, 1}
 
 
 def test_nearest_matches_brute_force(spark):
@@ -120,14 +137,39 @@ def test_best_candidate_equals_the_best_of_all_pairs(sides):
     assert choices(best_candidates(*sides, rules)) == every
 
 
+@pytest.mark.parametrize("rules", [MatchRules.of(30), MatchRules.of(45, ["REGULER"]), MatchRules.of(7.5, None, False)])
+def test_audit_counts_equal_those_of_all_pairs(sides, rules):
+    pairs = evaluate(preferred_lookup(candidate_pairs(*sides, rules.tolerance_minutes)), rules)
+    late = F.col("time_difference")
+    kind = (
+        F.when(F.col("r_special"), "special").when(F.col("invalid_status"), "invalid_status").when(F.col("r_at").isNull(), "no_time")
+        .when(F.col("date_mismatch"), "wrong_date").when((late <= rules.tolerance_minutes) & ~F.col("register_mismatch"), "matched")
+        .when(late <= rules.tolerance_minutes, "register_mismatch").when(late <= 120, "late").otherwise("far"))
+    listed = pairs.withColumn("kind", kind).groupBy("l_data", "l_row").pivot("kind", list(COUNTS[1:])).count().fillna(0)
+    want = {(r.l_data, r.l_row): tuple(r[c] for c in COUNTS[1:]) for r in listed.collect()}
+    got = audit_counts(*sides, rules).collect()
+    assert len(got) == sides[0].count() and all(r.candidates == sum(r[c] for c in COUNTS[1:]) for r in got)
+    assert {(r.l_data, r.l_row): tuple(r[c] for c in COUNTS[1:]) for r in got if r.candidates} == want
+    assert len({k for counts in want.values() for k, n in zip(COUNTS[1:], counts) if n}) >= 7
+
+
+def test_counted_between_bounds(spark):
+    rng = random.Random(3)
+    refs = [(rng.choice("ab"), minute(rng.randrange(50)), rng.randint(1, 3)) for _ in range(60)]
+    asked = [(rng.choice("abc"), minute(a), minute(a + rng.randrange(20))) for a in rng.choices(range(50), k=40)]
+    got = counted(spark.createDataFrame(asked + asked[:5], "g string, lo timestamp_ntz, hi timestamp_ntz"),
+                  spark.createDataFrame(refs, "g string, at timestamp_ntz, n long"), ["g"]).collect()
+    assert {(r.g, r.lo, r.hi): r.n for r in got} == {a: sum(n for g, t, n in refs if g == a[0] and a[1] <= t <= a[2]) for a in asked}
+
+
 def test_looked_at_equals_the_rows_of_all_pairs(sides):
     pairs = {r.r_row for r in candidate_pairs(*sides, 30).select("r_row").distinct().collect()}
     assert {r.r_row for r in looked_at(*sides, 30).collect()} == pairs
     assert 0 < len(pairs) < 150
 
 
-def test_recovery_in_one_and_in_many_shards(spark):
-    """Pairs do not depend on how many shards a group has."""
+def test_recovery_in_one_and_in_many_blocks(spark):
+    """Pairs do not depend on how many blocks a group has."""
     from ledgerline.plans.reconcile import reconcile_dat_vs_stream
 
     rows = []
@@ -147,6 +189,6 @@ def test_recovery_in_one_and_in_many_shards(spark):
 
     plain = pairs()
     assert 10 < len(plain) <= 30
-    assert pairs(shard_rows=5) == plain == pairs(mode="none") == pairs(mode="none", shard_rows=20)
+    assert pairs(block_rows=5) == plain == pairs(mode="none") == pairs(mode="none", block_rows=20)
     filled = recovery.recover_adjacent_date_movements(combined)
     assert filled.where(F.col("DAT_RECOVERY_USED")).count() == filled.where("USED_FOR_RECOVERY").count() == len(plain)

@@ -126,6 +126,13 @@ def on_one_flight(events: DataFrame) -> DataFrame:
     return events.withColumns({"flight": flight, "ades": F.lit("H0")})
 
 
+def reconcile_one_flight(spark: SparkSession, sf_dir: str) -> Reconciliation:
+    events = on_one_flight(base(spark, sf_dir))
+    return reconcile_dat_vs_stream(
+        raw_records(events, True), raw_records(events, False), raw_billing(events), row_col="row"
+    )
+
+
 # Typed counterparts -----------------------------------------------------------------
 SQL_EVENTS = """
 ev AS (

@@ -9,11 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from ledgerline.constants import MODE_SPECIAL
 from ledgerline.functions import times
 from ledgerline.functions.text import field
-from ledgerline.operators import dedup, evaluate as ev, extra as extra_ops, filters, instances, keys, lookup, outputs, recovery
+from ledgerline.operators import auditcounts, dedup, evaluate as ev, extra as extra_ops, filters, instances, keys, lookup, outputs, recovery
 from ledgerline.operators.summary import reason_histogram
-from ledgerline.operators.best import best_candidates
 from ledgerline.plans.reconcile import Reconciliation, reconcile_dat_vs_stream
-from ledgerline.plans.staging import release
 from ledgerline.sources.delimited import read_source_csv
 from ledgerline.sources.sinks import report_tables, write_csv, write_report
 from workload import movements
@@ -26,6 +24,11 @@ def _shared(application: str, sf_dir: str) -> Reconciliation:
     return reconcile_events(SparkSession.active(), sf_dir)
 
 
+@lru_cache(maxsize=4)
+def _one_flight(application: str, sf_dir: str) -> Reconciliation:
+    return movements.reconcile_one_flight(SparkSession.active(), sf_dir)
+
+
 def reconciled(spark: SparkSession, sf_dir: str) -> Reconciliation:
     """One reconciliation per session and scale; its result tables share the staged steps."""
     return _shared(spark.sparkContext.applicationId, sf_dir)
@@ -33,6 +36,7 @@ def reconciled(spark: SparkSession, sf_dir: str) -> Reconciliation:
 
 def forget() -> None:
     _shared.cache_clear()
+    _one_flight.cache_clear()
 
 
 def _names(**columns: str | Column) -> list[Column]:
@@ -110,10 +114,8 @@ RECOVERY_PAIRS = sql("SELECT tsrc AS target_data, trow AS target_row, tsrc AS so
 
 
 def recovery_one_flight(spark, sf_dir):
-    """The same choice where one flight holds nearly all movements, in shards of 20 events."""
-    events = movements.on_one_flight(movements.base(spark, sf_dir))
-    sides = (movements.raw_records(events, True), movements.raw_records(events, False), movements.raw_billing(events))
-    return recovery.recovery_pairs(reconcile_dat_vs_stream(*sides, row_col="row").combined, shard_rows=20)
+    """The same choice where one flight holds nearly all movements, in blocks of 20 events."""
+    return recovery.recovery_pairs(_one_flight(spark.sparkContext.applicationId, sf_dir).combined, block_rows=20)
 
 
 RECOVERY_ONE_FLIGHT = sql(
@@ -337,11 +339,13 @@ def best_candidate(spark, sf_dir):
 
 
 def best_candidate_dense(spark, sf_dir):
-    """The same choice with every key group treated as a hot one: no pairs are listed."""
-    return _choice(best_candidates(*reconciled(spark, sf_dir).sides))
+    """The same choice where one flight holds nearly all movements."""
+    return _choice(_one_flight(spark.sparkContext.applicationId, sf_dir).best)
 
 
 BEST_CANDIDATE = sql("SELECT src, row, rrow AS r_row, mode, date_used, diff AS time_difference FROM sel")
+BEST_CANDIDATE_DENSE = sql(
+    "SELECT src, row, rrow AS r_row, mode, date_used, diff AS time_difference FROM sel", events=movements.SQL_ONE_FLIGHT)
 
 OUTCOME = dict(
     **ID, **ROUTE, register="AC REGISTER", moved_on="ACTUAL MOVEMENT DATE", atd_text="ATD", ata_text="ATA",
@@ -436,6 +440,25 @@ SELECT p.src, p.row, 'STREAM CANDIDATE NOT SELECTED' AS status, 'LOWER PRIORITY
 FROM placed p JOIN decided d ON d.src = p.src AND d.row = p.row WHERE p.place > 1"""
 
 
+def audit_counts(spark, sf_dir):
+    """What the audit lists, as numbers: candidates of every kind for each record, without the pairs."""
+    r = reconciled(spark, sf_dir)
+    return r.audit_counts.withColumnsRenamed({"l_data": "src", "l_row": "row"})
+
+
+_PLAIN = "NOT o.special AND NOT o.invalid AND o.rmoved IS NOT NULL"
+AUDIT_COUNTS_SQL = f"""
+SELECT l.src, l.row, count(o.rrow) AS candidates, count(o.rrow) FILTER (WHERE o.special) AS special,
+       count(o.rrow) FILTER (WHERE NOT o.special AND o.invalid) AS invalid_status,
+       count(o.rrow) FILTER (WHERE NOT o.special AND NOT o.invalid AND o.rmoved IS NULL) AS no_time,
+       count(o.rrow) FILTER (WHERE {_PLAIN} AND o.datemis) AS wrong_date,
+       count(o.rrow) FILTER (WHERE {_PLAIN} AND NOT o.datemis AND o.diff <= 30 AND NOT o.regmis) AS matched,
+       count(o.rrow) FILTER (WHERE {_PLAIN} AND NOT o.datemis AND o.diff <= 30 AND o.regmis) AS register_mismatch,
+       count(o.rrow) FILTER (WHERE {_PLAIN} AND NOT o.datemis AND o.diff > 30 AND o.diff <= 120) AS late,
+       count(o.rrow) FILTER (WHERE {_PLAIN} AND NOT o.datemis AND o.diff > 120) AS far
+FROM l LEFT JOIN one o ON o.src = l.src AND o.row = l.row GROUP BY l.src, l.row"""
+
+
 def audit_union(spark, sf_dir):
     return reconciled(spark, sf_dir).audit_detail.select(*_names(
         **ID, status="STATUS", reason="MATCH_REASON", validasi="VALIDASI", mode="STREAM MATCH MODE",
@@ -628,6 +651,55 @@ REPORT_ROWS_SQL = "\nUNION ALL ".join(
         ("Extra in Stream", "'STREAM'", "", "extra"), ("Duplicate DAT", "src", "src, ", "resolved WHERE NOT selected")))
 
 
+REPORT_CONTENTS_OF = ("Summary", "Validasi", "Missing in Stream", "Audit Detail", "Excluded Non-Billable")
+
+
+def report_contents(spark, sf_dir):
+    """What the files of the other datasets say, and whether their rows are as many as the manifest has."""
+    folder = scratch(spark, "report")
+    paths = write_report(reconciled(spark, sf_dir), folder, sheets=REPORT_CONTENTS_OF)
+    counted = spark.read.parquet(f"{folder}/Manifest").select(F.col("dataset").alias("_dataset"), F.col("rows").alias("_rows"))
+    texts = {
+        "Summary": ("METRIC", "VALUE"),
+        "Validasi": ("FLIGHT NUMBER", "AERODROME", "TO FROM", "D/A/L/O", "VALIDASI", "MATCH_REASON", "STREAM MATCH MODE"),
+        "Missing in Stream": ("FLIGHT NUMBER", "AERODROME", "TO FROM", "D/A/L/O", "VALIDASI", "STATUS", "MATCH_REASON", "DAT MOVEMENT DATETIME"),
+        "Audit Detail": ("SOURCE DATA", "SOURCE ROW", "STATUS", "MATCH_REASON", "STREAM SOURCE ROW", "STREAM VALIDATION RESULT"),
+        "Excluded Non-Billable": ("SOURCE DATA", "SOURCE ROW", "FLIGHT NUMBER", "STATUS", "MATCH_REASON"),
+    }
+    parts = []
+    for path in paths:
+        name = path.rsplit("/", 1)[1]
+        text = F.concat_ws(" | ", *[F.coalesce(field(c).cast("string"), F.lit("")) for c in texts[name]])
+        parts.append(spark.read.parquet(path).groupBy(F.lit(name).alias("dataset"), text.alias("content")).agg(F.count("*").alias("copies")))
+    every = reduce(DataFrame.unionByName, parts)
+    sums = every.groupBy(F.col("dataset").alias("_of")).agg(F.sum("copies").alias("_sum"))
+    checked = counted.join(sums, F.col("_dataset") == F.col("_of")).select("_dataset", (F.col("_rows") == F.col("_sum")).alias("as_in_manifest"))
+    return every.join(checked, F.col("dataset") == F.col("_dataset")).drop("_dataset")
+
+
+def _contents(dataset: str, rows: str, *texts: str) -> str:
+    content = " || ' | ' || ".join(f"coalesce(CAST({t} AS VARCHAR), '')" for t in texts)
+    return f"SELECT '{dataset}' AS dataset, {content} AS content, count(*) AS copies, true AS as_in_manifest FROM {rows} GROUP BY ALL"
+
+
+def _report_contents_sql() -> str:
+    excluded = "'FLIGHT NUMBER MATCHES INTERNAL/NON-BILLABLE RULE'"
+    moved = "strftime(moved, '%Y-%m-%d %H:%M')"
+    mode = "coalesce(mode, 'NO STREAM MATCH')"
+    return "\nUNION ALL ".join([
+        _contents("Summary", f"({SUMMARY_TABLE_SQL})", '"METRIC"', '"VALUE"'),
+        _contents("Validasi", "decided WHERE validasi = 'ADA DI DAT TIDAK ADA DI STREAM'", "flight", "adep", "ades", "move", "validasi", "why", mode),
+        _contents("Missing in Stream", "decided WHERE outcome = 'MISSING IN STREAM'", "flight", "adep", "ades", "move", "validasi", "outcome", "why", moved),
+        _contents("Audit Detail", "decided", "src", "row", "outcome", "why", "rrow", "coalesce(vres, 'STREAM NOT FOUND')"),
+        _contents("Audit Detail", "placed p JOIN decided d ON d.src = p.src AND d.row = p.row WHERE p.place > 1", "p.src", "p.row",
+                  "'STREAM CANDIDATE NOT SELECTED'", "'LOWER PRIORITY STREAM CANDIDATE'", "p.rrow", "'NOT SELECTED / ' || p.vres"),
+        _contents("Audit Detail", "extra", "'STREAM'", "row", "'EXTRA IN STREAM'", "'DAT NOT FOUND'", "''", "'DAT NOT FOUND'"),
+        _contents("Audit Detail", "resolved WHERE NOT selected", "src", "row", "'DUPLICATE DAT'", "reason", "''", "'NOT APPLICABLE'"),
+        _contents("Excluded Non-Billable", "stdm WHERE excluded", "src", "row", "flight", "'EXCLUDED NON-BILLABLE'", excluded),
+        _contents("Excluded Non-Billable", "bil1 WHERE excluded", "'STREAM'", "row", "flight", "'EXCLUDED NON-BILLABLE'", excluded),
+    ])
+
+
 def index_groups(spark, sf_dir):
     """Billing rows per lookup key."""
     _, others = reconciled(spark, sf_dir).sides
@@ -674,7 +746,7 @@ QUERIES = {
     "candidate_evaluation": (candidate_evaluation, CANDIDATE_EVALUATION),
     "best_per_pair": (best_per_pair, BEST_PER_PAIR),
     "best_candidate": (best_candidate, BEST_CANDIDATE),
-    "best_candidate_dense": (best_candidate_dense, BEST_CANDIDATE),
+    "best_candidate_dense": (best_candidate_dense, BEST_CANDIDATE_DENSE),
     "classify_outcomes": (classify_outcomes, sql(OUTCOME_SQL)),
     "ingest_outcomes": (ingest_outcomes, sql(OUTCOME_SQL)),
     "matched": (matched, _outcomes("status = 'MATCHED'")),
@@ -689,9 +761,11 @@ QUERIES = {
     "looked_at": (looked_at, sql("SELECT DISTINCT rrow AS r_row FROM pair0")),
     "report_sink": (report_sink, sql(REPORT_SINK_SQL)),
     "report_rows": (report_rows, sql(REPORT_ROWS_SQL)),
+    "report_contents": (report_contents, _with_summary(_report_contents_sql())),
     "extra_rows": (extra_rows, sql(EXTRA_SQL)),
     "not_selected": (not_selected, sql(NOT_SELECTED_SQL)),
     "audit_union": (audit_union, sql(AUDIT_SQL)),
+    "audit_counts": (audit_counts, sql(AUDIT_COUNTS_SQL)),
     "reconcile_summary": (reconcile_summary, sql(SUMMARY_SQL)),
     "summary_table": (summary_table, _with_summary(SUMMARY_TABLE_SQL)),
     "reason_hist": (reason_hist, sql(REASON_SQL)),
