@@ -56,7 +56,7 @@ def html_tokens(files: DataFrame) -> DataFrame:
 
 def html_rows(files: DataFrame) -> DataFrame:
     """Every row of every top-level table of files (``path``, ``content``):
-    (path, table_no, row_no, is_header, cells)."""
+    (path, table_no, row_no, is_header, cells). A table that is never closed has no rows."""
     order = Window.partitionBy("path").orderBy("at")
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
     tag = F.col("tag")
@@ -69,6 +69,9 @@ def html_rows(files: DataFrame) -> DataFrame:
         "table_no": F.count_if((tag == "table") & top).over(upto),
         "row_no": F.count_if((tag == "tr") & top).over(upto),
     })
+    # Only the last table of a file can stay open, where the file is cut off: it is no table then.
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    tokens = tokens.withColumn("closed", (F.last("depth").over(whole) == 0) | (F.col("table_no") < F.last("table_no").over(whole)))
     row = Window.partitionBy("path", "row_no").orderBy("at")
     so_far, earlier = row.rowsBetween(Window.unboundedPreceding, 0), row.rowsBetween(Window.unboundedPreceding, -1)
     row_ends = (tag == "/tr") & top
@@ -78,7 +81,7 @@ def html_rows(files: DataFrame) -> DataFrame:
     cell_ends = tag.isin("/td", "/th") & top
     tokens = tokens.withColumns({
         "ended": F.coalesce(F.count_if(cell_ends).over(cell), F.lit(0)) > 0,
-        "table_no": F.when(row_ends, F.col("table_no")),
+        "table_no": F.when(row_ends & F.col("closed"), F.col("table_no")),
     })
     raw = F.col("token").rlike(r"(?i)^<(script|style)\b")
     words = F.when(tag == "", F.col("token")).when(raw, F.regexp_replace("token", r"^<[^>]*+>", "")).when(tag == "br", " ")

@@ -152,3 +152,37 @@ def test_uploaded_cells_keep_their_line_breaks(spark, tmp_path):
     assert got == [("4000", 'held at gate, "late"\nthen\n\nleft', 4002), ("4001", "after", 4003), ("5000", 'a "b" c', 4004),
                    ("5001", "last", 4005), ("6000", "one\ntwo", 4006), ("6001", "end", 4007)]
     assert df.count() == 4006
+
+
+def test_long_rows_fail_or_are_rescued(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('A,B\n1,2\n"x, y",3\n1,2,3\n7\n8,\n9,"q"",z",\n')
+    with pytest.raises(Exception, match=r"a\.csv 4 1,2,3"):
+        read_source_csv(spark, str(tmp_path), sep=",").collect()
+    rows = read_source_csv(spark, str(tmp_path), sep=",", rescue="record").orderBy("__row").collect()
+    assert [(r.A, r.B, r["__row"], r.record) for r in rows] == [
+        ("1", "2", 2, ""), ("x, y", "3", 3, ""), ("1", "2", 4, "1,2,3"), ("7", "", 5, "7"), ("8", "", 6, ""), ("9", 'q",z', 7, '9,"q"",z",')]
+    (tmp_path / "a.csv").write_text("A,B\n1,2\n7\n")  # missing cells are no fault
+    assert sorted((r.A, r.B) for r in read_source_csv(spark, str(tmp_path), sep=",").collect()) == [("1", "2"), ("7", "")]
+
+
+def test_headers_with_line_breaks_and_unusual_separators(spark, tmp_path):
+    (tmp_path / "a.csv").write_bytes('"A\nname",B\n1,2\n3,4\n'.encode())
+    df = read_source_csv(spark, str(tmp_path / "a.csv"), sep=",")
+    assert df.columns[1] == "B" and df.columns[0].split() == ["A", "name"] and len(df.columns) == 4
+    assert [tuple(r)[:2] for r in df.orderBy("__row").collect()] == [("1", "2"), ("3", "4")]
+    (tmp_path / "b.csv").write_bytes("A\u2028x,B\u0085y\n1,2\n".encode())
+    assert len(read_source_csv(spark, str(tmp_path / "b.csv"), sep=",").columns) == 4
+    wide = ",".join(f"column number {i}" for i in range(6000))
+    (tmp_path / "c.csv").write_text(f"{wide}\n" + ",".join("7" * 6000) + "\n")
+    assert len(wide) > 65536
+    assert len(read_source_csv(spark, str(tmp_path / "c.csv"), sep=",").columns) == 6002
+
+
+def test_tables_that_are_never_closed_are_no_tables(spark, tmp_path):
+    head = "<table><tr><th>K</th></tr>"
+    (tmp_path / "a.xls").write_text(f"<html>{head}<tr><td>closed</td></tr></table>{head}<tr><td>1</td></tr><tr><td>2</td></tr>")
+    df, _ = read_uploaded_table(spark, str(tmp_path))
+    assert [r["K"] for r in df.collect()] == ["closed"]
+    (tmp_path / "b.xls").write_text(f"<html>{head}<tr><td>1</td></tr><tr><td>2</td></tr>")
+    with pytest.raises(ValueError, match="b.xls"):
+        read_uploaded_table(spark, str(tmp_path))

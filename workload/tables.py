@@ -323,6 +323,64 @@ def uploaded_table(spark, sf_dir):
     return scanned.select(F.col("p_partkey").cast("bigint").alias("p_partkey"), "p_name", "p_type", F.lit(label).alias("label"))
 
 
+def csv_ragged(spark, sf_dir):
+    """Parts as an exporter with faults writes them: rows with a cell too many or two too few, and rows torn inside a quote."""
+    path = scratch(spark, "ragged")
+    key, name, size = F.col("p_partkey").cast("string"), F.col("p_name"), F.col("p_size").cast("string")
+    kind = F.col("p_partkey") % 7
+    line = F.when(kind == 0, F.concat_ws(",", key, name, size, F.lit('"late, cell"'))).when(kind == 1, key).when(
+        kind == 2, F.concat(key, F.lit(',"torn '), name)).otherwise(F.concat_ws(",", key, F.concat(F.lit('"'), name, F.lit(', ""new"""')), size))
+    lines = table(spark, sf_dir, "part").select(line.alias("p_partkey,p_name,p_size"))
+    lines.write.csv(path, header=True, sep="\x01", quote="", escapeQuotes=False)
+    scanned = read_source_csv(spark, path, sep=",", rescue="record")
+    return scanned.select(F.col("p_partkey").cast("bigint").alias("p_partkey"), F.when(F.col("record") == "", F.col("p_name")).alias("p_name"),
+                          F.when(~F.col("record").contains("torn"), F.col("p_size")).alias("p_size"), "record")
+
+
+CSV_RAGGED = """
+SELECT p_partkey, CASE WHEN p_partkey % 7 > 2 THEN p_name || ', "new"' END AS p_name,
+       CASE p_partkey % 7 WHEN 1 THEN '' WHEN 2 THEN NULL ELSE CAST(p_size AS VARCHAR) END AS p_size,
+       CASE p_partkey % 7 WHEN 0 THEN p_partkey || ',' || p_name || ',' || p_size || ',"late, cell"' WHEN 1 THEN CAST(p_partkey AS VARCHAR)
+            WHEN 2 THEN p_partkey || ',"torn ' || p_name ELSE '' END AS record
+FROM part"""
+
+
+def html_cut(spark, sf_dir):
+    """Every customer's orders as an HTML report of two tables; of a third of the reports the end is missing, so that their
+    second table, the one with more rows, is never closed."""
+    orders = row_numbers.spread(table(spark, sf_dir, "orders"))
+    body = F.concat(F.lit("<tr><td>"), F.col("o_orderkey"), F.lit("</td><td>"), F.col("o_orderstatus"), F.lit("</td></tr>"))
+    files = orders.groupBy("o_custkey").agg(F.sort_array(F.collect_list(F.struct("o_orderkey", body.alias("tr")))).alias("rows"))
+    head = F.lit("<table><tr><th>KEY</th><th>STATUS</th></tr>")
+    page = F.concat(
+        F.lit("<html>"), head, F.lit("<tr><td>first</td><td>"), F.col("o_custkey"), F.lit("</td></tr></table>"), head,
+        F.array_join(F.transform("rows", lambda r: r["tr"]), ""), F.lit("<tr><td>last</td><td>row</td></tr>"),
+        F.when(F.col("o_custkey") % 3 == 0, F.lit("<tr><td>cut")).otherwise(F.lit("</table></html>")))
+    reports = html_report.read_html_report(
+        files.select(F.col("o_custkey").cast("string").alias("path"), F.encode(page, "UTF-8").alias("content")))
+    return reports.select("path", "row_no", "KEY", "STATUS")
+
+
+HTML_CUT = """
+WITH o AS (SELECT o_custkey, o_orderkey, o_orderstatus, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n,
+                  count(*) OVER (PARTITION BY o_custkey) AS total FROM orders)
+SELECT CAST(o_custkey AS VARCHAR) AS path, CAST(n + 2 AS INTEGER) AS row_no, CAST(o_orderkey AS VARCHAR) AS "KEY", o_orderstatus AS "STATUS"
+FROM o WHERE o_custkey % 3 <> 0
+UNION ALL SELECT CAST(o_custkey AS VARCHAR), CAST(total + 3 AS INTEGER), 'last', 'row' FROM o WHERE n = 1 AND o_custkey % 3 <> 0
+UNION ALL SELECT CAST(o_custkey AS VARCHAR), 1, 'first', CAST(o_custkey AS VARCHAR) FROM o WHERE n = 1 AND o_custkey % 3 = 0"""
+
+
+def file_ordinals(spark, sf_dir):
+    """Orders written in key order as one folder of CSV files and scanned again: the ordinal of every single row."""
+    path = scratch(spark, "ordinals")
+    table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus").orderBy("o_orderkey").write.csv(path, header=True)
+    scanned = read_source_csv(spark, path)
+    return scanned.select(F.col("o_orderkey").cast("bigint").alias("o_orderkey"), F.col("__row").alias("line"))
+
+
+FILE_ORDINALS = "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) + 1 AS line FROM orders"
+
+
 def comparison_sink(spark, sf_dir):
     """The five comparison datasets, written and read back."""
     folder = scratch(spark, "comparison")
@@ -416,6 +474,9 @@ QUERIES = {
     "csv_folder": (csv_folder, CSV_FOLDER),
     "csv_round_trip": (csv_round_trip, "SELECT p_partkey, p_name, p_brand, 'NA' AS p_note FROM part"),
     "uploaded_table": (uploaded_table, "SELECT p_partkey, p_name, p_type, 'Delimited text · utf-8' AS label FROM part"),
+    "csv_ragged": (csv_ragged, CSV_RAGGED),
+    "html_cut": (html_cut, HTML_CUT),
+    "file_ordinals": (file_ordinals, FILE_ORDINALS),
     "comparison_sink": (comparison_sink, COMPARISON_SINK),
     "comparison_rows": (comparison_rows, COMPARISON_ROWS),
     "compare_shared": (compare_shared, COMPARE_SHARED),
