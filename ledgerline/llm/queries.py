@@ -46,7 +46,7 @@ def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     per_doc = best.groupBy(F.col("doc_id").alias("_id")).agg(
         F.count(F.lit(1)).alias("n_matches"), F.max("dice").alias("best_dice"),
         F.array_join(F.sort_array(F.collect_set("license")), ",").alias("licenses"))
-    return docs.select("doc_id").join(per_doc, F.col("doc_id") == F.col("_id"), "left").select(
+    return docs.select("doc_id").join(per_doc, F.col("doc_id").eqNullSafe(F.col("_id")), "left").select(
         "doc_id", F.coalesce("n_matches", F.lit(0)).alias("n_matches"), F.coalesce("best_dice", F.lit(0.0)).alias("best_dice"),
         F.coalesce("licenses", F.lit("")).alias("licenses"))
 

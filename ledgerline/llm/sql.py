@@ -62,8 +62,8 @@ best AS (
 per_doc AS (
   SELECT doc_id, count(*) AS n_matches, max(dice) AS best_dice, string_agg(DISTINCT license, ',' ORDER BY license) AS licenses
   FROM best GROUP BY doc_id)
-SELECT doc_id, coalesce(n_matches, 0) AS n_matches, coalesce(best_dice, 0.0::DOUBLE) AS best_dice, coalesce(licenses, '') AS licenses
-FROM documents LEFT JOIN per_doc USING (doc_id)
+SELECT documents.doc_id, coalesce(n_matches, 0) AS n_matches, coalesce(best_dice, 0.0::DOUBLE) AS best_dice, coalesce(licenses, '') AS licenses
+FROM documents LEFT JOIN per_doc ON documents.doc_id IS NOT DISTINCT FROM per_doc.doc_id
 """
 
 TOP_K = """

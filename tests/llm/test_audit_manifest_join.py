@@ -247,8 +247,9 @@ def test_join_rows_grow_with_a_group_and_not_with_its_square(spark):
     def pairs(n):
         docs = spark.createDataFrame([(i, " ".join([*base, f"own{i}"])) for i in range(n)], "doc_id long, text string")
         sets = jaccardjoin.token_sets(docs)
-        lists = jaccardjoin.prefix_lists(sets, sets.select("row"), 90)
-        stars = jaccardjoin.verified(jaccardjoin.star_pairs(lists, 90), sets, 90)
+        heads = jaccardjoin.distinct_sets(sets)
+        lists = jaccardjoin.prefix_lists(sets, heads, 90)
+        stars = jaccardjoin.verified(jaccardjoin.star_pairs(lists, 90), docs, sets, heads, 90)
         return stars.count(), jaccardjoin.open_pairs(lists, jaccardjoin.components(stars), 90).count()
     assert pairs(40) == (39, 0)
     assert pairs(120) == (119, 0)

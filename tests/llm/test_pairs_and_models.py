@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 
 import numpy as np
@@ -253,3 +254,79 @@ def test_word_hashes_do_not_depend_on_pieces(monkeypatch):
     monkeypatch.setattr(toxicity, "PIECE", 100)
     assert np.array_equal(toxicity.features(text), whole)
     assert len(toxicity.features("a b c")) == 3 * 1 + 2 + 1 + 9 and len(toxicity.features(None)) == 0
+
+
+def scalar_ftrl(rows, passes):
+    """FTRL-proximal as its authors write it, a coordinate at a time; the last coordinate is the bias."""
+    z, n = {}, {}
+
+    def weight(i):
+        if i != "bias" and abs(z.get(i, 0.0)) <= toxicity.L1:
+            return 0.0
+        shrunk = z.get(i, 0.0) - (0.0 if i == "bias" else math.copysign(toxicity.L1, z[i]))
+        return -shrunk / ((toxicity.BETA + math.sqrt(n.get(i, 0.0))) / toxicity.ALPHA + (0.0 if i == "bias" else toxicity.L2))
+
+    def bias():
+        return -z.get("bias", 0.0) / ((toxicity.BETA + math.sqrt(n.get("bias", 0.0))) / toxicity.ALPHA + toxicity.L2)
+    for _ in range(passes):
+        for x, label in rows:
+            w = {i: weight(i) for i in x} | {"bias": bias()}
+            g = 1 / (1 + math.exp(-sum(w.values()))) - label
+            for i, own in w.items():
+                sigma = (math.sqrt(n.get(i, 0.0) + g * g) - math.sqrt(n.get(i, 0.0))) / toxicity.ALPHA
+                z[i], n[i] = z.get(i, 0.0) + g - sigma * own, n.get(i, 0.0) + g * g
+    return {i: weight(i) for i in z if i != "bias" and weight(i)}, bias()
+
+
+def test_fit_is_ftrl_of_the_scalar_form(spark):
+    rng = random.Random(6)
+    rows, labels = [], []
+    for i in range(250):
+        toxic = rng.random() < 0.4
+        rows.append((i, " ".join(rng.choice(["vile", "rotten"] if toxic and rng.random() < 0.3 else ["calm", "plain", "word", "text"]) for _ in range(20))))
+        labels.append((i, int(toxic)))
+    at, w, bias = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    want, want_bias = scalar_ftrl([(toxicity.features(t).tolist(), label) for (_, t), (_, label) in zip(rows, labels, strict=True)], toxicity.ROUNDS)
+    assert len(want) > 5 and bias == pytest.approx(want_bias, rel=1e-3, abs=1e-4)
+    got = dict(zip(at.tolist(), w.tolist(), strict=True))
+    assert all(got.get(i, 0.0) == pytest.approx(want.get(i, 0.0), rel=1e-2, abs=1e-3) for i in {*got, *want})
+
+
+def test_newton_finds_the_minimum_of_the_pairs_loss():
+    rng = np.random.default_rng(1)
+    d = rng.normal(size=(300, 4)) + np.array([0.7, -0.4, 0.0, 0.1])
+    w = quality.newton(d).tolist()
+
+    def loss(w):  # how unlikely every preference is, and the ridge
+        pairs = [math.log1p(math.exp(-sum(a * b for a, b in zip(row, w, strict=True)))) for row in d.tolist()]
+        return sum(pairs) / len(pairs) + quality.RIDGE / 2 * sum(x * x for x in w)
+    for i in range(4):
+        for step in (1e-3, -1e-3):
+            assert loss([x + step * (i == k) for k, x in enumerate(w)]) > loss(w)
+    descended = [0.0] * 4
+    for _ in range(400):  # plain gradient descent ends at the same place
+        gradient = [quality.RIDGE * x for x in descended]
+        for row in d.tolist():
+            p = 1 / (1 + math.exp(sum(a * b for a, b in zip(row, descended, strict=True))))
+            gradient = [g - p * x / len(d) for g, x in zip(gradient, row, strict=True)]
+        descended = [x - 0.5 * g for x, g in zip(descended, gradient, strict=True)]
+    assert descended == pytest.approx(w, abs=1e-3)
+
+
+def test_scores_are_the_model_of_the_features(spark):
+    docs, labels, _ = classified(spark, 200)
+    mean, scale, w, threshold = model = quality.fit(docs, labels)
+    for r in quality.score(docs.where("length(text) < 10000 OR text IS NULL"), model).collect():
+        x = quality.features(r.text).tolist()
+        s = sum((v - m) / c * k for v, m, c, k in zip(x + [v * v for v in x], mean, scale, w, strict=True)) - threshold
+        assert r.score == pytest.approx(1 / (1 + math.exp(-max(-30, min(30, s)))), abs=1e-9)
+
+
+def test_an_id_that_holds_a_third_of_the_rows_teaches_once(spark):
+    rows = [(i, f"text {i} " + ("vile" if i % 2 else "calm")) for i in range(60)] + [(7, f"hot text {i} vile") for i in range(15)] + [(7, "hot text")] * 15
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(60)], "doc_id long, quality int, toxic int")
+    taught = toxicity.training_rows(docs, labels).collect()
+    assert len(taught) == 60 and [r for r in taught if r.doc_id == 7][0].label == 1
+    assert sorted(toxicity.training_rows(docs.repartition(2), labels).collect()) == sorted(taught)
+    assert toxicity.toxicity(docs, labels).count() == quality.quality(docs, labels).count() == len(rows)

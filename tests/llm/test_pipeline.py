@@ -202,3 +202,10 @@ def test_held_out_labels_teach_nothing(spark, folder, tmp_path, query, label, pa
     labels.withColumn(label, flipped).write.parquet(f"{tmp_path}/labels.parquet")
     again = query(spark, str(tmp_path)).select("doc_id", "score").collect()
     assert {(r.doc_id, round(r.score, 9)) for r in again} == {(r.doc_id, round(r.score, 9)) for r in got}
+
+
+def test_license_query_keeps_documents_without_an_id(spark, tmp_path):
+    rows = [(1, "All rights reserved.", "en", "s", 1, 1, "x", 1, "p"), (2, None, None, None, None, None, None, None, None)]
+    folder = written(spark, tmp_path / "licenses", rows + [(None, "All rights reserved.", *rows[0][2:])], [], [])
+    got = {(r.doc_id, r.n_matches, r.licenses) for r in queries.license_scan(spark, folder).collect()}
+    assert got == {(1, 1, "proprietary"), (2, 0, ""), (None, 1, "proprietary")}
