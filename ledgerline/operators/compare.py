@@ -93,6 +93,16 @@ def align(source: DataFrame, actual: DataFrame, keys: Sequence[str]) -> DataFram
     )
 
 
+def shared_rows(prepared: DataFrame, other: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows of ``prepared`` whose key and occurrence the other prepared side has as well, as they are."""
+    names = [f"key_{k}" for k in keys]
+    ids = other.select(*[F.col(n).alias(f"_{n}") for n in names], F.col("_scope").alias("_other"), F.col("occurrence").alias("_nth"))
+    same = (F.col("_scope") == F.col("_other")) & (F.col("occurrence") == F.col("_nth"))
+    for n in names:
+        same = same & F.col(n).eqNullSafe(F.col(f"_{n}"))
+    return prepared.join(ids, same, "left_semi")
+
+
 def matched_rows(aligned: DataFrame) -> DataFrame:
     return aligned.where(F.col(f"source_{ROW}").isNotNull() & F.col(f"actual_{ROW}").isNotNull())
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -25,8 +26,8 @@ def nearest(
     ``rank`` and ``carry`` or is NULL. ``with_totals`` also adds ``found``, the number of
     references in the group, and ``any``, one of them.
 
-    One shuffle of probes plus references and two sorted passes: the cost is linear in
-    the rows, never the product of a group's sides.
+    One shuffle of probes plus references and two sorted passes (totals are an aggregate of their own): the cost is
+    linear in the rows, never the product of a group's sides.
     """
     payload = [*rank, *carry]
     extra = [c for c in probes.columns if c not in by and c != at]
@@ -48,16 +49,16 @@ def nearest(
     ahead = Window.partitionBy(*by).orderBy(F.col(at).asc(), is_reference.desc()).rowsBetween(*passed)
     back = Window.partitionBy(*by).orderBy(F.col(at).desc(), is_reference.desc()).rowsBetween(*passed)
     seen = both.withColumn("_before", F.max(key(1)).over(ahead)).withColumn("_after", F.max(key(-1)).over(back))
-    totals = []
-    if with_totals:
-        group = Window.partitionBy(*by)
-        seen = seen.withColumns({
-            "found": F.count("_reference").over(group), "any": F.max("_reference").over(group),
-        })
-        totals = ["found", "any"]
     has_time = F.col(at).isNotNull()
-    return seen.where(F.col("_probe").isNotNull()).select(
+    found = seen.where(F.col("_probe").isNotNull()).select(
         *by, at, *[F.col("_probe")[c].alias(c) for c in extra],
         F.when(has_time, F.col("_before").dropFields("_order")).alias("before"),
-        F.when(has_time, F.col("_after").dropFields("_order")).alias("after"), *totals,
+        F.when(has_time, F.col("_after").dropFields("_order")).alias("after"),
     )
+    if not with_totals:
+        return found
+    # Aggregated before the shuffle and picked up in a many-to-one join: no group is held in one task.
+    totals = references.groupBy(*[F.col(c).alias(f"_of_{c}") for c in by]).agg(
+        F.count("*").alias("_found"), F.max(F.struct(*payload)).alias("any"))
+    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in by])
+    return found.join(totals, same, "left").select(*found.columns, F.coalesce("_found", F.lit(0)).alias("found"), "any")

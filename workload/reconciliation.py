@@ -651,6 +651,21 @@ REPORT_ROWS_SQL = "\nUNION ALL ".join(
         ("Extra in Stream", "'STREAM'", "", "extra"), ("Duplicate DAT", "src", "src, ", "resolved WHERE NOT selected")))
 
 
+def ordered_excluded(spark, sf_dir):
+    """Excluded rows written in their own order: the place of each within its side and day, as the files have it."""
+    folder = scratch(spark, "excluded")
+    path, = write_report(reconciled(spark, sf_dir), folder, sheets=["Excluded Non-Billable"])
+    within = Window.partitionBy("src", "dof").orderBy("file", "at")
+    return _placed_rows(spark, path).select(
+        "src", "row", "flight", (F.row_number().over(within) - 1).cast("bigint").alias("place"))
+
+
+_EXCLUDED_PLACE = "row_number() OVER (PARTITION BY dof ORDER BY flight, row) - 1 AS place"
+ORDERED_EXCLUDED = sql("\nUNION ALL ".join(
+    f"SELECT {src} AS src, row, flight, {place} FROM {rows} WHERE excluded" for src, place, rows in (
+        ("src", _EXCLUDED_PLACE.replace("BY dof", "BY src, dof", 1), "stdm"), ("'STREAM'", _EXCLUDED_PLACE, "bil1"))), 3)
+
+
 REPORT_CONTENTS_OF = ("Summary", "Validasi", "Missing in Stream", "Audit Detail", "Excluded Non-Billable")
 
 
@@ -761,6 +776,7 @@ QUERIES = {
     "looked_at": (looked_at, sql("SELECT DISTINCT rrow AS r_row FROM pair0")),
     "report_sink": (report_sink, sql(REPORT_SINK_SQL)),
     "report_rows": (report_rows, sql(REPORT_ROWS_SQL)),
+    "ordered_excluded": (ordered_excluded, ORDERED_EXCLUDED),
     "report_contents": (report_contents, _with_summary(_report_contents_sql())),
     "extra_rows": (extra_rows, sql(EXTRA_SQL)),
     "not_selected": (not_selected, sql(NOT_SELECTED_SQL)),

@@ -434,8 +434,7 @@ def compare_shared(spark, sf_dir):
             ops.canonicalize(df, detect_mapping(c for c in df.columns if c != "row"), "row"), list(KEYS), side
         ) for df, side in ((source, "SOURCE"), (actual, "ACTUAL"))
     ]
-    ids = [*[f"key_{k}" for k in KEYS], "occurrence", "_scope"]
-    return prepared[0].join(prepared[1].select(*ids), ids, "left_semi").select("__row", "key_flight", "key_ades", "occurrence")
+    return ops.shared_rows(*prepared, KEYS).select("__row", "key_flight", "key_ades", "occurrence")
 
 
 COMPARE_SHARED = f"""WITH {SIDES_SQL}
