@@ -25,6 +25,8 @@ from pyspark.sql import types as T
 from tokenizers import Regex, Tokenizer
 from tokenizers.pre_tokenizers import Split
 
+from ledgerline.llm.common import text_batches
+
 KEPT_WORDS, KEPT_BYTES, ENTRY_BYTES, LONG_FRAGMENT = 300_000, 32 << 20, 200, 40
 #: What Unicode calls white space, and four control characters that only Python takes for it.
 WHITE = "".join(map(chr, [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
@@ -296,7 +298,7 @@ def encode(df: DataFrame, vocabulary: str, text_col: str = "text", ids_col: str
                 part = batch.slice(at, 512)
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], _packed_lists(packed)], [*names, ids_col])
 
-    fed = df.select(*[df[n] for n in names], df[text_col].alias("_llm_text"))
+    fed = text_batches(df).select(*[df[n] for n in names], df[text_col].alias("_llm_text"))
     return fed.mapInArrow(run, T.StructType([*kept, T.StructField(ids_col, T.ArrayType(T.IntegerType(), False))]))
 
 
@@ -339,5 +341,5 @@ def round_trip(df: DataFrame, vocabulary: str, text_col: str = "text") -> DataFr
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns[:-1], ids, pc.list_value_length(ids), pa.array(digests, pa.string()), pa.array(same, pa.bool_())], names)
 
-    fed = df.select(*[df[f.name] for f in kept], df[text_col].alias("_llm_text"))
+    fed = text_batches(df).select(*[df[f.name] for f in kept], df[text_col].alias("_llm_text"))
     return fed.mapInArrow(run, T.StructType([*kept, *added]))

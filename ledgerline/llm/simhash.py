@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerline.llm.common import staged
+from ledgerline.llm.common import staged, text_batches
 from ledgerline.llm.components import components
 
 SEED, BITS = 42, 64
@@ -55,7 +55,7 @@ def fingerprint_of(text: str | None, shingle: int) -> int:
 
 def fingerprints(docs: DataFrame, shingle: int = 4, keep: tuple[Column, ...] = ()) -> DataFrame:
     """doc_id, the columns ``keep``, fp (signed long): a row for each input row; null and empty texts have fingerprint 0."""
-    fed = docs.select("doc_id", *keep, F.col("text").alias("_llm_text"))
+    fed = text_batches(docs).select("doc_id", *keep, F.col("text").alias("_llm_text"))
     fields = fed.schema.fields[:-1]
     names = [*(f.name for f in fields), "fp"]
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerline.llm.common import one_text, staged
+from ledgerline.llm.common import one_text, staged, text_batches
 
 BUCKET_BITS = 18
 MAX_ROWS, SHARD_ROWS, ROUNDS = 24_000, 4_000, 4
@@ -151,7 +151,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, flo
             rows = [features(x.as_py()) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(rows, pa.list_(pa.int32()))], ["doc_id", "label", "x"])
 
-    marked = training_rows(docs, labels)
+    marked = training_rows(text_batches(docs), labels)
     kind = T.StructType([marked.schema["doc_id"], T.StructField("label", T.IntegerType()), T.StructField("x", T.ArrayType(T.IntegerType()))])
     rows = staged(marked.mapInArrow(featured, kind))
     shards = -(-rows.count() // SHARD_ROWS)
@@ -197,7 +197,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], out: str
                 scores.append(_sigmoid(dense[own].sum() + bias))
             yield pa.array(scores, pa.float64())
 
-    return docs.withColumn(out, scored("text"))
+    return text_batches(docs).withColumn(out, scored("text"))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
