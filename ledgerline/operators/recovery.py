@@ -18,6 +18,7 @@ A group above ``BLOCK_ROWS`` events is served block by block in that order, all
 is one task's work. Of the targets that wait when a block begins, a queue (those of one register, or those without)
 can lose at most as many as the block has sources that may serve it, and always its lowest rows: only these are
 carried into the block, so the cut is exact, no side is copied and no task sees more than a block and its carry.
+Blocks follow each other, so smaller ones than ``BLOCK_ROWS`` are widened until the largest group has ``STEPS`` of them.
 """
 
 from __future__ import annotations
@@ -41,6 +42,7 @@ FILLED_COLUMNS = [
 ]
 BAND_START_HOUR, BAND_END_HOUR = 23, 6  # fixed values: 23:00 of D to 06:00 of D+1
 BLOCK_ROWS = 250_000
+STEPS = 8  # blocks of the largest group, where blocks of at most BLOCK_ROWS allow it
 ROW_ID = ["SOURCE DATA", "SOURCE ROW"]
 PAIR_SCHEMA = "target_data string, target_row bigint, source_data string, source_row bigint"
 
@@ -160,6 +162,11 @@ def carried(waiting: DataFrame, sources: DataFrame, salts: int) -> DataFrame:
     return rows.select(*waiting.columns)
 
 
+def step_rows(block_rows: int, largest: int) -> int:
+    """Rows of a block where the largest group has ``largest``: at least ``block_rows``, and no more than ``BLOCK_ROWS`` for fewer steps."""
+    return max(block_rows, min(BLOCK_ROWS, -(-largest // STEPS)))
+
+
 def _paired_in_blocks(events: DataFrame, block_rows: int, run: Run) -> DataFrame:
     """The pairs of groups of any size, a block of every group in each step."""
     placed = run.stage(in_blocks(events, block_rows, run), "recovery-blocks")
@@ -180,16 +187,18 @@ def _paired_in_blocks(events: DataFrame, block_rows: int, run: Run) -> DataFrame
 def recovery_pairs(df: DataFrame, mode: str | Run = TABLE, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """One-to-one pairs (target, source) of the recovery rule.
 
-    Only sources of groups that have a target are kept; the narrow event table is staged.
+    Only sources of groups that have a target are kept; the narrow event table is staged. A group above ``block_rows``
+    events is served in blocks of at least that many (:func:`step_rows`).
     """
     run = Run.of(mode)
     targets, sources = recovery_events(df)
     asked = sources.join(targets.select("group").distinct(), "group", "left_semi")
     events = run.stage(targets.unionByName(asked), "recovery-events")
-    large = events.groupBy(F.col("group").alias("_large")).agg(F.count("*").alias("_rows")).where(
-        F.col("_rows") > block_rows).select("_large")
-    if large.isEmpty():
+    sizes = events.groupBy(F.col("group").alias("_large")).agg(F.count("*").alias("_rows")).where(F.col("_rows") > block_rows)
+    largest = sizes.agg(F.max("_rows")).first()[0]
+    if largest is None:
         return _serve_groups(events)
+    large, block_rows = sizes.select("_large"), step_rows(block_rows, largest)
     hot = F.col("group") == F.col("_large")
     return _serve_groups(events.join(large, hot, "left_anti")).unionByName(
         _paired_in_blocks(events.join(large, hot, "left_semi"), block_rows, run))

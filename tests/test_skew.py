@@ -62,6 +62,26 @@ def test_recovery_choice_whole_and_in_blocks(spark, seed, targets, sources):
         assert {(r.target_row, r.source_row) for r in got.collect()} == want
 
 
+def test_small_blocks_do_not_cost_a_step_each(spark, monkeypatch):
+    """A group of 600 events in blocks of 5 or more: a few steps, and the same pairs."""
+    rng = random.Random(9)
+    events = [("hot", row < 300, minute(rng.randrange(200)), rng.choice([None, "A", "B"]), None if row < 300 else minute(0), None, "DAT DEP", row)
+              for row in range(600)]
+    df = spark.createDataFrame(events, EVENT)
+    monkeypatch.setattr(recovery, "recovery_events", lambda _: (df.where("is_target"), df.where("NOT is_target")))
+    steps = []
+
+    class Counted(Run):
+        def stage(self, df, name):
+            steps.append(name)
+            return super().stage(df, name)
+
+    got = recovery.recovery_pairs(df, Counted(), block_rows=5)
+    assert {(r.target_row, r.source_row) for r in got.collect()} == greedy(events)
+    assert 1 < steps.count("recovery-step") <= recovery.STEPS
+    assert recovery.step_rows(20, 50) == 20 and recovery.step_rows(20, 10**9) == recovery.step_rows(recovery.BLOCK_ROWS, 10**9) == recovery.BLOCK_ROWS
+
+
 def test_blocks_follow_the_order_of_their_group(spark):
     rng = random.Random(5)
     events = [(rng.choice(["hot"] * 9 + ["cold"]), rng.random() < 0.5, minute(rng.randrange(9)), None, None, None, "DAT DEP", row) for row in range(300)]

@@ -114,7 +114,7 @@ RECOVERY_PAIRS = sql("SELECT tsrc AS target_data, trow AS target_row, tsrc AS so
 
 
 def recovery_one_flight(spark, sf_dir):
-    """The same choice where one flight holds nearly all movements, in blocks of 20 events."""
+    """The same choice where one flight holds nearly all movements, in blocks of 20 events or more."""
     return recovery.recovery_pairs(_one_flight(spark.sparkContext.applicationId, sf_dir).combined, block_rows=20)
 
 
