@@ -5,22 +5,24 @@ difference of two scores, and a score is linear in features of the text, so the
 difference of two feature rows. Newton steps minimise it. The threshold is the quantile of the training
 scores at the share of bad documents; the result is the logistic function of the distance from it.
 
-At most ``MAX_ROWS`` labelled ids teach, those that hash lowest, each by one text, in ``PAIRS`` pairs for each of the rarer kind.
+Every labelled id that has a document teaches by one text: the commoner kind in ``PAIRS`` pairs each, the rarer kind in turn.
+Pairs stay in Spark; a Newton step sends their summed derivatives to the driver. The quantile is that of all training scores.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerline.llm.common import one_text, text_batches
+from ledgerline.llm.common import staged, text_batches
 
-MAX_ROWS, PAIRS, RIDGE, STEPS = 20_000, 4, 1e-2, 12
+PAIRS, RIDGE, STEPS = 4, 1e-2, 12
+SHARE_ROWS, BINS, DIGITS = 10_000, 4096, 9
 PIECE = 1 << 20
 _MULTIPLIER = np.uint64(0x100000001B3)
 Model = tuple[np.ndarray, np.ndarray, np.ndarray, float]
@@ -93,13 +95,19 @@ def widened(x: np.ndarray) -> np.ndarray:
     return np.concatenate((x, x * x), axis=-1)
 
 
-def newton(d: np.ndarray) -> np.ndarray:
-    """Weights that minimise the logistic loss of the rows of ``d`` (preferred minus other) with a small ridge."""
-    w = np.zeros(d.shape[1])
+def _slopes(d: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Sums over the rows of ``d`` at ``w``: their number, the gradient and the second derivatives, in one row of numbers."""
+    p = 1 / (1 + np.exp(np.clip(d @ w, -30, 30)))
+    return np.concatenate(([len(d)], -d.T @ p, ((d * (p * (1 - p))[:, None]).T @ d).ravel()))
+
+
+def _minimum(wide: int, slopes: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """Newton steps on the mean logistic loss with a small ridge; ``slopes`` sums over all pairs."""
+    w = np.zeros(wide)
     for _ in range(STEPS):
-        p = 1 / (1 + np.exp(np.clip(d @ w, -30, 30)))
-        gradient = RIDGE * w - d.T @ p / len(d)
-        curve = (d * (p * (1 - p))[:, None]).T @ d / len(d) + RIDGE * np.eye(len(w))
+        sums = slopes(w)
+        gradient = RIDGE * w + sums[1:wide + 1] / sums[0]
+        curve = sums[wide + 1:].reshape(wide, wide) / sums[0] + RIDGE * np.eye(wide)
         step = np.linalg.solve(curve, gradient)
         w -= step
         if np.abs(step).max() < 1e-8:
@@ -107,34 +115,115 @@ def newton(d: np.ndarray) -> np.ndarray:
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    """Mean and scale of the features, weights, and threshold. Without both kinds of labels all scores are 0.5."""
+def newton(d: np.ndarray) -> np.ndarray:
+    """Weights that minimise the logistic loss of the rows of ``d`` (preferred minus other) with a small ridge."""
+    return _minimum(d.shape[1], lambda w: _slopes(d, w))
+
+
+def _rows_of(column: pa.Array, width: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
+
 
+def _summed(pairs: DataFrame, w: np.ndarray) -> np.ndarray:
+    """The sums of :func:`_slopes` over all pairs: one row of numbers a task, added up by their place."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 + len(w) + len(w) ** 2)
         for batch in batches:
-            rows = [features(x.as_py()) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.float64()))], ["label", "x"])
-
-    marked = labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(
-        F.min(F.col("quality").cast("int")).alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_ROWS)
-    known = one_text(text_batches(docs).select("doc_id", "text").join(F.broadcast(marked), "doc_id"))
-    rows = known.select("label", "text").mapInArrow(run, "label int, x array<double>").toArrow()  # MAX_ROWS short rows
-    label = rows.column("label").to_numpy()
+            total += _slopes(_rows_of(batch.column(0), len(w)), w)
+        yield pa.RecordBatch.from_arrays([pa.array([total], pa.list_(pa.float64()))], ["sums"])
+
+    parts = pairs.select("d").mapInArrow(run, "sums array<double>").select(F.posexplode("sums").alias("place", "part"))
+    rows = parts.groupBy("place").agg(F.sum("part").alias("sum")).collect()  # a row for each entry of the sums
+    return np.array([r["sum"] for r in sorted(rows)])
+
+
+def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """label, place and features ``x`` of every labelled id that has a document. Places count the ids of a label from 0
+    in the order of their hash. Features are taken where the texts are read, so that no text is shuffled."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = pa.array([features(x.as_py()) for x in batch.column("text")], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "first", "second")), rows], ["doc_id", "first", "second", "x"])
+
+    marked = labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").select("doc_id", F.col("quality").cast("int").alias("label"))
+    texts = text_batches(docs).where(F.col("doc_id").isNotNull()).select(
+        "doc_id", F.xxhash64("text").alias("first"), F.xxhash64(F.lit(1), "text").alias("second"), "text")
+    known = texts.mapInArrow(run, f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, first long, second long, x array<double>")
+    order = F.when(F.col("x").isNotNull(), F.struct("first", "second"))  # of the texts of an id the one that hashes lowest
+    taught = known.unionByName(marked, allowMissingColumns=True).groupBy("doc_id").agg(
+        F.struct(F.min("label").alias("label"), F.min_by("x", order).alias("x")).alias("_one")).where(
+        F.col("_one.label").isNotNull() & F.col("_one.x").isNotNull())
+    rows = staged(taught.select("doc_id", "_one.label", "_one.x", F.xxhash64("doc_id").alias("_hash")))
+    shares = 1 + rows.count() // SHARE_ROWS
+    dealt = rows.withColumn("_share", F.pmod("_hash", F.lit(shares)))
+    order = Window.partitionBy("label", "_share").orderBy("_hash", "doc_id")
+    sizes = dealt.groupBy("label", "_share").agg(F.count("*").alias("_rows"))
+    before = Window.partitionBy("label").orderBy("_share").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("label", "_share", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
+    return dealt.withColumn("_turn", F.row_number().over(order) - 1).join(F.broadcast(starts), ["label", "_share"]).select(
+        "label", (F.col("_start") + F.col("_turn")).alias("place"), "x")
+
+
+def preference_pairs(rows: DataFrame, counts: dict[int, int], scale: np.ndarray) -> DataFrame:
+    """``d``, the scaled features of a good document minus those of a bad one: every document of the commoner kind in
+    ``PAIRS`` pairs, those of the rarer kind in turn, so that each teaches."""
+    common = int(counts[1] >= counts[0])
+    turn = F.pmod(F.col("place") * PAIRS + F.col("_k"), F.lit(counts[1 - common]))
+    many = rows.where(F.col("label") == common).withColumn("_k", F.explode(F.array(*[F.lit(k) for k in range(PAIRS)]))).select(
+        turn.alias("_turn"), F.col("x").alias("_many"))
+    few = rows.where(F.col("label") == 1 - common).select(F.col("place").alias("_turn"), F.col("x").alias("_few"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good, bad = (widened(_rows_of(batch.column(c), len(NAMES))) for c in ("good", "bad"))
+            d = ((good - bad) / scale).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([pa.array(list(d), pa.list_(pa.float32()))], ["d"])
+
+    sides = ("_many", "_few") if common else ("_few", "_many")
+    both = many.join(few.hint("merge"), "_turn").select(F.col(sides[0]).alias("good"), F.col(sides[1]).alias("bad"))
+    return both.mapInArrow(run, "d array<float>")
+
+
+def ranked(scores: DataFrame, rank: int) -> tuple[float, float]:
+    """The values of column ``s`` at places ``rank`` and ``rank + 1`` (from 0) of their order, exact. The range that holds
+    the first is cut into bins until it is one value; a pass returns a row a bin."""
+    low, high = scores.agg(F.min("s"), F.max("s")).first()
+    below = 0
+    while low < high:
+        place = F.least(F.floor((F.col("s") - low) / ((high - low) / BINS)), F.lit(BINS - 1))
+        bins = scores.where(F.col("s").between(low, high)).groupBy(place.alias("bin")).agg(
+            F.count("*").alias("rows"), F.min("s").alias("low"), F.max("s").alias("high")).collect()
+        for b in sorted(bins):
+            if below + b["rows"] > rank:
+                break
+            below += b["rows"]
+        low, high = b["low"], b["high"]
+    upto, after = scores.agg(F.count(F.when(F.col("s") <= low, 1)), F.min(F.when(F.col("s") > low, F.col("s")))).first()
+    return low, low if upto > rank + 1 or after is None else after
+
+
+def fit(docs: DataFrame, labels: DataFrame) -> Model:
+    """Mean and scale of the features, weights, and threshold. Without both kinds of labels all scores are 0.5."""
     wide = len(NAMES) * 2
-    if not len(label) or label.min() == label.max():
+    rows = staged(training_rows(docs, labels))
+    counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}  # two rows at most
+    if len(counts) < 2:
         return np.zeros(wide), np.ones(wide), np.zeros(wide), 0.0
-    x = widened(rows.column("x").combine_chunks().flatten().to_numpy().reshape(len(label), -1))
-    x = x[np.lexsort((*x.T, label))]  # the order of tasks must not matter
-    label = np.sort(label)
-    mean, scale = x.mean(0), x.std(0) + 1e-9
-    z = (x - mean) / scale
-    good, bad = z[label == 1], z[label == 0]
-    rng = np.random.default_rng(0)
-    pairs = PAIRS * min(len(good), len(bad))
-    d = good[rng.integers(0, len(good), pairs)] - bad[rng.permutation(pairs) % len(bad)]
-    w = newton(d)
-    scores = z @ w
-    return mean, scale, w, float(np.quantile(scores, (label == 0).mean()))
+    cells = [F.col("x")[i] for i in range(len(NAMES))]
+    moments = rows.agg(*[f(c) for f in (F.avg, F.stddev_pop) for c in [*cells, *[c * c for c in cells]]]).first()
+    mean, scale = (np.round(part, DIGITS) for part in (np.array(moments[:wide]), np.array(moments[wide:]) + 1e-9))
+    pairs = staged(preference_pairs(rows, counts, scale))
+    w = np.round(_minimum(wide, lambda w: _summed(pairs, w)), DIGITS)  # the order of tasks must not matter
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            s = (widened(_rows_of(batch.column(0), len(NAMES))) - mean) / scale @ w
+            yield pa.RecordBatch.from_arrays([pa.array(s, pa.float64())], ["s"])
+
+    total = counts[0] + counts[1]
+    at = counts[0] / total * (total - 1)
+    first, second = ranked(staged(rows.select("x").mapInArrow(run, "s double")), int(at))
+    return mean, scale, w, float(np.round(first + (second - first) * (at - int(at)), DIGITS))
 
 
 def score(docs: DataFrame, model: Model, out: str = "score") -> DataFrame:

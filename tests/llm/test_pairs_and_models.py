@@ -313,6 +313,35 @@ def test_newton_finds_the_minimum_of_the_pairs_loss():
     assert descended == pytest.approx(w, abs=1e-3)
 
 
+def test_every_label_teaches_quality_and_the_threshold_is_exact(spark, monkeypatch):
+    """No bound on the ids that teach: each is in pairs, and the sums in Spark are those of all rows at once."""
+    monkeypatch.setattr(quality, "MAX_ROWS", 8, raising=False)
+    monkeypatch.setattr(quality, "SHARE_ROWS", 7)
+    docs, labels, marks = classified(spark, 120)
+    rows = quality.training_rows(docs, labels).collect()
+    kinds = [q for _, q, _ in marks[:60]]
+    assert sorted((r.label, r.place) for r in rows) == [(k, i) for k in (0, 1) for i in range(kinds.count(k))]
+    frame = spark.createDataFrame([(r.label, r.place, r.x) for r in rows], "label int, place long, x array<double>")
+    wide = 2 * len(quality.NAMES)
+    for pairs_of in ({0: kinds.count(0), 1: kinds.count(1)},):
+        d = np.array([r.d for r in quality.preference_pairs(frame, pairs_of, np.ones(wide)).collect()])
+        assert len(d) == quality.PAIRS * max(pairs_of.values())
+    mean, scale, w, threshold = quality.fit(docs, labels)
+    x = quality.widened(np.array([r.x for r in rows]))
+    assert mean == pytest.approx(x.mean(0), abs=1e-8) and scale == pytest.approx(x.std(0), abs=1e-7)
+    assert w == pytest.approx(quality.newton((d / scale).astype(np.float32).astype(float)), abs=1e-4)
+    assert threshold == pytest.approx(np.quantile((x - mean) / scale @ w, kinds.count(0) / 60), abs=1e-8)
+
+
+def test_ranked_values_are_exact(spark):
+    rng = random.Random(4)
+    values = sorted([rng.choice([0.5, 1.0, rng.random() * 1e6, -rng.random()]) for _ in range(300)])
+    scores = spark.createDataFrame([(v,) for v in values], "s double").cache()
+    for rank in (0, 70, 149, 298):
+        assert quality.ranked(scores, rank) == (values[rank], values[rank + 1])
+    assert quality.ranked(scores, 299) == (values[-1], values[-1])
+
+
 def test_scores_are_the_model_of_the_features(spark):
     docs, labels, _ = classified(spark, 200)
     mean, scale, w, threshold = model = quality.fit(docs, labels)
