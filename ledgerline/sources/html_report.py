@@ -1,9 +1,8 @@
 """Table reports in HTML, taken apart by column expressions.
 
-A report is split into tokens (tags and the text between them), one row each. Running
-counts over the tokens of a file give the depth of tables and number tables, rows and
-cells; the text of a cell is what stands between its tags. Everything after the split is
-partitioned by file, so the tokens are exchanged once.
+A report is split into an array of tokens (tags and the text between them). One pass over
+its tags gives the depth of tables and the places of rows and cells; the text of a cell is
+what stands between its tags. Only whole files are exchanged, by path, never their tokens.
 """
 
 from __future__ import annotations
@@ -36,70 +35,102 @@ def report_text(content: Column) -> Column:
 
 
 def _unescape(values: pd.Series) -> pd.Series:
-    return values.map(html.unescape, na_action="ignore")
+    return values.map(lambda texts: [t and html.unescape(t) for t in texts], na_action="ignore")
+
+
+_unescaped = F.pandas_udf(_unescape, T.ArrayType(T.StringType()))
+
+
+def _rows_of(tags: str) -> list[tuple]:
+    """Closed rows of the closed top-level tables in the tags of a file: (table_no, row_no, is_header, first and last
+    tag of each cell that is closed)."""
+    rows, row, begin = [], None, None
+    depth = table_no = row_no = 0
+    for at, tag in enumerate(tags.split(" ")):
+        if tag == "table":
+            depth += 1
+            table_no += depth == 1
+        elif tag == "/table":
+            depth = max(depth - 1, 0)  # a closing tag too many counts for nothing
+        elif depth != 1:
+            continue
+        elif tag == "tr":
+            row, begin = [False, [], []], None
+            row_no += 1
+        elif row is None:
+            continue
+        elif tag == "/tr":
+            if row[1]:
+                rows.append((table_no, row_no - 1, *row))
+            row = None
+        elif tag in ("td", "th"):
+            row[0], begin = row[0] or tag == "th", at
+        elif tag in ("/td", "/th") and begin is not None:
+            row[1].append(begin)
+            row[2].append(at)
+            begin = None
+    # Only the last table of a file can stay open, where the file is cut off: it is no table then.
+    return [r for r in rows if depth == 0 or r[0] < table_no]
+
 
+def _places(values: pd.Series) -> pd.Series:
+    return values.map(_rows_of, na_action="ignore")
 
-_unescaped = F.pandas_udf(_unescape, T.StringType())
+
+_placed = F.pandas_udf(_places, T.ArrayType(T.StructType([
+    T.StructField("table_no", T.IntegerType()), T.StructField("row_no", T.IntegerType()), T.StructField("is_header", T.BooleanType()),
+    T.StructField("first", T.ArrayType(T.IntegerType())), T.StructField("last", T.ArrayType(T.IntegerType()))])))
 
 
 def _collapsed(text: Column) -> Column:
     return F.btrim(F.regexp_replace(text, BLANKS, " "))
 
 
+def _tokens(content: Column) -> Column:
+    return F.regexp_extract_all(report_text(content), F.lit(TOKEN), F.lit(1))
+
+
 def html_tokens(files: DataFrame) -> DataFrame:
-    """(path, at, tag, text): every tag (``td``, ``/td``, lower case) and stretch of text, in order."""
-    tokens = F.posexplode(F.regexp_extract_all(report_text(F.col("content")), F.lit(TOKEN), F.lit(1))).alias("at", "token")
-    tag = F.lower(F.regexp_extract("token", TAG, 1))
-    return files.select("path", tokens).where(
-        ~F.col("token").startswith("<!--")).select("path", "at", tag.alias("tag"), F.col("token"))
+    """(path, tokens, tags): every tag (``td``, ``/td``, lower case) and stretch of text of a file, in order.
+    Contents under one path are read side by side, as one file."""
+    contents = files.groupBy("path").agg(F.collect_list("content").alias("contents"))
+    several = F.transform("contents", _tokens)
+    places = F.sequence(F.lit(0), F.array_max(F.transform(several, F.size)))
+    beside = F.flatten(F.transform(places, lambda i: F.array_compact(F.transform(several, lambda t: F.get(t, i)))))
+    tokens = F.when(F.size("contents") > 1, beside).otherwise(_tokens(F.get("contents", F.lit(0))))
+    return contents.select("path", F.filter(tokens, lambda t: ~t.startswith("<!--")).alias("tokens")).withColumn(
+        "tags", F.transform("tokens", lambda t: F.when(t.startswith("<"), F.lower(F.regexp_extract(t, TAG, 1))).otherwise("")))
 
 
 def html_rows(files: DataFrame) -> DataFrame:
     """Every row of every top-level table of files (``path``, ``content``):
-    (path, table_no, row_no, is_header, cells). A table that is never closed has no rows."""
-    order = Window.partitionBy("path").orderBy("at")
-    upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    tag = F.col("tag")
-    step = F.when(tag == "table", 1).when(tag == "/table", -1).otherwise(0)
-    tokens = html_tokens(files).withColumn("sum", F.sum(step).over(upto))
-    # A closing tag too many does not go below zero: measure from the lowest point so far.
-    tokens = tokens.withColumn("depth", F.col("sum") - F.least(F.min("sum").over(upto), F.lit(0)))
-    top = F.col("depth") == 1
-    tokens = tokens.withColumns({
-        "table_no": F.count_if((tag == "table") & top).over(upto),
-        "row_no": F.count_if((tag == "tr") & top).over(upto),
-    })
-    # Only the last table of a file can stay open, where the file is cut off: it is no table then.
-    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    tokens = tokens.withColumn("closed", (F.last("depth").over(whole) == 0) | (F.col("table_no") < F.last("table_no").over(whole)))
-    row = Window.partitionBy("path", "row_no").orderBy("at")
-    so_far, earlier = row.rowsBetween(Window.unboundedPreceding, 0), row.rowsBetween(Window.unboundedPreceding, -1)
-    row_ends = (tag == "/tr") & top
-    tokens = tokens.where("row_no > 0").withColumn("open", F.coalesce(F.count_if(row_ends).over(earlier), F.lit(0)) == 0)
-    tokens = tokens.where("open").withColumn("cell_no", F.count_if(tag.isin("td", "th") & top).over(so_far))
-    cell = Window.partitionBy("path", "row_no", "cell_no").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    cell_ends = tag.isin("/td", "/th") & top
-    tokens = tokens.withColumns({
-        "ended": F.coalesce(F.count_if(cell_ends).over(cell), F.lit(0)) > 0,
-        "table_no": F.when(row_ends & F.col("closed"), F.col("table_no")),
+    (path, table_no, row_no, is_header, cells). A table that is never closed has no rows.
+
+    A file is taken apart within its own row: only its tags and the texts with entity references go to Python.
+    """
+    escaped = F.zip_with("tokens", "tags", lambda t, tag: F.when((tag == "") & t.contains("&"), t))
+    placed = html_tokens(files).withColumns({
+        "rows": _placed(F.array_join("tags", " ")),
+        "plain": _unescaped(F.when(F.exists(escaped, lambda t: t.isNotNull()), escaped)),
     })
-    raw = F.col("token").rlike(r"(?i)^<(script|style)\b")
-    words = F.when(tag == "", F.col("token")).when(raw, F.regexp_replace("token", r"^<[^>]*+>", "")).when(tag == "br", " ")
-    escaped = (tag == "") & F.col("token").contains("&")
-    said = F.when(F.col("ended"), None).when(escaped, _unescaped(F.when(escaped, F.col("token")))).otherwise(words)
-    cells = tokens.select("path", "row_no", "cell_no", "at", "table_no", said.alias("said"), cell_ends.alias("end"),
-                          ((tag == "th") & top).alias("head")).groupBy(
-        "path", "row_no", "cell_no").agg(
-        F.sort_array(F.collect_list(F.when(F.col("said").isNotNull(), F.struct("at", "said")))).alias("said"),
-        F.bool_or("end").alias("whole"), F.bool_or("head").alias("head"), F.max("table_no").alias("table_no"))
-    text = _collapsed(F.array_join(F.transform("said", lambda s: s["said"]), ""))
-    whole = F.col("whole") & (F.col("cell_no") > 0)
-    rows = cells.groupBy("path", "row_no").agg(
-        F.max("table_no").alias("table_no"), F.bool_or((F.col("cell_no") > 0) & F.col("head")).alias("is_header"),
-        F.sort_array(F.collect_list(F.when(whole, F.struct("cell_no", text.alias("text"))))).alias("cells"))
-    return rows.where(F.col("table_no").isNotNull() & (F.size("cells") > 0)).select(
-        "path", F.col("table_no").cast("int").alias("table_no"), (F.col("row_no") - 1).cast("int").alias("row_no"), "is_header",
-        F.transform("cells", lambda c: c["text"]).alias("cells"))
+    said = F.zip_with("tokens", "tags", lambda t, tag: F.when(tag == "", t).when(
+        tag.isin("script", "style"), F.regexp_replace(t, r"^<[^>]*+>", "")).when(tag == "br", " "))
+    said = F.when(F.col("plain").isNull(), said).otherwise(F.zip_with("plain", said, lambda plain, t: F.coalesce(plain, t)))
+
+    def cells(r: Column, said: Column) -> Column:
+        return F.zip_with(r["first"], r["last"], lambda first, last: _collapsed(
+            F.array_join(F.slice(said, first + 2, last - first - 1), "")))
+
+    # The lambda binds the texts of the file, so they are made once and not for every cell.
+    rows = F.get(F.transform(F.array(said), lambda said: F.transform("rows", lambda r: F.struct(
+        r["table_no"].alias("table_no"), r["row_no"].alias("row_no"), r["is_header"].alias("is_header"),
+        cells(r, said).alias("cells")))), F.lit(0))
+    return placed.select("path", F.inline(rows))
+
+
+def _header() -> Column:
+    return F.max(F.when(F.col("is_header"), F.struct(
+        F.size("cells").alias("width"), (-F.col("row_no")).alias("first"), F.col("cells").alias("headers"))))
 
 
 def data_tables(rows: DataFrame) -> DataFrame:
@@ -108,21 +139,25 @@ def data_tables(rows: DataFrame) -> DataFrame:
     Chosen is the table with a header that has the most data rows, then the widest header,
     then the first; its widest header row names the columns.
     """
-    header = F.max(F.when(F.col("is_header"), F.struct(
-        F.size("cells").alias("width"), (-F.col("row_no")).alias("first"), F.col("cells").alias("headers"))))
     tables = rows.groupBy("path", "table_no").agg(
-        F.count_if(~F.col("is_header")).alias("n"), header.alias("header")).where(F.col("header").isNotNull())
+        F.count_if(~F.col("is_header")).alias("n"), _header().alias("header")).where(F.col("header").isNotNull())
     best = F.max_by(F.struct("table_no", "header.headers"), F.struct("n", "header.width", -F.col("table_no")))
     return tables.groupBy("path").agg(best.alias("best")).select("path", "best.table_no", "best.headers")
 
 
 def report_rows(rows: DataFrame) -> DataFrame:
-    """(path, row_no, headers, cells) of each file's data table. Rows are cut or padded to
-    the width of the header; rows without any text are dropped."""
+    """(path, row_no, headers, cells) of each file's data table (:func:`data_tables`, told by windows here so that
+    ``rows`` is read once). Rows are cut or padded to the width of the header; rows without any text are dropped."""
+    table, file = Window.partitionBy("path", "table_no"), Window.partitionBy("path")
+    ranked = rows.where(F.col("path").isNotNull()).withColumns({
+        "n": F.count_if(~F.col("is_header")).over(table), "header": _header().over(table)})
+    place = F.struct("n", "header.width", (-F.col("table_no")).alias("first"), "header.headers")
+    chosen = ranked.withColumn("best", F.max(F.when(F.col("header").isNotNull(), place)).over(file))
     width = F.size("headers")
     padded = F.concat(F.col("cells"), F.array_repeat(F.lit(""), F.greatest(width - F.size("cells"), F.lit(0))))
     return (
-        rows.where(~F.col("is_header")).join(data_tables(rows), ["path", "table_no"])
+        chosen.where(~F.col("is_header") & (F.col("best.first") == -F.col("table_no")))
+        .withColumn("headers", F.col("best.headers"))
         .withColumn("cells", F.slice(padded, F.lit(1), width))
         .where(F.exists("cells", lambda c: c != ""))
         .select("path", "row_no", "headers", "cells")

@@ -4,7 +4,7 @@ import pytest
 from ledgerline.plans.mapping import detect_mapping
 from ledgerline.sources.delimited import read_source_csv, read_uploaded_table
 from ledgerline.sources.formats import classify_content
-from ledgerline.sources.html_report import html_rows
+from ledgerline.sources.html_report import html_rows, report_rows
 from ledgerline.sources.rows import with_row_numbers
 
 REPORT = b"""<html><body>
@@ -186,3 +186,15 @@ def test_tables_that_are_never_closed_are_no_tables(spark, tmp_path):
     (tmp_path / "b.xls").write_text(f"<html>{head}<tr><td>1</td></tr><tr><td>2</td></tr>")
     with pytest.raises(ValueError, match="b.xls"):
         read_uploaded_table(spark, str(tmp_path))
+
+
+def test_files_are_taken_apart_within_their_row(spark):
+    page = "<p>&amp;<table><tr><th>K</th><th>V</th></tr><tr><td>{0}&lt;<table><tr><td>in</td></tr></table></td><td> x<br/>y&amp;</td></tr></table>"
+    files = spark.createDataFrame([(str(i), page.format(i).encode()) for i in range(50)], "path string, content binary")
+    rows = html_rows(files)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "posexplode" not in plan  # tokens are no rows, so none is exchanged or sorted
+    got = sorted((int(r.path), r.table_no, r.row_no, r.is_header, r.cells) for r in rows.collect())
+    assert got == [row for i in range(50) for row in ((i, 1, 0, True, ["K", "V"]), (i, 1, 1, False, [f"{i}<in", "x y&"]))]
+    assert sorted(r.cells for r in report_rows(rows).collect()) == sorted([f"{i}<in", "x y&"] for i in range(50))
+    assert "Join" not in report_rows(rows)._jdf.queryExecution().executedPlan().toString()  # the files are read once
