@@ -9,10 +9,10 @@ is therefore the nearest row of the whole class, or the nearest row with the rec
 register, or the nearest row without a register; rows without a time are ranked by version,
 message and row alone.
 
-One sweep over the instants of a key finds them for all classes together: the billing rows of
-an instant are folded to one row that holds the best of every class, with any and without a
-register, and the latest of each that the sweep has passed is carried along. A second sweep
-does the same by register. Both sides are folded to the distinct times of a key before they
+A sweep forward and one backward over the instants of a key find them for all classes together:
+the billing rows of an instant are folded to one row that holds the best of every class, with any
+and without a register, and the latest of each that the sweep has passed is carried along. Two more
+sweeps do the same by register. Both sides are folded to the distinct times of a key before they
 meet, so a key that most rows share costs as many rows as it has times, and records pick the
 answer of their time up in a join.
 
@@ -42,6 +42,8 @@ RANK = ["r_version", "r_message", "r_row"]
 CARRIED = ["r_at", "r_register", "r_special", "invalid_status"]
 RECORD = ["l_data", "l_row", "l_register", "l_at", "l_moved_on", "l_recovered", "l_recovered_on"]
 CLASSES = [(invalid, special) for invalid in (False, True) for special in (False, True)]
+TOPS = [f"top{n}" for n in range(len(CLASSES))]
+NAMELESS = ""
 
 
 def _entry(adep: Column, ades: Column, by: str, date: Column, *more: Column) -> Column:
@@ -100,48 +102,63 @@ def _eligible(pairs: DataFrame, tolerance: float) -> DataFrame:
     return pairs.where((F.col("by") != BY_REMARK) | (register_compatible() & close & days))
 
 
-def _tops(folded: DataFrame, by: Sequence[str], wanted: dict[str, Column]) -> DataFrame:
-    """One row for each instant of a group with the best row of every kind in ``wanted``."""
-    return folded.groupBy(*by, "at").agg(*[F.max(F.when(kind, F.col("_top"))).alias(n) for n, kind in wanted.items()])
+def _folded(index: DataFrame) -> DataFrame:
+    """One row for each instant and register of a group (``NAMELESS`` for none) with the best row of every class."""
+    top = F.struct(*RANK, *CARRIED)
+    classes = [
+        F.max(F.when((F.col("invalid_status") == F.lit(invalid)) & (F.col("r_special") == F.lit(special)), top)).alias(name)
+        for name, (invalid, special) in zip(TOPS, CLASSES)
+    ]
+    return index.groupBy(*GROUP, F.col("r_at").alias("at"), _named("r_register").alias("register")).agg(*classes)
 
 
-def _of_classes(prefix: str, where: Column) -> dict[str, Column]:
-    return {
-        f"{prefix}{n}": where & (F.col("_invalid") == F.lit(invalid)) & (F.col("r_special") == F.lit(special))
-        for n, (invalid, special) in enumerate(CLASSES)
-    }
+def _named(register: str) -> Column:
+    """The register as a key that is never NULL."""
+    return F.coalesce(F.concat(F.lit("="), F.col(register)), F.lit(NAMELESS))
+
+
+def _whole(folded: DataFrame) -> DataFrame:
+    """One row for each instant of a group with the best row of every class, with any and without a register."""
+    nameless = F.col("register") == NAMELESS
+    return folded.groupBy(*GROUP, "at").agg(
+        *[F.max(top).alias(f"any_{top}") for top in TOPS],
+        *[F.max(F.when(nameless, F.col(top))).alias(f"none_{top}") for top in TOPS],
+    )
 
 
 def _swept(tops: DataFrame, probes: DataFrame, by: Sequence[str]) -> DataFrame:
-    """``_rows`` for each instant of ``probes``: of every kind the row before it, the row after it and the row without a time."""
+    """``_rows`` for each instant of ``probes``: of every kind the row before it, the row after it and the row without a time.
+
+    Each direction sorts the rows as they came and gives a row of its own: what one sweep found never enters the
+    sort of the other.
+    """
     kinds = [c for c in tops.columns if c not in by and c != "at"]
     instants = probes.select(*by, "at").distinct().withColumn("_asks", F.lit(True))
     both = tops.withColumn("_asks", F.lit(False)).unionByName(instants, allowMissingColumns=True)
-    passed, timed = (Window.unboundedPreceding, Window.currentRow), F.col("at").isNotNull()
-    ahead = Window.partitionBy(*by).orderBy(F.col("at").asc_nulls_first(), "_asks").rowsBetween(*passed)
-    back = Window.partitionBy(*by).orderBy(F.col("at").desc_nulls_last(), "_asks").rowsBetween(*passed)
-    found = {}
-    for kind in kinds:
-        found[f"_before_{kind}"] = F.last(F.when(timed, F.col(kind)), ignorenulls=True).over(ahead)
-        found[f"_timeless_{kind}"] = F.last(F.when(~timed, F.col(kind)), ignorenulls=True).over(ahead)
-        found[f"_after_{kind}"] = F.last(F.when(timed, F.col(kind)), ignorenulls=True).over(back)
-    seen = both.withColumns(found).where("_asks")
-    return seen.select(*by, "at", F.array_distinct(F.array_compact(F.array(*found))).alias("_rows"))
+    timed = F.col("at").isNotNull()
+
+    def passed(at: Column, *wanted: Column) -> DataFrame:
+        so_far = Window.partitionBy(*by).orderBy(at, "_asks").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        found = {
+            f"_{n}_{kind}": F.last(F.when(of, F.col(kind)), ignorenulls=True).over(so_far)
+            for n, of in enumerate(wanted) for kind in kinds
+        }
+        return both.withColumns(found).where("_asks").select(*by, "at", F.array_compact(F.array(*found)).alias("_rows"))
+
+    ahead = passed(F.col("at").asc_nulls_first(), timed, ~timed)
+    back = passed(F.col("at").desc_nulls_last(), timed)
+    return ahead.unionByName(back).where(F.size("_rows") > 0)
 
 
 def _contenders(probes: DataFrame, index: DataFrame) -> DataFrame:
     """(record, billing row) pairs: only rows that can be the best one. Records have a time."""
-    # Rows of one instant, class and register differ only in rank: fold them before the shuffle.
-    folded = index.groupBy(*GROUP, F.col("r_at").alias("at"), F.col("invalid_status").alias("_invalid"), "r_special", "r_register").agg(
-        F.max(F.struct(*RANK, "r_at", "r_register", "r_special", "invalid_status")).alias("_top"))
+    # Both sweeps read this fold; it has no filter of one of them, so its exchange serves both.
+    folded = _folded(index)
     asked = probes.withColumn("at", F.col("l_at"))
-    whole = _tops(folded, GROUP, _of_classes("any", F.lit(True)) | _of_classes("none", F.col("r_register").isNull()))
+    mine = asked.where(F.col("l_register").isNotNull()).withColumn("register", _named("l_register"))
     per_register = [*GROUP, "register"]
-    named = folded.where(F.col("r_register").isNotNull()).withColumn("register", F.col("r_register"))
-    own = _tops(named, per_register, _of_classes("own", F.lit(True)))
-    mine = asked.where(F.col("l_register").isNotNull()).withColumn("register", F.col("l_register"))
-    found = asked.join(_swept(whole, asked, GROUP), [*GROUP, "at"]).unionByName(
-        mine.join(_swept(own, mine, per_register), [*per_register, "at"]).drop("register"))
+    found = asked.join(_swept(_whole(folded), asked, GROUP), [*GROUP, "at"]).unionByName(
+        mine.join(_swept(folded, mine, per_register), [*per_register, "at"]).drop("register"))
     rows = found.select(*RECORD, *GROUP, "lookup", F.explode("_rows").alias("_row"))
     return rows.select(*RECORD, *GROUP, "lookup", *[F.col("_row")[c].alias(c) for c in [*RANK, *CARRIED]])
 
