@@ -20,6 +20,12 @@ def test_no_nested_loops(spark, sf_dir, name):
     assert not re.search("CartesianProduct|BroadcastNestedLoopJoin", text)
 
 
+def test_listed_pairs_are_not_joined_again(spark, sf_dir):
+    steps = [re.sub(r"^[\s:+*-]*(\(\d+\) )?", "", line) for line in plan(reconciliation.not_selected(spark, sf_dir)).splitlines()]
+    above = steps[:next(i for i, step in enumerate(steps) if step.startswith("Union"))]
+    assert {re.match(r"\w+", step).group(0) for step in above} <= {"AdaptiveSparkPlan", "Project", "Filter"}
+
+
 def test_result_tables_read_only_what_they_show(spark, sf_dir):
     df = reconciliation.reconciled(spark, sf_dir).validasi.select("FLIGHT NUMBER")
     scan = plan(df)
