@@ -145,6 +145,38 @@ def sides(spark):
     return records, others
 
 
+@pytest.mark.parametrize("block_rows", [3, 512])
+def test_listed_blocks_equal_all_pairs(sides, block_rows, monkeypatch):
+    """Blocks bring the pairs of the join, however many blocks a key has."""
+    from ledgerline.operators import lookup
+
+    monkeypatch.setattr(lookup, "BLOCK_ROWS", block_rows)
+    shown = ["l_data", "l_row", "r_row", "r_moved", "r_register", "r_status", "r_remark", "r_keyword", "lookup", "mode", "time_difference",
+             "validation_result"]
+
+    def bag(pairs):
+        return sorted(evaluate(pairs).select(*shown).collect(), key=str)
+
+    packed = lookup.candidate_blocks(*sides, 30)
+    want = bag(preferred_lookup(candidate_pairs(*sides, 30)))
+    assert bag(lookup.listed_blocks(packed, 30)) == want and len(want) > 1000
+    assert (packed.where(F.size("_rows") > 3).count() > 0) == (block_rows == 512) or packed.count() > len(want) / 12
+
+
+def test_minutes_apart_are_exact(spark):
+    from decimal import Decimal
+
+    from ledgerline.functions.times import minutes_apart
+
+    rng = random.Random(5)
+    rows = [(datetime.datetime(2024, 1, 1), datetime.datetime(2024, 1, 1) + datetime.timedelta(microseconds=rng.randrange(-10**e, 10**e)))
+            for e in (3, 6, 7, 9, 12, 15, 16) for _ in range(5)] + [(datetime.datetime(2024, 1, 1), None)]
+    got = spark.createDataFrame(rows, "a timestamp_ntz, b timestamp_ntz").select("a", "b", minutes_apart(F.col("a"), F.col("b")).alias("m")).collect()
+    for r in got:
+        micros = None if r.b is None else abs((r.a - r.b) // datetime.timedelta(microseconds=1))
+        assert r.m == (None if micros is None else float(Decimal(micros) / 1000000) / 60.0)
+
+
 def test_best_candidate_equals_the_best_of_all_pairs(sides):
     rules = MatchRules.of(30)
 
