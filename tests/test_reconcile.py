@@ -279,6 +279,27 @@ def test_report_datasets(result, spark, tmp_path):
     assert missing.count() == result.summary_values()["missing_in_stream"]
 
 
+def test_the_audit_is_put_in_order_before_its_pairs_are_listed(result, spark, tmp_path, monkeypatch):
+    from ledgerline.operators import lookup
+    from ledgerline.operators.outputs import ordered_records
+    from ledgerline.sources.sinks import typed_dates
+
+    monkeypatch.setattr(lookup, "BLOCK_ROWS", 1)
+    wanted = typed_dates(result.audit_detail)
+    rows = result.audit_listed(ordered_records(result.audit_blocks), result.audit_detail.columns)
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate explode(_rows") < plan.index("Sort [")
+    path, = write_report(result, str(tmp_path / "report"), sheets=["Audit Detail"])
+    written = spark.read.parquet(path)
+    assert written.dtypes == wanted.dtypes
+    assert sorted(map(str, written.collect())) == sorted(map(str, wanted.collect()))
+    keys = ["day", "FLIGHT NUMBER", "D/A/L/O", "SOURCE DATA", "SOURCE ROW"]
+    day = F.coalesce(F.col("DATE OF FLIGHT").cast("string"), "DATE OF FLIGHT (TEXT)", F.lit(""))
+    placed = written.withColumn("day", day).select("_metadata.file_name", "_metadata.row_index", *keys).collect()
+    order = [tuple(r)[2:] for r in sorted(placed, key=lambda r: (r.file_name, r.row_index))]
+    assert order == sorted(order) and len(order) > 20
+
+
 def test_a_report_is_replaced_as_a_whole_or_not_at_all(result, spark, tmp_path, monkeypatch):
     folder = tmp_path / "report"
     sheets = ["Matched", "Missing in Stream"]
